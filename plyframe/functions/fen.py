@@ -120,3 +120,11 @@ def apply_move(board: Column, frm: Column, to: Column) -> Column:
     piece = F.substring(board, frm + 1, F.lit(1))
     cleared = F.overlay(board, F.lit("."), frm + 1, F.lit(1))
     return F.overlay(cleared, piece, to + 1, F.lit(1))
+
+
+def uci_parts(uci: Column) -> Column:
+    """Struct of from, to (0..63) and promotion letter; null for anything but a move."""
+    pattern = "^([a-h][1-8])([a-h][1-8])([nbrq]?)$"
+    frm, to, promo = (F.regexp_extract(uci, pattern, i) for i in (1, 2, 3))
+    return F.when(F.rlike(uci, F.lit(pattern)), F.struct(
+        square_index(frm).alias("frm"), square_index(to).alias("to"), promo.alias("promo")))

@@ -15,7 +15,9 @@ SAN_CORE = "O-O-O|O-O|[KQRNB]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRNB])?[+#]?"
 WORD = r"[\p{L}\p{N}_]"
 WHITE = r"[\s\x1c-\x1f\x85\p{Z}]"
 _BOUNDARY = rf"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
-SAN_TOKEN = f"{_BOUNDARY}({SAN_CORE}){_BOUNDARY}"
+# A move starts with a word character, so the boundary before it is a look back.
+_START = f"(?<!{WORD})"
+SAN_TOKEN = f"{_START}({SAN_CORE}){_BOUNDARY}"
 
 
 def strip(text: Column) -> Column:
@@ -49,14 +51,14 @@ def candidate(reply: Column, use_marker: bool = True) -> Column:
 def truncate_after_san(text: Column, after_marker: bool) -> Column:
     """Reply up to and including its first move (after the first marker), whole if there is none."""
     lead = rf"(?:(?i:.*?{MARKER}).*?)" if after_marker else "(?:.*?)"
-    cut = F.regexp_extract(text, rf"(?s)^({lead}{_BOUNDARY}(?:{SAN_CORE}){_BOUNDARY})", 1)
+    cut = F.regexp_extract(text, rf"(?s)^({lead}{_START}(?:{SAN_CORE}){_BOUNDARY})", 1)
     return F.when(cut == "", text).otherwise(cut)
 
 
 def stop_index(pieces: Column, after_marker: bool) -> Column:
     """Number of generated pieces after which a reply stops: the first prefix in which the rule
     holds, null if it never does. `pieces` is the array of decoded token texts."""
-    pattern = rf"(?is){MARKER}.*{_BOUNDARY}(?-i:{SAN_CORE}){_BOUNDARY}" if after_marker else SAN_TOKEN
+    pattern = rf"(?is){MARKER}.*{_START}(?-i:{SAN_CORE}){_BOUNDARY}" if after_marker else SAN_TOKEN
 
     def grow(state: Column, piece: Column) -> Column:
         text = F.concat(state["text"], piece)

@@ -108,18 +108,25 @@ def with_san_move(df: DataFrame, text: str, lenient: bool = False) -> DataFrame:
     none or more than one.
 
     `lenient` adds the case-insensitive second try: a text that did not resolve is accepted when it
-    equals the SAN of a legal move but for upper and lower case and check marks. Only a leading
-    "b"/"B" can differ that way, so the other reading of that letter is resolved and its rendered
-    SAN compared (in `with_san`, by column `must_equal`).
+    equals the SAN of a legal move but for upper and lower case and check marks. A text in no known
+    spelling is first put into the usual one. After that only a leading "b"/"B" is open, so its
+    other reading is resolved too. The rendered SAN must then equal the text (done in `with_san`,
+    by column `must_equal`).
     """
     keep = df.columns
-    san = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({f"_g{i}": F.regexp_extract(san, SAN_PATTERN, i) for i in range(1, 6)})
+    given = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("_given", given)
+    known = F.rlike("_given", F.lit(f"{SAN_PATTERN}|{CASTLE_KING_SIDE}|{CASTLE_QUEEN_SIDE}"))
+    low = F.lower("_given")
+    usual = F.when(F.rlike(low, F.lit("^o-o")), F.upper("_given")).otherwise(
+        F.concat(F.when(F.rlike(low, F.lit("^[nrqk]")), F.upper(F.left(low, F.lit(1)))).otherwise(F.left(low, F.lit(1))),
+                 F.substring(low, 2, 1_000_000)))
+    df = df.withColumn("_text", F.when(known, F.col("_given")).otherwise(usual) if lenient else F.col("_given"))
+    df = df.withColumns({f"_g{i}": F.regexp_extract("_text", SAN_PATTERN, i) for i in range(1, 6)})
     df = select_sql(df, {
         "_to": _mover_square("_g4"), "_promo": "lower(_g5)",
         "_full": "_g1 = '' AND _g2 <> '' AND _g3 <> ''",
         "_from": f"CASE WHEN _g2 <> '' AND _g3 <> '' THEN {_mover_square('concat(_g2, _g3)')} ELSE 64 END",
-        "_text": f"coalesce({text}, '')",
     })
     df = select_sql(df, {"_to_bit": _square_bit("_to"), "_from_bit": _square_bit("_from")})
     df = select_sql(df, {
@@ -151,7 +158,8 @@ def with_san_move(df: DataFrame, text: str, lenient: bool = False) -> DataFrame:
         f" WHEN _full AND _promo = '' THEN {_castle_by_squares('_from_bit', '_to')} ELSE '' END"
     )
     df = select_sql(df, {
-        "must_equal": "CASE WHEN NOT _first AND _second THEN lower(regexp_replace(_text, '[+#]', '')) END",
+        "must_equal": "CASE WHEN _text <> _given OR (NOT _first AND _second)"
+                      " THEN lower(regexp_replace(_text, '[+#]', '')) END",
         "_origin": "CASE WHEN _first THEN _set WHEN _second THEN _set2 ELSE 0L END",
         "_piece": "IF(NOT _first AND _second, _other, _piece)",
     })
