@@ -115,6 +115,16 @@ def _castle(letters: str, empty: list[str], path: list[str], rook: str) -> str:
     )
 
 
+def fenced(condition: str) -> str:
+    """The same condition, but kept out of predicate pushdown.
+
+    A filter on a column computed over many projections would be pushed below all of them by
+    substituting their expressions, each of which uses the previous ones several times. The
+    partition number makes the column's projection a stop, and is always at least 0.
+    """
+    return f"(({condition}) AND spark_partition_id() >= 0)"
+
+
 def select_sql(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.expr(sql) for name, sql in exprs.items()})
 
@@ -196,10 +206,16 @@ LINE_TABLES = {
 }
 
 
+def with_reach(df: DataFrame, to: str) -> DataFrame:
+    """Add what the one-bit set `to` sees along lines and diagonals, as the origin functions need."""
+    return select_sql(df, {
+        "reach_straight": b.rays(to, "(~occ)", b.STRAIGHT), "reach_diagonal": b.rays(to, "(~occ)", b.DIAGONAL),
+    })
+
+
 def pseudo_origins(piece: str, to: str) -> str:
     """Set of own squares from which `piece` (a letter P N B R Q K) reaches the one-bit set `to`,
-    king safety and en passant aside."""
-    straight, diagonal = b.rays(to, "(~occ)", b.STRAIGHT), b.rays(to, "(~occ)", b.DIAGONAL)
+    king safety and en passant aside. Needs `with_reach`."""
     down, down2 = f"shiftrightunsigned({to}, 8)", f"shiftrightunsigned({to}, 16)"
     pawn = f"""(IF(({to} & occ) = 0L,
         ({down} & own_p) | IF(({down} & occ) = 0L, {down2} & own_p & {b.const(b.rank(2))}, 0L), 0L)
@@ -207,9 +223,9 @@ def pseudo_origins(piece: str, to: str) -> str:
     return f"""IF(({to} & own) <> 0L, 0L, CASE {piece}
         WHEN 'P' THEN {pawn}
         WHEN 'N' THEN {b.knight_steps(to)} & own_n
-        WHEN 'B' THEN {diagonal} & own_b
-        WHEN 'R' THEN {straight} & own_r
-        WHEN 'Q' THEN ({straight} | {diagonal}) & own_q
+        WHEN 'B' THEN reach_diagonal & own_b
+        WHEN 'R' THEN reach_straight & own_r
+        WHEN 'Q' THEN (reach_straight | reach_diagonal) & own_q
         WHEN 'K' THEN {b.king_steps(to)} & own_k
         ELSE 0L END)"""
 

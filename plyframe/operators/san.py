@@ -15,10 +15,12 @@ from plyframe.functions import bits as b
 from plyframe.operators.position import (
     LINE_TABLES,
     check_mask,
+    fenced,
     king_lines,
     king_safety,
     legal_origins,
     select_sql,
+    with_reach,
 )
 
 # --- fixed values: move notation ----------------------------------------------------------
@@ -65,7 +67,7 @@ def _finish(df: DataFrame, keep: list[str], castle: str, origin: str, sound: str
     """Settle castling, then write MOVE_COLUMNS. `origin` is a one-bit set, empty if unresolved."""
     df = select_sql(df, {"_castle": castle, "_origin": origin})
     df = select_sql(df, {
-        "ok": f"_castle <> '' OR (_origin <> 0L AND {sound})",
+        "ok": fenced(f"_castle <> '' OR (_origin <> 0L AND {sound})"),
         "castle": "_castle",
         "frm_bit": f"IF(_castle <> '', {b.const(1 << _E1)}, _origin)",
         "to": f"CASE _castle WHEN 'K' THEN {_G1} WHEN 'Q' THEN {_C1} ELSE _to END",
@@ -97,7 +99,7 @@ def with_uci_move(df: DataFrame, uci: str) -> DataFrame:
     })
     df = select_sql(df, {"_from": _mover_square("_a"), "_to": _mover_square("_b")})
     df = select_sql(df, {"_from_bit": _square_bit("_from"), "_to_bit": _square_bit("_to")})
-    df = select_sql(df, {"_piece": _PIECE_AT.format(bit="_from_bit")})
+    df = with_reach(select_sql(df, {"_piece": _PIECE_AT.format(bit="_from_bit")}), "_to_bit")
     df = select_sql(df, {"_set": legal_origins("_piece", "_to_bit", "_to")})
     return _finish(df, keep, f"IF(_promo = '', {_castle_by_squares('_from_bit', '_to')}, '')",
                    "_set & _from_bit", _PROMOTION_FITS)
@@ -139,6 +141,7 @@ def with_san_move(df: DataFrame, text: str, lenient: bool = False) -> DataFrame:
         "_other": "CASE WHEN _text LIKE 'b%' AND _g1 = '' AND _g3 = '' THEN 'B'"
                   " WHEN _text LIKE 'B%' AND _g2 = '' AND _g3 = '' THEN 'P' ELSE '' END",
     })
+    df = with_reach(df, "_to_bit")
     df = select_sql(df, {
         "_set": legal_origins("_piece", "_to_bit", "_to"),
         "_set2": legal_origins("_other", "_to_bit", "_to") if lenient else "0L",
@@ -243,6 +246,7 @@ def with_san(df: DataFrame, out: str = "san") -> DataFrame:
         same = "(must_equal IS NULL OR lower(regexp_replace(_san, '[+#]', '')) = must_equal)"
     else:
         same = "true"
+    df = with_reach(df, "to_bit")
     df = select_sql(df, {
         "_others": f"IF(piece IN ('P', 'K'), 0L, ({legal_origins('piece', 'to_bit', '`to`')}) & ~frm_bit)",
         "_gone": "IF(piece = 'P' AND to_bit = ep_bit AND shiftrightunsigned(to_bit, 8) <> frm_bit,"
@@ -262,5 +266,5 @@ def with_san(df: DataFrame, out: str = "san") -> DataFrame:
                ELSE concat(piece, left(uci, 2)) END,
           IF({takes}, 'x', ''), substr(uci, 3, 2), IF(promo = '', '', concat('=', upper(promo)))) END"""})
     mark = f"CASE WHEN NOT ({ok}) OR NOT _check THEN '' WHEN {_reply_exists()} THEN '+' ELSE '#' END"
-    df = select_sql(df, {out: f"IF({same}, concat(_san, {mark}), NULL)"})
+    df = select_sql(df, {out: f"IF({fenced(same)}, concat(_san, {mark}), NULL)"})
     return df.select(*keep, out)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plyframe.functions import bits as b
 from plyframe.functions.fen import fen_valid_viewer, side_to_move
 from plyframe.operators.moves import pseudo_legal_moves, random_baseline
-from plyframe.operators.position import pseudo_origins, select_sql, with_position
+from plyframe.operators.position import fenced, pseudo_origins, select_sql, with_position, with_reach
 from plyframe.plans.ordinals import dense_ordinal
 
 # --- fixed values -------------------------------------------------------------------------
@@ -46,6 +46,7 @@ def san_to_squares(rows: DataFrame, san: str, fen: str = "fen") -> DataFrame:
                    " ^ IF(white_to_move, 0, 56) END))",
         "_piece": "IF(_text rlike '^[KQRBN]', left(_text, 1), 'P')",
     })
+    rows = with_reach(rows, "_to_bit")
     fits = "IF(contains(_text, 'x'), (_to_bit & opp) <> 0L, (_to_bit & occ) = 0L)"
     rows = select_sql(rows, {"_set": f"IF(_to_bit <> 0L AND {fits}, {pseudo_origins('_piece', '_to_bit')}, 0L)"})
     # Board order starts at the highest bit for White; for Black the mover's view is upside down.
@@ -59,10 +60,10 @@ def san_to_squares(rows: DataFrame, san: str, fen: str = "fen") -> DataFrame:
         f"WHEN (_row & {b.const(b.FILE_H << n)}) <> 0L THEN _row & {b.const(b.FILE_H << n)}" for n in range(7, -1, -1)
     ) + " ELSE 0L END"
     rows = select_sql(rows, {"_one": files})
-    rows = select_sql(rows, {"_sq": f"IF(_one = 0L, 0, {b.index_of('_one')}) ^ IF(white_to_move, 0, 56)"})
+    rows = select_sql(rows, {"_found": fenced("_one <> 0L"), "_sq": f"IF(_one = 0L, 0, {b.index_of('_one')}) ^ IF(white_to_move, 0, 56)"})
     return rows.select(
-        *keep, F.expr(f"IF(_one = 0L, NULL, {b.name_sql('_sq')})").alias("from_name"),
-        F.expr("IF(_one = 0L, NULL, _target)").alias("to_name"),
+        *keep, F.expr(f"IF(_found, {b.name_sql('_sq')}, NULL)").alias("from_name"),
+        F.expr("IF(_found, _target, NULL)").alias("to_name"),
     )
 
 
