@@ -29,12 +29,6 @@ _HEX = "".join(f"{_CODES[p.lower()] + 8 * p.islower():x}" for p in fenf.PIECES)
 _OPPOSITE = {"n": "s", "s": "n", "e": "w", "w": "e", "ne": "sw", "sw": "ne", "nw": "se", "se": "nw"}
 
 
-def _quarters() -> dict[str, str]:
-    """The board as four 16-square quarters, one hexadecimal digit per square."""
-    return {f"_x{i}": f"coalesce(CAST(conv(substr(_hex, {16 * i + 1}, 16), 16, -10) AS BIGINT), 0L)"
-            for i in range(4)}
-
-
 def _planes() -> dict[str, str]:
     """One square set per binary digit of the piece codes."""
     return {
@@ -115,6 +109,15 @@ def _castle(letters: str, empty: list[str], path: list[str], rook: str) -> str:
     )
 
 
+def present(squares: str) -> str:
+    """Whether a square set is not empty, asked through a lambda.
+
+    A projection with a lambda is compiled on its own, in methods of bounded size. Without such
+    stops the many steps here would fuse into one method too long for the JVM to compile.
+    """
+    return f"exists(array({squares}), s -> s <> 0L)"
+
+
 def fenced(condition: str) -> str:
     """The same condition, but kept out of predicate pushdown.
 
@@ -122,7 +125,7 @@ def fenced(condition: str) -> str:
     substituting their expressions, each of which uses the previous ones several times. The
     partition number makes the column's projection a stop, and is always at least 0.
     """
-    return f"(({condition}) AND spark_partition_id() >= 0)"
+    return f"(({condition}) AND exists(array(spark_partition_id()), p -> p >= 0))"
 
 
 def select_sql(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
@@ -154,7 +157,10 @@ def with_position(df: DataFrame, fen: str = "fen") -> DataFrame:
         .otherwise(F.translate("_rights", "kqah", "")),
     })
     df = df.withColumn("_hex", F.translate("mover_board", fenf.PIECES + ".", _HEX))
-    df = select_sql(df, _quarters())
+    # The board as four numbers of 16 squares, one hexadecimal digit per square.
+    df = select_sql(df, {"_x": "transform(array(0, 1, 2, 3), i ->"
+                               " CAST(conv(substr(_hex, 16 * i + 1, 16), 16, -10) AS BIGINT))"})
+    df = select_sql(df, {f"_x{i}": f"coalesce(_x[{i}], 0L)" for i in range(4)})
     df = select_sql(df, _planes())
     df = select_sql(df, {"occ": "_t1 | _t2 | _t4", "_op": "IF(white_to_move, _t8, (_t1 | _t2 | _t4) & ~_t8)"})
     df = select_sql(df, {f"{side}_{p}": _piece_set(p, side) for side in ("own", "opp") for p in "pnbrqk"} | {
@@ -209,7 +215,8 @@ LINE_TABLES = {
 def with_reach(df: DataFrame, to: str) -> DataFrame:
     """Add what the one-bit set `to` sees along lines and diagonals, as the origin functions need."""
     return select_sql(df, {
-        "reach_straight": b.rays(to, "(~occ)", b.STRAIGHT), "reach_diagonal": b.rays(to, "(~occ)", b.DIAGONAL),
+        "reach_straight": f"IF({present(to)}, {b.rays(to, '(~occ)', b.STRAIGHT)}, 0L)",
+        "reach_diagonal": f"IF({present(to)}, {b.rays(to, '(~occ)', b.DIAGONAL)}, 0L)",
     })
 
 

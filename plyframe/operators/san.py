@@ -19,6 +19,7 @@ from plyframe.operators.position import (
     king_lines,
     king_safety,
     legal_origins,
+    present,
     select_sql,
     with_reach,
 )
@@ -194,7 +195,7 @@ def _check() -> str:
         f"({b.rays('opp_k', '(~_m_occ)', b.DIAGONAL)} & _m_diagonal)",
         f"({b.knight_steps('opp_k')} & _m_n)",
         f"({b.pawn_attacks_down('opp_k')} & _m_p)",
-    ]) + " <> 0L"
+    ]) + " <> 0L AND " + present("opp_k")
 
 
 def _struct(fields: dict[str, str]) -> str:

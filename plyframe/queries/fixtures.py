@@ -152,11 +152,11 @@ fx_pvs AS (
 # Legal first moves of accepted documents, first occurrence per SAN, numbered in document order.
 SQL_TOP = SQL_PVS + """,
 fx_first AS (
-  SELECT pos_id, fen, k, san, min(eval_idx * 4 + pv_idx) AS at FROM fx_pvs
+  SELECT pos_id, fen, k, san, min(eval_idx * 4 + pv_idx) AS seen FROM fx_pvs
   WHERE san IS NOT NULL AND line LIKE '% e7e5%'
     AND pos_id NOT IN (SELECT pos_id FROM fx_pvs WHERE line = '   ')
   GROUP BY pos_id, fen, k, san),
-fx_top AS (SELECT *, row_number() OVER (PARTITION BY pos_id ORDER BY at) AS rk FROM fx_first),
+fx_top AS (SELECT *, row_number() OVER (PARTITION BY pos_id ORDER BY seen) AS rk FROM fx_first),
 fx_samples AS (
   SELECT pos_id, k, fen, max(CASE WHEN rk = 1 THEN san END) AS best_move,
     string_agg(san, ',' ORDER BY rk) FILTER (WHERE rk <= 5) AS top_moves

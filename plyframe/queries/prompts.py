@@ -110,7 +110,7 @@ def xml_prompt(spark, sf):
 
 
 _LENGTH = 256
-_WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 _VOCAB = f"""counts AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word),
 vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS token_id FROM counts ORDER BY n DESC, word LIMIT 30000)"""
 _TOKENS = f"""{_VOCAB}, spoken AS (SELECT conv_id, turn, {_WORDS}[1:{_LENGTH}] AS ws FROM conversations),
@@ -148,7 +148,7 @@ def label_mask(spark, sf):
 
 
 @query("encode_with_batches", f"""SELECT conv_id, turn, len({_WORDS}) AS words,
-  list_sum(list_transform({_WORDS}[1:{_LENGTH}], w -> 1 + length(w))) AS id_sum FROM conversations""")
+  list_sum(list_transform({_WORDS}[1:{_LENGTH}], lambda w: 1 + length(w))) AS id_sum FROM conversations""")
 def encode_with_batches(spark, sf):
     def encode(texts):
         import re

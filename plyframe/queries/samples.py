@@ -28,7 +28,7 @@ def _joined(df):
 SELECT pos_id * 10 + eval_idx AS knodes, fen, pv_idx, cp, mate, line FROM fx_pvs""")
 def scan_eval_jsonl(spark, sf):
     path = scratch_folder(spark)
-    fx.documents(spark, sf).select("fen", "evals").write.option("compression", "zstd").json(path)
+    fx.documents(spark, sf).select("fen", "evals").write.option("compression", "gzip").json(path)
     docs = evals.read_evals(spark, path)
     rows = docs.select("fen", F.explode("evals").alias("e")).select("fen", "e.knodes", F.posexplode("e.pvs").alias("pv_idx", "pv"))
     return rows.select("knodes", "fen", "pv_idx", "pv.cp", "pv.mate", "pv.line")

@@ -17,6 +17,11 @@ _CSV = {
 _FILE_MODEL = r"evaluate_([^/]+?)(?:\.csv)?(?:/|$)"
 
 
+def _no_nulls() -> list:
+    """CSV text has no nulls: an empty field is empty text."""
+    return [F.coalesce(F.col(c), F.lit("")).alias(c) for c in _TEXT_COLUMNS]
+
+
 def write_results(scored: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """One folder per model, CSV with header. A file is one task when read back, so files are kept
     small. An empty frame still leaves the header."""
@@ -34,7 +39,7 @@ def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = spark.read.schema(_TEXT_SCHEMA).options(header=True, enforceSchema=True, **_CSV).csv(
         paths if isinstance(paths, list) else [paths])
     name = F.regexp_extract(F.col("_metadata.file_path"), _FILE_MODEL, 1)
-    return rows.select(name.alias("model"), *_TEXT_COLUMNS)
+    return rows.select(name.alias("model"), *_no_nulls())
 
 
 def read_models(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
@@ -46,7 +51,7 @@ def read_models(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             rows = spark.read.schema(_TEXT_SCHEMA).options(header=True, ignoreMissingFiles=True, **_CSV).csv(path)
         except AnalysisException:
             continue
-        parts.append(rows.select(F.lit(model).alias("model"), *_TEXT_COLUMNS))
+        parts.append(rows.select(F.lit(model).alias("model"), *_no_nulls()))
     if not parts:
         return spark.createDataFrame([], "model STRING, " + _TEXT_SCHEMA)
     out = parts[0]
