@@ -67,8 +67,8 @@ def test_mate_and_check_marks(spark):
         ("rnbqkbnr/pppp1ppp/8/4p3/6P1/5P2/PPPPP2P/RNBQKBNR b KQkq g3", "d8h4", "Qh4#"),
         ("8/8/8/3k4/8/8/4P3/4K3 w - -", "e2e4", "e4+"), ("4k3/8/8/8/8/8/8/4K2R w K -", "e1h1", "O-O"),
         ("7k/5Q2/6K1/8/8/8/8/8 w - -", "f7g7", "Qg7#"), ("k7/8/8/8/8/8/8/K6R b - -", "a8a7", "Ka7"),
-        # The pawn gives check; only taking it en passant would answer, and that is allowed here.
-        ("8/8/1Q6/2k5/2Rp4/8/4P3/4K3 w - -", "e2e4", "e4"),
+        # Mate by a double step, unless a pawn can take it en passant.
+        ("8/2Q5/8/3k4/3p4/6NB/4P3/K7 w - -", "e2e4", "e4+"), ("8/2Q5/8/3k4/3n4/6NB/4P3/K7 w - -", "e2e4", "e4#"),
     ]
     df = spark.createDataFrame(fens, "fen string, u string, expected string")
     rows = with_san(with_uci_move(with_position(df), "u")).select("expected", "san").collect()
