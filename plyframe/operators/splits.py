@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plyframe.operators.samples import valid_samples
 from plyframe.plans.ordinals import dense_ordinal
+from plyframe.plans.scratch import scratch_folder
 
 
 def take_first_valid(docs: DataFrame, n: int, key: str) -> DataFrame:
@@ -14,15 +15,19 @@ def take_first_valid(docs: DataFrame, n: int, key: str) -> DataFrame:
 
     Only a prefix of the documents is labelled; if it holds too few valid ones the prefix is
     enlarged fourfold, up to everything. The work follows `n`, not the size of the corpus, and the
-    result is the same as labelling all of it.
+    result is the same as labelling all of it. Labels are written to the scratch folder once, so
+    counting and numbering do not label again.
     """
+    spark = docs.sparkSession
     if n <= 0:
         return valid_samples(docs, key).limit(0)
     total = docs.count()
     reach = 2 * n
     while True:
         prefix = dense_ordinal(docs, key, below=reach).drop("ord") if reach < total else docs
-        samples = valid_samples(prefix, key)
+        path = scratch_folder(spark)
+        valid_samples(prefix, key).write.parquet(path)
+        samples = spark.read.parquet(path)
         if reach >= total or samples.count() >= n:
             return dense_ordinal(samples, key, below=n).drop("ord")
         reach *= 4
