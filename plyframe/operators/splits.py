@@ -22,7 +22,7 @@ def take_first_valid(docs: DataFrame, n: int, key: str) -> DataFrame:
     if n <= 0:
         return valid_samples(docs, key).limit(0)
     total = docs.count()
-    reach = 2 * n
+    reach = max(4 * n, 10_000)
     while True:
         prefix = dense_ordinal(docs, key, below=reach).drop("ord") if reach < total else docs
         path = scratch_folder(spark)
