@@ -72,3 +72,27 @@ def cyclic_next(df: DataFrame, key: str, group: list[str], out: str = "next") ->
         .withColumn(out, F.coalesce(F.lead(key).over(within), F.col("_after")))
         .drop("_bucket", "_after")
     )
+
+
+def gapless(df: DataFrame, group: list[str], rows: int, out: str = "slot", chunk: int = 1000) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ... in no particular order, whatever keys they have.
+
+    `df` must be a scan of a table (its row ids are then the same in every pass). Rows are dealt by a hash of their row
+    id to buckets of about `chunk` rows, from the table's count `rows`; a bucket starts after
+    the rows of the buckets before it. No window holds more than a bucket, however large one group is.
+    """
+    buckets = max(1, -(-rows // chunk))
+    key = F.xxhash64("_rid")
+    dealt = df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_part", F.pmod(key, F.lit(buckets)))
+    counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_rows"))
+    counts = counts.withColumn("_super", F.shiftright("_part", SUPER_BITS))
+    supers = counts.groupBy(*group, "_super").agg(F.sum("_rows").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
+    supers = supers.select(*group, "_super", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*group, "_super").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.join(supers, [*group, "_super"]).select(
+        *group, "_part", (F.col("_base") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_start"))
+    within = Window.partitionBy(*group, "_part").orderBy("_rid")
+    numbered = dealt.withColumn("_place", F.row_number().over(within) - 1)
+    return (numbered.join(starts, [*group, "_part"])
+            .withColumn(out, F.col("_start") + F.col("_place")).drop("_rid", "_part", "_start", "_place"))

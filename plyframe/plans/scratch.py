@@ -1,19 +1,25 @@
-"""Where intermediate tables go: a fresh folder under the checkpoint folder the session names."""
+"""Where intermediate tables go: a fresh folder that the driver and every executor reach."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder every executor can reach. Only without the setting, as in local tests, a
-    temporary folder of this machine is used."""
+    """A new folder under the checkpoint folder of the session, or under its warehouse where that is unset: both are
+    shared by the driver and the executors."""
     base = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not base:
-        base = tempfile.mkdtemp(prefix="plyframe-")
+        base = spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{base.rstrip('/')}/plyframe-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once and read back: a lost executor costs a read of the file, not the plan above it."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
