@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm import maxscore, rendezvous, snapshots, warc
+from plyframe.llm import maxscore, packing, rendezvous, simhash, snapshots, warc
+from plyframe.plans.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +41,24 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "grown_shard")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Every piece of every document with its place; ids are reduced to their checksum before anything is shuffled."""
+    pieces = packing.pieces(docs, "doc_id", "text", vocabulary())
+    narrow = written(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
+    return packing.pack(narrow, "length")
+
+
+@query("op3_histogram_packing")
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 @query("op4_chat_snapshots", """
 WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
 whole AS (SELECT conv_id, count(*) AS n_turns, string_agg('<|im_start|>' || coalesce(role, 'user') || chr(10)
@@ -52,6 +71,12 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.chat_records(table(spark, sf_dir, "conversations"))
 
 
+@query("op6_simhash_near_duplicates")
+def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query("op7_warc_derivatives")
 def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivatives(table(spark, sf_dir, "pages"))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from plyframe.plans.ordinals import gapless
 from plyframe.plans.scratch import written
 
+ROWS = 1000
+
 
 def _scored(key: Column, shard: int, weight: float) -> Column:
     bits = F.shiftrightunsigned(F.xxhash64(key.cast("string"), F.lit(shard)), 11)
@@ -43,4 +45,5 @@ def place(records: DataFrame, key: str, text: str, shards: Sequence[tuple[int, f
         F.col(key).alias("key"), (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"), shard_of(F.col(key), shards).alias("shard"),
         shard_of(F.col(key), grown).alias("grown_shard")))
-    return gapless(narrow, ["shard"], narrow.count(), "slot")
+    parts = -(-narrow.count() // (len(shards) * ROWS)) or 1
+    return gapless(narrow, ["shard"], F.lit(parts), "slot")
