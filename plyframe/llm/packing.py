@@ -121,8 +121,8 @@ def patterns(histogram: dict[int, int], most: int) -> list[tuple[int, list[int]]
     return [(count, list(held)) for found in by_room.values() for count, held in found]
 
 
-def pack(table: DataFrame, length: str, most: int = 1024) -> DataFrame:
-    """The rows of `table`, a scan of a table, with sequence_id and offset: rows of one sequence do not overlap and
+def pack(table: DataFrame, length: str, row: str, most: int = 1024) -> DataFrame:
+    """The rows of `table`, written with their number `row`, with sequence_id and offset: rows of one sequence do not overlap and
     start at 0 without gaps; no sequence is longer than `most`.
 
     Lengths lie from 1 to `most`, else it raises. Every row gets a place, repeated rows too; an empty table gives no
@@ -144,7 +144,7 @@ def pack(table: DataFrame, length: str, most: int = 1024) -> DataFrame:
         sequences += count
     sizes = spark.createDataFrame([(n, -(-c // ROWS)) for n, c in histogram.items()], "_length int, _parts long")
     ranked = table.withColumn("_length", F.col(length).cast("int")).join(F.broadcast(sizes), "_length")
-    ranked = gapless(ranked, ["_length"], F.col("_parts"), "_rank")
+    ranked = gapless(ranked, ["_length"], F.col("_parts"), row, "_rank")
     ranges = spark.createDataFrame(entries, "_length int, _from long, _to long, _shift long, offset long")
     if len(entries) <= BROADCAST_ROWS:
         ranges = F.broadcast(ranges)

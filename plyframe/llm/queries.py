@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm import maxscore, packing, rendezvous, simhash, snapshots, warc
+from plyframe.llm import maxscore, mil, packing, rendezvous, simhash, snapshots, warc
 from plyframe.plans.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,8 +50,9 @@ def vocabulary() -> str:
 def packed(docs: DataFrame) -> DataFrame:
     """Every piece of every document with its place; ids are reduced to their checksum before anything is shuffled."""
     pieces = packing.pieces(docs, "doc_id", "text", vocabulary())
-    narrow = written(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
-    return packing.pack(narrow, "length")
+    narrow = written(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                                   F.monotonically_increasing_id().alias("row")))
+    return packing.pack(narrow, "length", "row").drop("row")
 
 
 @query("op3_histogram_packing")
@@ -71,6 +72,23 @@ def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.chat_records(table(spark, sf_dir, "conversations"))
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
+
+
+def quality_model(docs: DataFrame, spark: SparkSession, sf_dir: str) -> mil.Model:
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+    return mil.fit(docs, labels, "doc_id", "text", "quality")
+
+
+@query("op5_mil_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = mil.scored(docs, quality_model(docs, spark, sf_dir), "doc_id", "text")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op6_simhash_near_duplicates")
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -44,6 +44,7 @@ def place(records: DataFrame, key: str, text: str, shards: Sequence[tuple[int, f
     narrow = written(records.select(
         F.col(key).alias("key"), (F.octet_length(raw) + F.lit(16)).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"), shard_of(F.col(key), shards).alias("shard"),
-        shard_of(F.col(key), grown).alias("grown_shard")))
+        shard_of(F.col(key), grown).alias("grown_shard"),
+        F.monotonically_increasing_id().alias("row")))
     parts = -(-narrow.count() // (len(shards) * ROWS)) or 1
-    return gapless(narrow, ["shard"], F.lit(parts), "slot")
+    return gapless(narrow, ["shard"], F.lit(parts), "row").drop("row")
