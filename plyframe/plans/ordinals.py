@@ -8,7 +8,7 @@ two levels so that no window sees more than a small fraction of the buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 16
@@ -74,16 +74,14 @@ def cyclic_next(df: DataFrame, key: str, group: list[str], out: str = "next") ->
     )
 
 
-def gapless(df: DataFrame, group: list[str], rows: int, out: str = "slot", chunk: int = 1000) -> DataFrame:
+def gapless(df: DataFrame, group: list[str], parts: Column, row: str, out: str = "slot") -> DataFrame:
     """Number the rows of each group 0, 1, 2, ... in no particular order, whatever keys they have.
 
-    `df` must be a scan of a table (its row ids are then the same in every pass). Rows are dealt by a hash of their row
-    id to buckets of about `chunk` rows, from the table's count `rows`; a bucket starts after
-    the rows of the buckets before it. No window holds more than a bucket, however large one group is.
+    `row` is a number of its own for each row, the same in every pass, as a table has that was written with it. Rows are
+    dealt by its hash to `parts` buckets of their group, a count that follows the group's size; a bucket starts after
+    the rows of the buckets before it. No window holds more than one bucket, however large a group is.
     """
-    buckets = max(1, -(-rows // chunk))
-    key = F.xxhash64("_rid")
-    dealt = df.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_part", F.pmod(key, F.lit(buckets)))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(row), parts.cast("long")))
     counts = dealt.groupBy(*group, "_part").agg(F.count("*").alias("_rows"))
     counts = counts.withColumn("_super", F.shiftright("_part", SUPER_BITS))
     supers = counts.groupBy(*group, "_super").agg(F.sum("_rows").alias("_n"))
@@ -92,7 +90,7 @@ def gapless(df: DataFrame, group: list[str], rows: int, out: str = "slot", chunk
     inside = Window.partitionBy(*group, "_super").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.join(supers, [*group, "_super"]).select(
         *group, "_part", (F.col("_base") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_start"))
-    within = Window.partitionBy(*group, "_part").orderBy("_rid")
+    within = Window.partitionBy(*group, "_part").orderBy(row)
     numbered = dealt.withColumn("_place", F.row_number().over(within) - 1)
     return (numbered.join(starts, [*group, "_part"])
-            .withColumn(out, F.col("_start") + F.col("_place")).drop("_rid", "_part", "_start", "_place"))
+            .withColumn(out, F.col("_start") + F.col("_place")).drop("_part", "_start", "_place"))
