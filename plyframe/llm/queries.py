@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm import maxscore, mil, packing, rendezvous, simhash, snapshots, warc
+from plyframe.llm import chunks, maxscore, mil, packing, rendezvous, simhash, snapshots, warc
 from plyframe.plans.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_chunk_deduplication")
+def chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.deduplicated(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.withColumn("kept", F.decode("kept", "utf-8")).withColumnRenamed("kept", "text")
+
+
 SHARDS = 40
 
 
