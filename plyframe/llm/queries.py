@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm import chunks, maxscore, mil, packing, rendezvous, simhash, snapshots, warc
+from plyframe.llm import chunks, maxscore, mil, packing, rendezvous, repeats, simhash, snapshots, warc
 from plyframe.plans.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,3 +119,9 @@ def search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")).cast("double")).alias("x"))
     return maxscore.top_k(vectors, "vec_id", "x", "id % 50 = 0")
+
+
+@query("op9_suffix_array_deduplication")
+def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
