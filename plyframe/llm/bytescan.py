@@ -73,6 +73,27 @@ def cut(docs: DataFrame, id: str, text: str, spans: DataFrame) -> DataFrame:
     return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
+def rewritten(docs: DataFrame, id: str, text: str, spans: DataFrame) -> DataFrame:
+    """All rows and columns of `docs`, with the spans cut from `text`. A character of which only a part is left goes
+    with its span; a null text stays null."""
+    names = docs.columns
+    at = names.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch["row"].flatten()
+            kept = [_cut(x.encode("utf-8", "replace"), c)[3].decode("utf-8", "ignore") if c else x
+                    for x, c in zip(columns[at].to_pylist(), batch["cuts"].to_pylist(), strict=True)]
+            columns[at] = pa.array(kept, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(body).alias("mark"), F.struct(*docs.columns).alias("row"))
+    found = spans.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    same = whole["doc_id"].eqNullSafe(found["doc_id"]) & (whole["mark"] == found["mark"])
+    return whole.join(found, same, "left").select(whole["row"], "cuts").mapInArrow(work, docs.schema)
+
+
 def _cut(body: bytes, cuts: list[dict] | None) -> tuple[int, int, int, bytes]:
     kept, at, removed, runs = [], 0, 0, 0
     for c in cuts or ():

@@ -179,14 +179,28 @@ def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, samp
     return train(bags, y, np.array([sizes[int(k)] / used[int(k)] for k in y]))
 
 
+def _score(model: Model, text: str | None) -> float:
+    return model.score(np.concatenate([model.encoded(features(s)) for s in spans((text or "").encode("utf-8", "replace"))]))
+
+
+def accepted(docs: DataFrame, model: Model, text: str, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose whole text scores `least` or more."""
+    at = docs.columns.index(text)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([_score(model, x.as_py()) >= least for x in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def scored(docs: DataFrame, model: Model, id: str, text: str) -> DataFrame:
     """doc_id, score for every row and its whole text. A null text is empty; an empty one is one passage without words.
     Nothing is shuffled; the model is a few thousand numbers, whatever the data."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = [model.score(np.concatenate([model.encoded(features(s)) for s in spans((x.as_py() or "").encode("utf-8", "replace"))]))
-                     for x in batch["text"]]
+            score = [_score(model, x.as_py()) for x in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score, pa.float64())], ["doc_id", "score"])
 
     source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

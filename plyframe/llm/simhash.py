@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyframe.llm.bytescan import keyed
 from plyframe.llm.components import components
 from plyframe.plans.scratch import written
 
@@ -49,15 +50,14 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, id: str, text: str, words: int = 4) -> DataFrame:
-    """doc_id, fp for every row."""
+    """doc_id, mark (a checksum of the text), fp for every row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [fingerprint(t.as_py(), words) for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(prints, pa.int64())], ["doc_id", "mark", "fp"])
 
-    source = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(work, "doc_id long, fp long")
+    return keyed(docs, id, text).mapInArrow(work, "doc_id long, mark int, fp long")
 
 
 def variants(fp: Column) -> Column:
@@ -126,7 +126,8 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id: str, text: str, words: int = 4, crowd: int = CROWD) -> DataFrame:
-    """doc_id, fp, component_id: the smallest id among all documents reachable over links of MOST bits, itself included.
+    """doc_id, mark, fp, component_id (the smallest id among all documents reachable over links of MOST bits, itself
+    included), root (a fingerprint that names the component).
 
     A null text has no words; documents without words have fingerprint 0. Repeated rows each give a row; a row without
     an id takes part with its fingerprint, and a component of such rows alone has a null component_id. An empty table
@@ -138,4 +139,16 @@ def near_duplicates(docs: DataFrame, id: str, text: str, words: int = 4, crowd:
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "mark", "fp", "component_id", "root")
+
+
+def representatives(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: one for each group of near-duplicates, the one with the
+    smallest id; of rows that share that id the text with the smallest checksum, and of equal rows any one."""
+    found = near_duplicates(docs, id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = found.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("mark"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(body).alias("mark"), F.struct(*docs.columns).alias("row"))
+    kept = rows.select(key.alias("key"), "row").join(chosen.select(key.alias("key")), "key", "left_semi")
+    return kept.dropDuplicates(["key"]).select("row.*")
