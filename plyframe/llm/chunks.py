@@ -19,7 +19,7 @@ from plyframe.llm.bytescan import buffers, cut, keyed, sliding
 from plyframe.plans.scratch import written
 
 WINDOW = 32
-REACH = 24
+REACH = 32
 LEAST = 32
 LONGEST = 1024
 GEAR = np.random.default_rng(20_240_501).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -45,7 +45,7 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends, whole = boundaries(data), data.tobytes()
         start, stop, doc = [], [], []
         for i, (a, b) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
-            inner = ends[np.searchsorted(ends, a, "right") : np.searchsorted(ends, b, "left")].tolist()
+            inner = ends[np.searchsorted(ends, a + LEAST, "left") : np.searchsorted(ends, b - LEAST, "right")].tolist()
             at = a
             for end in [*inner, b]:
                 while end - at > LONGEST:
@@ -78,8 +78,8 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, id: str, text: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept: each text without the chunks that were seen before.
 
-    A chunk stays in the document with the smallest id that has it, at its first place there; chunks under LEAST bytes
-    always stay. A row without an id comes after all others. Rows that repeat an id are one document, told again: they
+    A chunk stays in the document with the smallest id that has it, at its first place there. No boundary is set within
+    LEAST bytes of an end of a text, so only texts shorter than that are shorter chunks, and these always stay. A row without an id comes after all others. Rows that repeat an id are one document, told again: they
     keep the same chunks. A null text is empty. An empty table gives no rows; other columns are not read. The largest
     chunk has LONGEST bytes, so long runs of one byte are chunks too. A text is read whole, by one task, in linear time.
     """

@@ -92,6 +92,8 @@ def named(t: np.ndarray, seeds: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def suffix_array(t: np.ndarray, letters: int) -> np.ndarray:
     """The suffixes of `t`, whose last letter is its only 0, in order; letters of 16 bits are placed fastest."""
+    if len(t) == 1:
+        return np.zeros(1, np.int64)
     small = classify(t)
     seeds = np.flatnonzero(small & np.r_[False, ~small[:-1]])
     if len(seeds) < 2:

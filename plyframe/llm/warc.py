@@ -61,7 +61,7 @@ def derived(page_id: int | None, url: str | None, page: str | None, date: str, h
     links = len(LINK.findall(page or ""))
     fields = [("source-record-id", source), ("source-payload-digest", payload), ("source-block-digest", response)]
     fields += [(f"source-{k.strip().lower()}", v.strip()) for k, _, v in (x.partition(":") for x in headers.split("\r\n")[1:] if x)]
-    fields += [("title", name)] * bool(name) + [("language", lang[1])] * bool(lang) + [("links", str(links))]
+    fields += [("title", name)] * bool(name) + [("language", lang[1] if lang else "")] * bool(lang) + [("links", str(links))]
     about = "".join(f"{k}: {v}\r\n" for k, v in fields)
     out = []
     for kind, mime, block in (("metadata", "application/warc-fields", about), ("conversion", "text/plain; charset=utf-8", plain_text(page or ""))):
