@@ -129,7 +129,7 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
     before[sa[1:]] = sa[:-1]
     i = np.arange(n)
     known = (before >= 0) & (i > 0) & (before > 0)
-    fresh = np.flatnonzero(~known | (t[i - 1] != t[before - 1]))
+    fresh = np.flatnonzero(~known | (t[i - 1] != t[np.maximum(before - 1, 0)]))
     length = np.zeros(len(fresh), np.int64)
     alive = np.flatnonzero(before[fresh] >= 0)
     while len(alive):
