@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.llm.bytescan import buffers, cut, keyed, sliding
-from plyframe.plans.scratch import written
+from plyframe.plans.scratch import apart, written
 
 WINDOW = 32
 REACH = 32
@@ -87,6 +87,6 @@ def deduplicated(docs: DataFrame, id: str, text: str) -> DataFrame:
     rank = F.coalesce("doc_id", F.lit(2**63 - 1))
     fresh = chunks.where(~F.col("again"))
     owners = fresh.groupBy("d1", "d2").agg(F.min(rank).alias("owner"), F.max(rank).alias("most")).where("owner < most").drop("most")
-    taken = fresh.join(owners, ["d1", "d2"]).where(rank > F.col("owner"))
+    taken = fresh.join(apart(owners, "d1"), ["d1", "d2"]).where(rank > F.col("owner"))
     place = ["doc_id", "mark", "start", "stop"]
     return cut(docs, id, text, taken.select(place).union(chunks.where("again").select(place)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.plans.scratch import written
+from plyframe.plans.scratch import apart, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(apart(least, "a"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(apart(least, "a"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         state = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == seen:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plyframe.llm.bytescan import buffers, cut, keyed, sliding
 from plyframe.llm.induced import permuted_common_prefixes, suffix_array
-from plyframe.plans.scratch import written
+from plyframe.plans.scratch import apart, written
 
 LENGTH = 200
 GRAM = 48
@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int = LENGTH, cr
     whole = keyed(docs, id, text)
     contexts = written(whole.mapInArrow(lambda b: _contexts(b, length), CONTEXTS))
     names = contexts.groupBy("name").agg(F.count("*").alias("m"), (F.min("digest") != F.max("digest")).alias("mixed"))
-    shared = written(contexts.join(names.where("m > 1").drop("m"), "name"))
+    shared = written(contexts.join(apart(names.where("m > 1").drop("m"), "name"), "name"))
     equal = shared.where("NOT mixed").select("doc_id", "mark", "at", "n")
     mixed = shared.where("mixed").groupBy("name", "digest").agg(
         F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("doc_id", "mark", "place", "n", "at")))

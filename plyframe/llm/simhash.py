@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plyframe.llm.bytescan import keyed
 from plyframe.llm.components import components
-from plyframe.plans.scratch import written
+from plyframe.plans.scratch import apart, written
 
 SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, id: str, text: str, words: int = 4, crowd:
     roots = components(links(distinct.select("fp"), crowd))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
+    named = rooted.select("fp", "root").join(apart(least, "root"), "root").select("fp", "root", "component_id")
     return prints.join(named, "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
