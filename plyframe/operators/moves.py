@@ -130,13 +130,14 @@ _LEGAL = """CASE
 
 
 def legal_moves(positions: DataFrame, fen: str = "fen", keep_position: bool = False) -> DataFrame:
-    """All legal moves, one row each, with castling, en passant and the four promotions.
+    """All legal moves, one row each, with castling, en passant and the four promotions. A FEN with a malformed field
+    has none.
 
     `frm` and `to` are seen from the mover's side; `uci` is in board terms. With `keep_position`
     the position columns stay, as `san.with_san` needs them.
     """
     keep = positions.columns
-    moves = _candidate_moves(with_position(positions, fen), "(opp | ep_bit)").where(_LEGAL)
+    moves = _candidate_moves(with_position(positions, fen, strict=True), "(opp | ep_bit)").where(_LEGAL)
     return moves.select(*keep, *(POSITION_COLUMNS if keep_position else []), *MOVE_COLUMNS)
 
 

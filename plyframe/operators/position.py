@@ -132,9 +132,9 @@ def select_sql(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
     return df.withColumns({name: F.expr(sql) for name, sql in exprs.items()})
 
 
-def with_position(df: DataFrame, fen: str = "fen") -> DataFrame:
-    """Add the columns of POSITION_COLUMNS. A malformed placement gives an empty board, hence no
-    moves.
+def with_position(df: DataFrame, fen: str = "fen", strict: bool = False) -> DataFrame:
+    """Add the columns of POSITION_COLUMNS. A malformed placement, and with `strict` any malformed field, gives an empty
+    board, hence no moves.
 
     The steps are separate projections on purpose: each is referenced several times by the next,
     and generated methods stay below the size the JVM compiles.
@@ -151,7 +151,7 @@ def with_position(df: DataFrame, fen: str = "fen") -> DataFrame:
     df = df.withColumns({
         "white_to_move": ~F.col("_black"),
         # The mover's last rank first; black pieces stay in lower case.
-        "mover_board": F.when(~fenf.grid_ok(F.col("_grid")), "." * 64)
+        "mover_board": F.when(~(fenf.fen_valid_strict(F.col(fen)) if strict else fenf.grid_ok(F.col("_grid"))), "." * 64)
         .when(F.col("_black"), ranks_up).otherwise(F.replace("_grid", F.lit("/"), F.lit(""))),
         "_rights": F.when(F.col("_black"), F.translate("_rights", "kqahKQAH", "KQAH"))
         .otherwise(F.translate("_rights", "kqah", "")),

@@ -78,6 +78,18 @@ def apply_template(messages: Column, template: ChatTemplate = ChatTemplate(), as
     return F.concat(text, F.lit(template.generation)) if ask else text
 
 
+def chat_text(fen: Column, best_move: Column | None = None, style: PromptStyle = REASONED,
+              template: ChatTemplate = ChatTemplate()) -> Column:
+    """The template over the messages of `chat_messages`, joined directly: the board is built once. Without `best_move`
+    the text asks for it."""
+    said = [("system", [F.lit(style.system)]), ("user", [position_text(fen)])]
+    if best_move is not None:
+        said.append(("assistant", [F.lit(style.reply_prefix), best_move]))
+    parts = [x for role, content in said for x in (
+        F.lit(template.before_role + role + template.after_role), *content, F.lit(template.after_message))]
+    return F.concat(*parts, *([F.lit(template.generation)] if best_move is None else []))
+
+
 def plain_prompt(fen: Column, best_move: Column | None = None, style: PromptStyle = REASONED) -> Column:
     """Text for tokenizers without a chat template."""
     text = F.concat(F.lit(style.plain + "\n\n"), position_text(fen), F.lit("\nAnswer:\n"))
@@ -87,19 +99,19 @@ def plain_prompt(fen: Column, best_move: Column | None = None, style: PromptStyl
 def prompt_or_plain(has_template: Column, fen: Column, best_move: Column | None = None,
                     style: PromptStyle = SAN_ONLY, template: ChatTemplate = ChatTemplate()) -> Column:
     """Template text where one is available, else the plain prompt."""
-    chat = apply_template(chat_messages(fen, best_move, style), template, ask=best_move is None)
-    return F.when(has_template, chat).otherwise(plain_prompt(fen, best_move, style))
+    return F.when(has_template, chat_text(fen, best_move, style, template)).otherwise(plain_prompt(fen, best_move, style))
 
 
-def legal_san_list(positions: DataFrame, key: str, fen: str = "fen") -> DataFrame:
-    """All legal moves of a position as sorted SAN; bounded by the rules of the game."""
-    moves = with_san(legal_moves(positions.select(key, fen), fen, keep_position=True))
-    return moves.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("san")), ", ").alias("legal_san"))
+def legal_san_list(positions: DataFrame, fen: str = "fen") -> DataFrame:
+    """The rows with all legal moves of their position as sorted SAN, bounded by the rules of the game. Rows carry all
+    their columns through move generation; a position without moves gives no row."""
+    moves = with_san(legal_moves(positions, fen, keep_position=True))
+    return moves.groupBy(*positions.columns).agg(F.array_join(F.array_sort(F.collect_list("san")), ", ").alias("legal_san"))
 
 
 def tagged_prompt(samples: DataFrame, key: str) -> DataFrame:
     """Five-tag prompt. `samples` has key, fen, best_move, top_moves, cp and mate."""
-    rows = samples.join(legal_san_list(samples, key), key)
+    rows = legal_san_list(samples.select(key, "fen", "best_move", "top_moves", "cp", "mate"))
     side = side_to_move(F.col("fen"))
     bucket = eval_bucket(F.col("cp"), F.col("mate"), side == "White")
     text = F.concat(

@@ -17,7 +17,7 @@ def reply_to_san(replies: DataFrame, use_marker: bool = True, fen: str = "fen",
     `use_marker` looks behind the last marker only; otherwise the whole reply is searched.
     """
     keep = replies.columns
-    rows = with_position(replies.withColumn("_candidate", t.candidate(F.col(reply), use_marker)), fen)
+    rows = with_position(replies.withColumn("_candidate", t.candidate(F.col(reply), use_marker)), fen, strict=True)
     rows = with_san(with_san_move(rows, "_candidate", lenient=True), "_san_out")
     return rows.select(*keep, F.coalesce("_san_out", F.lit("")).alias(out))
 
@@ -25,7 +25,7 @@ def reply_to_san(replies: DataFrame, use_marker: bool = True, fen: str = "fen",
 def resolve_san(rows: DataFrame, san: str, fen: str = "fen", lenient: bool = False, out: str = "resolved") -> DataFrame:
     """Add `out`: canonical SAN of the one legal move that `san` can mean, null if none."""
     keep = rows.columns
-    return with_san(with_san_move(with_position(rows, fen), san, lenient), out).select(*keep, out)
+    return with_san(with_san_move(with_position(rows, fen, strict=True), san, lenient), out).select(*keep, out)
 
 
 def unparsed_replies(scored: DataFrame) -> DataFrame:

@@ -123,7 +123,7 @@ def with_san_move(df: DataFrame, text: str, lenient: bool = False) -> DataFrame:
     low = F.lower("_given")
     usual = F.when(F.rlike(low, F.lit("^o-o")), F.upper("_given")).otherwise(
         F.concat(F.when(F.rlike(low, F.lit("^[nrqk]")), F.upper(F.left(low, F.lit(1)))).otherwise(F.left(low, F.lit(1))),
-                 F.substring(low, 2, 1_000_000)))
+                 F.substr(low, F.lit(2))))
     df = df.withColumn("_text", F.when(known, F.col("_given")).otherwise(usual) if lenient else F.col("_given"))
     df = df.withColumns({f"_g{i}": F.regexp_extract("_text", SAN_PATTERN, i) for i in range(1, 6)})
     df = select_sql(df, {

@@ -17,7 +17,7 @@ RESULT_COLUMNS = ["id", "fen", "model_move", "full_reply", "legal", "good", "top
 def score_moves(rows: DataFrame, san: str = "model_move", top: str = "top_moves", fen: str = "fen") -> DataFrame:
     """Add `legal` (the text resolves to a legal move) and `good` (exact text among the top moves)."""
     keep = rows.columns
-    moves = with_san_move(with_position(rows, fen), san)
+    moves = with_san_move(with_position(rows, fen, strict=True), san)
     good = F.coalesce(F.array_contains(top, F.col(san)), F.lit(False))
     return moves.select(*keep, F.col("ok").alias("legal"), good.alias("good"))
 

@@ -7,29 +7,24 @@ from pyspark.sql import functions as F
 
 from plyframe.operators.samples import valid_samples
 from plyframe.plans.ordinals import dense_ordinal
-from plyframe.plans.scratch import scratch_folder
+from plyframe.plans.scratch import written
 
 
 def take_first_valid(docs: DataFrame, n: int, key: str) -> DataFrame:
-    """The first `n` valid samples by `key`, without labelling the whole corpus.
+    """The first `n` valid samples by `key`, numbered from 0 in `ord`, without labelling the whole corpus.
 
-    Only a prefix of the documents is labelled; if it holds too few valid ones the prefix is
-    enlarged fourfold, up to everything. The work follows `n`, not the size of the corpus, and the
-    result is the same as labelling all of it. Labels are written to the scratch folder once, so
-    counting and numbering do not label again.
+    The largest of the first `4 n` keys is a literal bound on the documents that are labelled: the filter reaches the
+    scan, which skips row groups beyond it, and nothing of the corpus is shuffled. While too few of them are valid and
+    keys are left, the bound moves on fourfold. Labels are written once, for counting and numbering.
     """
-    spark = docs.sparkSession
-    if n <= 0:
-        return valid_samples(docs, key).limit(0)
-    total = docs.count()
-    reach = max(4 * n, 10_000)
+    reach = 4 * max(n, 1)
     while True:
-        prefix = dense_ordinal(docs, key, below=reach).drop("ord") if reach < total else docs
-        path = scratch_folder(spark)
-        valid_samples(prefix, key).write.parquet(path)
-        samples = spark.read.parquet(path)
-        if reach >= total or samples.count() >= n:
-            return dense_ordinal(samples, key, below=n).drop("ord")
+        keys = docs.select(key).where(F.col(key).isNotNull()).orderBy(key).limit(reach)
+        bound, seen = keys.agg(F.max(key), F.count("*")).first()
+        prefix = docs.where(F.col(key) <= F.lit(bound))
+        samples = written(valid_samples(prefix, key))
+        if seen < reach or samples.count() >= n:
+            return dense_ordinal(samples, key, below=n)
         reach *= 4
 
 
@@ -38,9 +33,10 @@ def _split_of(ord_: Column, train: int, val: int) -> Column:
 
 
 def sequential_split(samples: DataFrame, train: int, val: int, test: int, key: str, skip: int = 0) -> DataFrame:
-    """Add `ord` and `split`. Short input gives short or empty tails. `skip` starts later, which
-    keeps an evaluation set apart from the rows trained on."""
-    rows = dense_ordinal(samples, key, below=skip + train + val + test).where(F.col("ord") >= skip)
+    """Add `ord`, unless the samples have it, and `split`. Short input gives short or empty tails. `skip` starts later,
+    which keeps an evaluation set apart from the rows trained on."""
+    rows = samples if "ord" in samples.columns else dense_ordinal(samples, key)
+    rows = rows.where(F.col("ord").between(skip, skip + train + val + test - 1))
     return rows.withColumn("split", _split_of(F.col("ord") - skip, train, val))
 
 
@@ -57,5 +53,5 @@ def eval_samples(samples: DataFrame, n: int, key: str, skip: int = 0) -> DataFra
     """The evaluation set: the first `n` valid samples, numbered. Numbers are never reassigned when
     a row fails later, so failures leave gaps."""
     return sequential_split(samples, 0, 0, n, key, skip).select(
-        F.col("ord").alias("id"), *[c for c in samples.columns if c != "id"]
+        F.col("ord").alias("id"), *[c for c in samples.columns if c not in ("id", "ord")]
     )

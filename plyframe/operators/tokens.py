@@ -8,28 +8,29 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plyframe.plans.ordinals import dense_ordinal
+from plyframe.plans.scratch import written
+
 PAD, UNKNOWN = 0, 1
 FIRST_WORD_ID = 2
-MAX_VOCABULARY = 30_000
+BROADCAST_WORDS = 100_000
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def vocabulary(texts: DataFrame, text: str, size: int = MAX_VOCABULARY) -> DataFrame:
-    """The `size` most frequent words with their ids. Words are counted before they are shuffled,
-    so a word that is everywhere costs one row per task; ids are given after the cut."""
-    if size > MAX_VOCABULARY:
-        raise ValueError(f"vocabulary is broadcast, at most {MAX_VOCABULARY} words")
+def vocabulary(texts: DataFrame, text: str, size: int | None = None) -> DataFrame:
+    """All words with their ids, the most frequent first, or the first `size` of them. Words are counted before they
+    are shuffled, so a word that is everywhere costs one row per task; ids are places in a range partitioning."""
     counts = texts.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    order = [F.desc("n"), F.asc("word")]
-    top = counts.orderBy(*order).limit(size)
-    return top.select("word", "n", (F.row_number().over(Window.orderBy(*order)) - 1 + FIRST_WORD_ID).alias("token_id"))
+    counts = written(counts.withColumn("_less", -F.col("n")))
+    return dense_ordinal(counts, ["_less", "word"], below=size, out="token_id").select(
+        "word", "n", (F.col("token_id") + FIRST_WORD_ID).alias("token_id"))
 
 
 def pad_to(ids: Column, length: int) -> Column:
@@ -48,13 +49,17 @@ def attention_mask(ids: Column, used: Column) -> Column:
 def tokenize_pad(texts: DataFrame, key: list[str], text: str, vocab: DataFrame, max_length: int = 512) -> DataFrame:
     """input_ids, attention_mask and labels of exactly `max_length`; no other column but the key.
 
-    The key is unique, so regrouping collects at most `max_length` rows; the vocabulary is
-    broadcast, its size being checked in `vocabulary`.
+    The key is unique, so regrouping collects at most `max_length` rows. The words with the smallest ids, which are the
+    most frequent ones, are broadcast; only words that are not among them are joined by a shuffle.
     """
-    ids = F.broadcast(vocab.select("word", "token_id"))
+    ids = vocab.select("word", "token_id")
+    common = F.broadcast(ids.where(F.col("token_id") < FIRST_WORD_ID + BROADCAST_WORDS).withColumnRenamed("token_id", "_common"))
+    spoken = texts.select(*key, F.posexplode_outer(F.slice(words(F.col(text)), 1, max_length)).alias("pos", "word")).join(
+        common, "word", "left")
+    rare = ids.where(F.col("token_id") >= FIRST_WORD_ID + BROADCAST_WORDS)
     tokens = (
-        texts.select(*key, F.posexplode_outer(F.slice(words(F.col(text)), 1, max_length)).alias("pos", "word"))
-        .join(ids, "word", "left")
+        spoken.where("_common IS NOT NULL OR word IS NULL").withColumnRenamed("_common", "token_id")
+        .unionByName(spoken.where("_common IS NULL AND word IS NOT NULL").drop("_common").join(rare, "word", "left"))
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct(
             "pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("id"))))).alias("_t"))

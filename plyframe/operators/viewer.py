@@ -10,6 +10,7 @@ from plyframe.functions.fen import fen_valid_viewer, side_to_move
 from plyframe.operators.moves import pseudo_legal_moves, random_baseline
 from plyframe.operators.position import fenced, pseudo_origins, select_sql, with_position, with_reach
 from plyframe.plans.ordinals import dense_ordinal
+from plyframe.plans.scratch import written
 
 # --- fixed values -------------------------------------------------------------------------
 MATCH = "Great! Your move matches the LLM suggestion."
@@ -70,10 +71,10 @@ def san_to_squares(rows: DataFrame, san: str, fen: str = "fen") -> DataFrame:
 def model_move_or_baseline(entries: DataFrame, key: str, san: str = "model_move", seed: str = "0") -> DataFrame:
     """The model's move as squares, else the seeded baseline; both null if there is no move.
 
-    Moves are generated only for the rows that need them. The hash depends on the key, so
+    The texts are read once and written; moves are generated only for the rows that need them. The hash depends on the key, so
     the choice is the same on every run.
     """
-    read = san_to_squares(entries, san)
+    read = written(san_to_squares(entries, san))
     need = read.where(F.col("from_name").isNull()).select(key, "fen")
     base = random_baseline(need, key, seed)
     return read.join(base, key, "left").select(

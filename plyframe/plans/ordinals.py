@@ -1,9 +1,8 @@
 """Dense row numbers without a single-partition window over the data.
 
-Rows are cut into buckets of consecutive keys. A key is unique inside its group, so a bucket of
-2**BUCKET_BITS keys holds at most as many rows, whatever the skew between groups: numbering inside a bucket is a
-bounded window. The starting number of each bucket is a running sum over bucket counts, taken in
-two levels so that no window sees more than a small fraction of the buckets.
+Ordered numbers come from a range partitioning by the key: rows are sorted inside their partition and written with
+their place in it, and a partition starts after the rows of the partitions before it. Any key will do, of any number
+and type of columns, dense or sparse; no task holds more than a partition, which sorts on disk if need be.
 """
 
 from __future__ import annotations
@@ -11,67 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_BITS = 16
-SUPER_BITS = 10
-
-
-def _with_bucket(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("_bucket", F.shiftright(F.col(key).cast("bigint"), BUCKET_BITS))
-
+from plyframe.plans.scratch import written
 
-def bucket_starts(df: DataFrame, key: str, group: list[str]) -> DataFrame:
-    """Rows before each bucket of `key`, within the group: columns group, _bucket, _start, _rows."""
-    counts = _with_bucket(df, key).groupBy(*group, "_bucket").agg(F.count("*").alias("_rows"))
-    counts = counts.withColumn("_super", F.shiftright("_bucket", SUPER_BITS))
-    supers = counts.groupBy(*group, "_super").agg(F.sum("_rows").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_super").rowsBetween(Window.unboundedPreceding, -1)
-    supers = supers.select(*group, "_super", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*group, "_super").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.join(supers, [*group, "_super"]).select(
-        *group, "_bucket", "_rows",
-        (F.col("_base") + F.coalesce(F.sum("_rows").over(inside), F.lit(0))).alias("_start"),
-    )
+SUPER_BITS = 10
+PLACE = (1 << 33) - 1  # of a row in its partition, in the ids that Spark gives out
 
 
-def dense_ordinal(df: DataFrame, key: str, group: list[str] | None = None, below: int | None = None,
+def dense_ordinal(df: DataFrame, key: str | list[str], group: list[str] | None = None, below: int | None = None,
                   out: str = "ord") -> DataFrame:
-    """Number rows 0, 1, 2, ... by the whole-number column `key`, separately per group.
+    """Number rows 0, 1, 2, ... by the columns `key`, nulls first, separately per group.
 
-    `key` must be unique and not null within its group. With `below` only rows numbered under it
-    are returned: buckets past the cut are dropped before any row is shuffled.
+    Rows that are equal in group and key get numbers in any order. With `below` only rows numbered under it are
+    returned. `df` is read twice, for the bounds of the ranges and for the rows.
     """
-    group = group or []
-    starts = bucket_starts(df, key, group)
-    if below is not None:
-        starts = starts.where(F.col("_start") < below)
-    rows = _with_bucket(df, key).join(starts.drop("_rows"), [*group, "_bucket"])
-    within = Window.partitionBy(*group, "_bucket").orderBy(key)
-    rows = rows.withColumn(out, F.col("_start") + F.row_number().over(within) - 1).drop("_bucket", "_start")
+    group, key = group or [], [key] if isinstance(key, str) else key
+    rows = df.repartitionByRange(*group, *key).sortWithinPartitions(*group, *key).withColumns(
+        {"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(PLACE))})
+    rows = written(rows)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_rows"))  # a row for each partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    rows = rows.join(F.broadcast(starts), "_part").withColumn(out, F.col("_start") + F.col("_place"))
+    if group:
+        first = written(rows.groupBy(*group).agg(F.min(out).alias("_first")))
+        same = [rows[g].eqNullSafe(first[g]) for g in group]
+        rows = rows.join(first, same).select(*(rows[c] for c in df.columns), (F.col(out) - F.col("_first")).alias(out))
+    rows = rows.drop("_part", "_place", "_start")
     return rows if below is None else rows.where(F.col(out) < below)
 
 
 def cyclic_next(df: DataFrame, key: str, group: list[str], out: str = "next") -> DataFrame:
-    """The next key in the group, the first one after the last. Bounded windows as above: only the
-    last row of a bucket looks at the next bucket, through the buckets' smallest keys."""
-    buckets = _with_bucket(df, key).groupBy(*group, "_bucket").agg(F.min(key).alias("_min"))
-    buckets = buckets.withColumn("_super", F.shiftright("_bucket", SUPER_BITS))
-    supers = buckets.groupBy(*group, "_super").agg(F.min("_min").alias("_smin"))
-    by_super = Window.partitionBy(*group).orderBy("_super")
-    every = Window.partitionBy(*group)
-    supers = supers.select(
-        *group, "_super", F.lead("_smin").over(by_super).alias("_next_super"), F.min("_smin").over(every).alias("_first")
-    )
-    by_bucket = Window.partitionBy(*group, "_super").orderBy("_bucket")
-    buckets = buckets.join(supers, [*group, "_super"]).select(
-        *group, "_bucket",
-        F.coalesce(F.lead("_min").over(by_bucket), F.col("_next_super"), F.col("_first")).alias("_after"),
-    )
-    within = Window.partitionBy(*group, "_bucket").orderBy(key)
-    return (
-        _with_bucket(df, key).join(buckets, [*group, "_bucket"])
-        .withColumn(out, F.coalesce(F.lead(key).over(within), F.col("_after")))
-        .drop("_bucket", "_after")
-    )
+    """The next key in the group, the first one after the last, by an equality join on the numbers of the rows."""
+    rows = written(dense_ordinal(df, key, group, out="_ord"))
+    last = written(rows.groupBy(*group).agg(F.max("_ord").alias("_last")))
+    inner = rows.where("_ord > 0").select(*group, (F.col("_ord") - 1).alias("_ord"), F.col(key).alias(out))
+    first = rows.where("_ord = 0").join(last, group).select(*group, F.col("_last").alias("_ord"), F.col(key).alias(out))
+    return rows.join(inner.union(first), [*group, "_ord"]).select(*df.columns, out)
 
 
 def gapless(df: DataFrame, group: list[str], parts: Column, row: str, out: str = "slot") -> DataFrame:

@@ -75,7 +75,7 @@ _REPLY = "'My reasoning: Strong tactical position.' || chr(10) || 'Best Move: '
 @query("chat_template", f"""WITH {_ANSWERED}
 SELECT pos_id, {_turn('system', 'two')} || {_turn('user', 'asks')} || {_turn('assistant', _REPLY)} AS text FROM answered CROSS JOIN lines""")
 def chat_template(spark, sf):
-    return _answered(spark, sf).select("pos_id", pr.apply_template(pr.chat_messages(F.col("fen"), F.col("san"))).alias("text"))
+    return _answered(spark, sf).select("pos_id", pr.chat_text(F.col("fen"), F.col("san")).alias("text"))
 
 
 @query("prompt_fallback", f"""WITH {_ANSWERED} SELECT pos_id, CASE WHEN pos_id % 2 = 0
@@ -91,7 +91,7 @@ def prompt_fallback(spark, sf):
   two || chr(10) || chr(10) || asks || chr(10) || 'Answer:' || chr(10) AS plain_text FROM shown CROSS JOIN lines""")
 def inference_prompt(spark, sf):
     return _shown(spark, sf).select(
-        "pos_id", pr.apply_template(pr.chat_messages(F.col("fen")), ask=True).alias("chat"),
+        "pos_id", pr.chat_text(F.col("fen")).alias("chat"),
         pr.plain_prompt(F.col("fen")).alias("plain_text"))
 
 
@@ -112,7 +112,7 @@ def xml_prompt(spark, sf):
 _LENGTH = 256
 _WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda w: w <> '')"
 _VOCAB = f"""counts AS (SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM documents) GROUP BY word),
-vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS token_id FROM counts ORDER BY n DESC, word LIMIT 30000)"""
+vocab AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) + 1 AS token_id FROM counts)"""
 _TOKENS = f"""{_VOCAB}, spoken AS (SELECT conv_id, turn, {_WORDS}[1:{_LENGTH}] AS ws FROM conversations),
 tok AS (SELECT conv_id, turn, pos, coalesce(v.token_id, 1) AS id
   FROM (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM spoken) LEFT JOIN vocab v USING (word)),
@@ -147,7 +147,7 @@ def label_mask(spark, sf):
     return _tokenized(spark, sf).select("conv_id", "turn", F.array_join("labels", ",").alias("labels"))
 
 
-@query("encode_with_batches", f"""SELECT conv_id, turn, len({_WORDS}) AS words,
+@query("encode_with_batches", f"""SELECT conv_id, turn, CAST(len({_WORDS}[1:{_LENGTH}]) AS BIGINT) AS words,
   list_sum(list_transform({_WORDS}[1:{_LENGTH}], lambda w: 1 + length(w))) AS id_sum FROM conversations""")
 def encode_with_batches(spark, sf):
     def encode(texts):
@@ -158,8 +158,8 @@ def encode_with_batches(spark, sf):
     talks = fx.table(spark, sf, "conversations")
     ids = tokens.encode_with(talks, ["conv_id", "turn"], "text", encode, _LENGTH)
     total = F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    counted = talks.select("conv_id", "turn", F.size(tokens.words(F.col("text"))).cast("bigint").alias("words"))
-    return ids.select("conv_id", "turn", total.alias("id_sum")).join(counted, ["conv_id", "turn"])
+    used = F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return ids.select("conv_id", "turn", total.alias("id_sum"), used.alias("words"))
 
 
 @query("cyclic_next", f"""WITH {fx.SQL_RESULTS} SELECT model, id,

@@ -8,7 +8,8 @@ from plyframe.functions import fen as fenf
 from plyframe.functions import text as t
 from plyframe.operators import samples as smp
 from plyframe.operators import splits
-from plyframe.plans.scratch import scratch_folder
+from plyframe.plans import ordinals
+from plyframe.plans.scratch import scratch_folder, written
 from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import query
 from plyframe.sources import evals, results
@@ -60,7 +61,7 @@ def json_reject_counts(spark, sf):
 @query("take_first_valid", f"""WITH {fx.SQL_TOP}
 SELECT pos_id, fen, best_move, top_moves FROM fx_samples ORDER BY pos_id LIMIT {TRAIN}""")
 def take_first_valid(spark, sf):
-    return _joined(splits.take_first_valid(fx.documents(spark, sf), TRAIN, "pos_id"))
+    return _joined(splits.take_first_valid(fx.documents(spark, sf), TRAIN, "pos_id").drop("ord"))
 
 
 @query("eval_sample_source", f"""WITH {fx.SQL_TOP}
@@ -161,10 +162,9 @@ def run_manifest(spark, sf):
 @query("eval_ids", f"""WITH {fx.SQL_TOP}{fx.SQL_REPLIES_BODY}, numbered AS (
   SELECT pos_id, row_number() OVER (ORDER BY pos_id) - 1 AS id FROM fx_samples)
 SELECT n.id, n.pos_id, r.model FROM numbered n JOIN fx_replies r ON r.id = n.pos_id
-WHERE n.id < {TRAIN} AND r.shape <> 4""")
+WHERE r.shape <> 4""")
 def eval_ids(spark, sf):
-    first = splits.take_first_valid(fx.documents(spark, sf), TRAIN, "pos_id")
-    numbered = splits.eval_samples(first, TRAIN, "pos_id").select("id", "pos_id")
+    numbered = ordinals.dense_ordinal(written(_samples(spark, sf).select("pos_id")), "pos_id", out="id")
     answered = fx.replies(spark, sf).where("full_reply <> 'I am not sure.'").select("model", F.col("id").alias("pos_id"))
     return numbered.join(answered, "pos_id").select("id", "pos_id", "model")
 

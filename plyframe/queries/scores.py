@@ -29,14 +29,14 @@ def scored(spark, sf):
 _WINDOW = r"""CASE WHEN regexp_matches(full_reply, '(?i)best move:')
   THEN regexp_replace(regexp_extract(full_reply, '(?is)^.*best move:(.*)$', 1), '^\s+|\s+$', '', 'g') ELSE '' END"""
 _TEXTS = "texts AS (SELECT concat('r', id, model) AS key, full_reply FROM fx_replies UNION ALL" \
-         " SELECT concat('d', doc_id), concat(text, chr(10), 'Best move: ', substr(text, 1, 40)) FROM documents)"
+         " SELECT concat('d', doc_id), concat(text, chr(10), 'Best move: ', text) FROM documents)"
 
 
 def _texts(spark, sf):
     """Replies, and prose with a marker behind it."""
     docs = fx.table(spark, sf, "documents").select(
         F.concat(F.lit("d"), "doc_id").alias("key"),
-        F.concat("text", F.lit("\nBest move: "), F.substring("text", 1, 40)).alias("full_reply"))
+        F.concat("text", F.lit("\nBest move: "), "text").alias("full_reply"))
     return fx.replies(spark, sf).select(F.concat(F.lit("r"), "id", "model").alias("key"), "full_reply").unionByName(docs)
 
 
@@ -78,7 +78,7 @@ def truncate_after_san(spark, sf):
 def _stop_sql(condition: str) -> str:
     return f"""WITH {fx.SQL_REPLIES}, pieces AS (
   SELECT id, model, regexp_extract_all(full_reply, '\\s*\\S+') AS p FROM fx_replies),
-prefixes AS (SELECT id, model, n, array_to_string(p[1:n], '') AS t FROM pieces CROSS JOIN generate_series(1, 12) AS g(n) WHERE n <= len(p))
+prefixes AS (SELECT id, model, n, array_to_string(p[1:n], '') AS t FROM pieces CROSS JOIN unnest(range(1, len(p) + 1)) AS g(n))
 SELECT r.id, r.model, CAST(s.stop AS INT) AS stop FROM pieces r LEFT JOIN (
   SELECT id, model, min(n) AS stop FROM prefixes WHERE {condition} GROUP BY id, model) s ON s.id = r.id AND s.model = r.model"""
 

@@ -2,37 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.operators.samples import EVAL_SCHEMA
+_BAD = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+
+
+def _is_object(text: Column) -> Column:
+    return F.rlike(text, F.lit(r"^\s*\{"))
+
+
+def decode_evals(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Documents (fen, evals) from lines of JSON, with the other columns of `lines`.
+
+    A line is left out only for its syntax, whatever columns are read later. Numbers that are none become null; a null
+    list of variations, which no reader of the format accepts, makes the document's evals null.
+    """
+    keep = [c for c in lines.columns if c != text]
+    rows = lines.where(_is_object(F.col(text))).select(
+        *keep, F.from_json(text, "fen STRING, evals STRING, _bad STRING", _BAD).alias("_doc"))
+    rows = rows.where(F.col("_doc").isNotNull() & F.col("_doc._bad").isNull())
+    given = F.when(~F.rlike("_doc.evals", F.lit(r'"pvs"\s*:\s*null')), F.col("_doc.evals"))
+    evals = F.from_json(given, "ARRAY<STRUCT<knodes: STRING, depth: STRING, pvs: ARRAY<STRUCT<cp: STRING, mate: STRING, line: STRING>>>>")
+    typed = F.transform(evals, lambda e: F.struct(
+        e["knodes"].try_cast("bigint").alias("knodes"), e["depth"].try_cast("int").alias("depth"),
+        F.transform(e["pvs"], lambda pv: F.struct(
+            pv["cp"].try_cast("int").alias("cp"), pv["mate"].try_cast("int").alias("mate"), pv["line"].alias("line"))).alias("pvs")))
+    return rows.select(*keep, F.col("_doc.fen").alias("fen"), typed.alias("evals"))
+
+
+def in_order(lines: DataFrame, file: str, line: str) -> DataFrame:
+    """Replace `file` and `line`, a line's number in its file, by `at`: one text key in order of files and lines."""
+    at = F.concat(F.col(file), F.lit("#"), F.lpad(F.col(line).cast("string"), 19, "0"))
+    return lines.select(*[c for c in lines.columns if c not in (file, line)], at.alias("at"))
 
 
 def read_evals(spark: SparkSession, path: str | list[str], keep_order: bool = False) -> DataFrame:
-    """Documents of JSON-lines files, malformed lines left out.
+    """Documents of JSON-lines files, malformed lines left out. `keep_order` adds `at`, the key of the line's place.
 
-    Only the fields of the schema are parsed. `keep_order` adds `file`, `block` and `pos`, by which
-    rows sort in file order (`pos` is unique within a block). A .zst file is one task, and its
-    window may be up to 128 MiB; for longer windows see `zstd_lines`. Decode once and keep the
-    result as Parquet.
+    Spark's reader takes a last line without a newline for a line. A .zst file is one task, and its window may be up to
+    128 MiB; for longer windows, and for dropping unfinished lines, see `zstd_lines`. Decode once and keep the result as
+    Parquet.
     """
-    docs = (
-        spark.read.schema(EVAL_SCHEMA + ", _bad STRING")
-        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    )
+    lines = spark.read.text(path)
     if keep_order:
-        docs = docs.select("*", F.col("_metadata.file_path").alias("file"),
-                           F.col("_metadata.file_block_start").alias("block"),
-                           F.monotonically_increasing_id().alias("pos"))
-    return docs.where(F.col("_bad").isNull()).drop("_bad")
+        place = F.lpad(F.col("_metadata.file_block_start").cast("string"), 19, "0")
+        lines = lines.select("value", F.concat(F.col("_metadata.file_path"), F.lit("#"), place).alias("_file"),
+                             F.monotonically_increasing_id().alias("_line"))
+        lines = in_order(lines, "_file", "_line")
+    return decode_evals(lines)
 
 
 def decode_json(rows: DataFrame, text: str, schema: str, out: str = "obj") -> DataFrame:
     """Parse column `text`; rows that are not a JSON object are left out."""
-    parsed = F.from_json(F.col(text), f"{schema}, _bad STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    is_object = F.rlike(text, F.lit(r"^\s*\{"))
+    parsed = F.from_json(F.col(text), f"{schema}, _bad STRING", _BAD)
     return (
-        rows.where(is_object).withColumn(out, parsed)
+        rows.where(_is_object(F.col(text))).withColumn(out, parsed)
         .where(F.col(out).isNotNull() & F.col(f"{out}._bad").isNull())
         .withColumn(out, F.col(out).dropFields("_bad"))
     )
@@ -41,10 +66,7 @@ def decode_json(rows: DataFrame, text: str, schema: str, out: str = "obj") -> Da
 def reject_counts(rows: DataFrame, text: str, schema: str) -> DataFrame:
     """How many rows a tolerant decode keeps and rejects, in one pass."""
     marked = rows.select(
-        F.rlike(text, F.lit(r"^\s*\{")).alias("_object"),
-        F.from_json(F.col(text), f"{schema}, _bad STRING",
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_o"),
-    )
+        _is_object(F.col(text)).alias("_object"), F.from_json(F.col(text), f"{schema}, _bad STRING", _BAD).alias("_o"))
     kept = F.count_if(F.col("_object") & F.col("_o").isNotNull() & F.col("_o._bad").isNull())
     return marked.agg(F.count("*").alias("total"), kept.alias("kept")).withColumn(
         "rejected", F.col("total") - F.col("kept"))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions.text import is_not_false, is_true, sanitize_model_id, strip
+from plyframe.plans.scratch import written
 
 _TEXT_COLUMNS = ["id", "fen", "model_move", "full_reply", "legal", "good", "top_moves"]
 _TEXT_SCHEMA = ", ".join(f"{c} STRING" for c in _TEXT_COLUMNS)
@@ -24,7 +25,7 @@ def _no_nulls() -> list:
 
 def write_results(scored: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """One folder per model, CSV with header. A file is one task when read back, so files are kept
-    small. An empty frame still leaves the header."""
+    small. An empty frame leaves one file with the header, in no model's folder."""
     out = scored.select(
         F.concat(F.lit("evaluate_"), sanitize_model_id(F.col("model"))).alias("results"), "id", "fen", "model_move",
         "full_reply", F.initcap(F.col("legal").cast("string")).alias("legal"),
@@ -32,6 +33,9 @@ def write_results(scored: DataFrame, path: str, rows_per_file: int = 1_000_000)
     )
     out.write.options(header=True, maxRecordsPerFile=rows_per_file, quote='"', escape='"', emptyValue="",
                       ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).partitionBy("results").csv(path)
+    if out.sparkSession.read.text(path).isEmpty():
+        header = out.sparkSession.createDataFrame([(",".join(_TEXT_COLUMNS),)], "value STRING").coalesce(1)
+        header.write.mode("append").text(path)
 
 
 def read_results(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -84,7 +88,7 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
         F.when(full, field("full_reply")).otherwise("").alias("full_reply"),
         F.when(full, is_true(F.col("good"))).otherwise(False).alias("good"),
     )
-    return drop_header(kept)
+    return drop_header(written(kept))
 
 
 def drop_header(entries: DataFrame) -> DataFrame:
