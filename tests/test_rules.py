@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 
 from plyframe.functions import fen as fenf
 from plyframe.functions import text as t
-from plyframe.operators import samples, splits
+from plyframe.operators import samples, splits, tokens
+from plyframe.operators.moves import legal_moves
 from plyframe.operators.prompts import legal_san_list
+from plyframe.operators.replies import reply_to_san
+from plyframe.operators.scoring import score_moves
 from plyframe.plans import ordinals
+from plyframe.plans.scratch import written
 from plyframe.sources import evals, results
+from plyframe.sources.results import read_results, write_results
 from plyframe.sources.zstd_lines import read_zstd_lines
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
@@ -50,9 +55,7 @@ def test_fen_rules(spark):
     assert all(r.v == r.gv and r.s == r.gs for r in rows.collect())
 
 
-def test_ordinals_across_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(ordinals, "BUCKET_BITS", 3)
-    monkeypatch.setattr(ordinals, "SUPER_BITS", 2)
+def test_ordinals_across_many_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7).alias("key"), (F.col("id") % 10 < 7).alias("g"))
     rows = ordinals.dense_ordinal(df, "key", ["g"]).collect()
     for g in (True, False):
@@ -93,4 +96,98 @@ def test_viewer_csv(spark, tmp_path):
 
 def test_legal_list(spark):
     df = spark.createDataFrame([(1, "7k/8/6K1/8/8/8/8/8 b - -")], "id int, fen string")
-    assert legal_san_list(df, "id").first().legal_san == "Kg8"
+    assert legal_san_list(df).first().legal_san == "Kg8"
+
+
+def test_ordinals_of_any_key(spark):
+    """Hashed keys, text, several columns, ties, nulls, and a group with most of the rows."""
+    df = spark.range(3000).select(F.xxhash64("id").alias("h"), F.md5(F.col("id").cast("string")).alias("t"), (F.col("id") % 7).alias("small"),
+                                  F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, "cold").alias("g"))
+    rows = ordinals.dense_ordinal(df, "h").collect()
+    assert [r.h for r in sorted(rows, key=lambda r: r.ord)] == sorted(r.h for r in rows)
+    assert sorted(r.ord for r in rows) == list(range(3000))
+    rows = ordinals.dense_ordinal(df, ["small", "t"], ["g"]).collect()
+    for g, n in (("hot", 2700), ("cold", 150), (None, 150)):
+        own = sorted((r for r in rows if r.g == g), key=lambda r: r.ord)
+        assert [r.ord for r in own] == list(range(n)) and [(r.small, r.t) for r in own] == sorted((r.small, r.t) for r in own)
+    assert ordinals.dense_ordinal(df.limit(0), "h").count() == 0
+
+
+def test_gapless_numbers_of_hot_groups(spark):
+    df = written(spark.range(5000).select(F.col("id").alias("row"), F.when(F.col("id") % 3 > 0, 1).otherwise(F.col("id") % 40).alias("g")))
+    rows = ordinals.gapless(df, ["g"], F.lit(5), "row").collect()
+    for g in {r.g for r in rows}:
+        assert sorted(r.slot for r in rows if r.g == g) == list(range(sum(r.g == g for r in rows)))
+
+
+def test_vocabulary_is_whole_and_rare_words_have_ids(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BROADCAST_WORDS", 2)
+    texts = spark.createDataFrame([(1, "a a a b b c"), (2, "d b a new"), (3, "")], "k int, text string")
+    vocab = tokens.vocabulary(texts.where("k < 3"), "text")
+    ids = {r.word: r.token_id for r in vocab.collect()}
+    assert ids == {"a": 2, "b": 3, "c": 4, "d": 5, "new": 6}
+    assert [r.word for r in tokens.vocabulary(texts, "text", 2).orderBy("token_id").collect()] == ["a", "b"]
+    got = {r.k: r.input_ids for r in tokens.tokenize_pad(texts, ["k"], "text", vocab.where("word <> 'new'"), 6).collect()}
+    assert got == {1: [2, 2, 2, 3, 3, 4], 2: [5, 3, 2, 1, 0, 0], 3: [0] * 6}
+
+
+LINES = [
+    '{"fen": "%s", "evals": [{"pvs": [{"line": "e2e4", "cp": 12.5}], "knodes": 1, "depth": "x"}]}' % START,
+    '{"fen": "%s", "evals": [{"pvs": [{"line": "d2d4"}]}, {"pvs": null}]}' % START,
+    '{bad', "", "[1]",
+    '{"fen": "%s", "evals": [{"pvs": [{"line": "d2d4 d7d5", "mate": 3}], "depth": 20}], "more": {"x": []}}' % START,
+]
+
+
+def test_misfit_numbers_lose_no_document(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("\n".join(LINES) + "\n")
+    docs = evals.read_evals(spark, str(tmp_path / "a.jsonl"), keep_order=True)
+    assert docs.count() == docs.select("fen").count() == docs.select("evals").count() == len(docs.collect()) == 3
+    first, second, third = sorted(docs.collect(), key=lambda r: r.at)
+    assert first.evals[0].pvs[0].cp is None and first.evals[0].depth is None and first.evals[0].knodes == 1
+    assert second.evals is None and third.evals[0].pvs[0].mate == 3
+
+
+def test_from_files_to_a_split(spark, tmp_path):
+    """Two compressed files with bad and unfinished lines; the prefix follows the order of files and lines."""
+    moves = ["e2e4", "d2d4", "g1f3", "c2c4", "zzzz"]
+    for name in ("b", "a"):
+        rows = [json.dumps({"fen": START, "evals": [{"pvs": [{"line": moves[i % 5]}]}]}) for i in range(40)]
+        rows.insert(3, "{bad")
+        body = "\n".join([*rows, '{"unfinished": 1']).encode()
+        (tmp_path / f"{name}.jsonl.zst").write_bytes(zstandard.compress(body))
+    docs = evals.decode_evals(evals.in_order(read_zstd_lines(spark, str(tmp_path / "*.zst")), "file", "line_no"))
+    assert docs.count() == 80
+    taken = splits.take_first_valid(docs, 40, "at")
+    split = splits.sequential_split(taken, 30, 5, 10, "at").orderBy("ord").collect()
+    assert [r.ord for r in split] == list(range(40)) and [r.split for r in split].count("test") == 5
+    assert all("/a.jsonl" in r["at"] for r in split[:32]) and all("/b.jsonl" in r["at"] for r in split[32:])
+    assert [r.best_move for r in split[:5]] == ["e4", "d4", "Nf3", "c4", "e4"]
+
+
+def test_a_prefix_shuffles_no_document(spark, tmp_path):
+    docs = spark.range(1000).select("id", F.lit(START).alias("fen"), F.expr(
+        "array(named_struct('knodes', 1L, 'depth', 1, 'pvs', array(named_struct('cp', 1, 'mate', 1, 'line', 'e2e4'))))").alias("evals"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    table = spark.read.parquet(str(tmp_path / "docs"))
+    assert [r.id for r in splits.take_first_valid(table, 7, "id").orderBy("ord").collect()] == list(range(7))
+    plan = table.where(F.col("id") <= F.lit(27)).select("id", "evals")._jdf.queryExecution().toString()
+    assert "LessThanOrEqual(id,27)" in plan and "Exchange" not in plan
+
+
+def test_malformed_fens_have_no_moves(spark):
+    fields = START.split()
+    bad = [" ".join(fields[:1] + ["x"] + fields[2:]), START.replace("pppppppp", "44"), START.replace("KQkq", "ZZ"), START + " 0 1 2"]
+    df = spark.createDataFrame([(i, f, "e4", ["e4"], "Best Move: e4") for i, f in enumerate([*bad, START])],
+                               "id int, fen string, model_move string, top_moves array<string>, full_reply string")
+    assert [r.id for r in legal_moves(df).select("id").distinct().collect()] == [4]
+    assert {r.id for r in score_moves(df).where("legal").collect()} == {4}
+    assert {r.id for r in reply_to_san(df.drop("model_move")).where("model_move <> ''").collect()} == {4}
+
+
+def test_an_empty_result_leaves_a_header(spark, tmp_path):
+    empty = spark.createDataFrame([], "model string, id long, fen string, model_move string, full_reply string, legal boolean, good boolean, top_moves array<string>")
+    write_results(empty, str(tmp_path / "out"))
+    assert read_results(spark, str(tmp_path / "out")).count() == 0
+    text = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert text == ["id,fen,model_move,full_reply,legal,good,top_moves"]
