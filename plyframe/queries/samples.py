@@ -13,6 +13,7 @@ from plyframe.plans.scratch import scratch_folder, written
 from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import query
 from plyframe.sources import evals, results
+from plyframe.sources.zstd_lines import read_zstd_lines, write_zstd_lines
 
 TRAIN, VAL, TEST = 5000, 500, 500
 
@@ -169,6 +170,38 @@ def eval_ids(spark, sf):
     return numbered.join(answered, "pos_id").select("id", "pos_id", "model")
 
 
+@query("corpus_to_split", f"""WITH {fx.SQL_TOP}, numbered AS (
+  SELECT fen, best_move, top_moves, row_number() OVER (ORDER BY pos_id % 3, pos_id) - 1 AS ord FROM fx_samples)
+SELECT ord, CASE WHEN ord < {TRAIN} THEN 'train' WHEN ord < {TRAIN + VAL} THEN 'val' ELSE 'test' END AS split,
+  fen, best_move, top_moves FROM numbered WHERE ord < {TRAIN + VAL + TEST}""")
+def corpus_to_split(spark, sf):
+    """Three compressed files with malformed lines, misfit numbers and an unfinished last line, down to the split."""
+    docs = fx.documents(spark, sf).select("pos_id", "fen", "evals")
+    text = F.to_json(F.struct("fen", "evals"))
+    text = F.when(F.col("pos_id") % 4 == 0, F.regexp_replace(text, '"knodes":[0-9]+', '"knodes":"x"')).otherwise(text)
+    file = F.concat(F.lit("part"), (F.col("pos_id") % 3).cast("string"), F.lit(".jsonl"))
+    lines = docs.select(file.alias("file"), (2 * F.col("pos_id") + 1).alias("line"), text.alias("value"))
+    bad = docs.where("pos_id % 10 = 0").select(file.alias("file"), (2 * F.col("pos_id")).alias("line"), F.lit("{bad").alias("value"))
+    last = spark.range(3).select(F.concat(F.lit("part"), F.col("id").cast("string"), F.lit(".jsonl")).alias("file"), F.lit(2**62).alias("line"),
+                                 F.lit('{"fen": "8/8/8/8/8/8/4K2k/R7 w - -", "evals": [{"pvs": [{"line": "a1a2"}]}]}').alias("value"))
+    folder = scratch_folder(spark)
+    write_zstd_lines(lines.union(bad).union(last), folder, finished=False)
+    corpus = written(evals.decode_evals(evals.in_order(read_zstd_lines(spark, folder), "file", "line_no")))
+    first = splits.take_first_valid(corpus, TRAIN + VAL + TEST, "at")
+    return _joined(splits.sequential_split(first, TRAIN, VAL, TEST, "at")).select("ord", "split", "fen", "best_move", "top_moves")
+
+
+@query("results_csv_empty", "SELECT 'id,fen,model_move,full_reply,legal,good,top_moves' AS value FROM region WHERE r_regionkey = 0")
+def results_csv_empty(spark, sf):
+    """What is left when no reply could be scored: one file with the header."""
+    path = scratch_folder(spark)
+    none = fx.results(spark, sf).where("id < 0").select(
+        "model", "id", F.lit("").alias("fen"), F.lit("").alias("model_move"), F.lit("").alias("full_reply"),
+        F.lit(True).alias("legal"), F.lit(True).alias("good"), F.array(F.lit("")).alias("top_moves"))
+    results.write_results(none, path)
+    return spark.read.text(path).select("value")
+
+
 @query("bool_coercion", f"""WITH {fx.SQL_RESULTS} SELECT id, lower(trim(legal)) = 'true' AS report_legal,
   lower(trim(legal)) <> 'false' AS viewer_legal, lower(trim(good)) = 'true' AS viewer_good FROM fx_results""")
 def bool_coercion(spark, sf):

@@ -89,3 +89,44 @@ def read_zstd_lines(spark: SparkSession, path: str, max_window: int = MAX_WINDOW
     """Columns file, line_no, value. `path` is a file, a folder of *.zst, or a pattern."""
     _register(spark)
     return spark.read.format("zstd_lines").option("maxwindow", max_window).load(path)
+
+
+def write_zstd_lines(lines: DataFrame, folder: str, finished: bool = True) -> None:
+    """Write rows (file, line, value) as `folder`/`file`.zst, each file in the order of `line` and by one task.
+
+    Without `finished` the last line of a file is not ended. A file gets its name when it is complete, so a task that
+    is tried again leaves no part of a file.
+    """
+    def work(batches):
+        import uuid
+
+        import zstandard
+        from pyarrow import fs
+
+        filesystem, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        filesystem.create_dir(base, recursive=True)
+        name = raw = out = draft = None
+
+        def close():
+            if out is not None:
+                if finished:
+                    out.write(b"\n")
+                out.close()
+                raw.close()
+                filesystem.move(draft, f"{base}/{name}.zst")
+
+        for batch in batches:
+            for file, value in zip(batch["file"], batch["value"]):
+                if file != name:
+                    close()
+                    name, draft = file, f"{base}/.{uuid.uuid4().hex}"
+                    raw = filesystem.open_output_stream(draft)
+                    out = zstandard.ZstdCompressor().stream_writer(raw, closefd=False)
+                else:
+                    out.write(b"\n")
+                out.write(value.encode())
+        close()
+        yield from ()
+
+    ordered = lines.select("file", "line", "value").repartition("file").sortWithinPartitions("file", "line")
+    ordered.mapInPandas(work, "file string").write.format("noop").mode("overwrite").save()
