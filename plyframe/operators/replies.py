@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.functions import text as t
-from plyframe.operators.position import with_position
+from plyframe.operators.position import POSITION_COLUMNS, with_position
 from plyframe.operators.san import with_san, with_san_move
 
 
 def reply_to_san(replies: DataFrame, use_marker: bool = True, fen: str = "fen", reply: str = "full_reply",
-                 out: str = "model_move") -> DataFrame:
+                 out: str = "model_move", positioned: bool = False) -> DataFrame:
     """Add `out`: the SAN the reply stands for, '' if it names no legal move.
 
-    `use_marker` looks behind the last marker only; otherwise the whole reply is searched.
+    `use_marker` looks behind the last marker only; otherwise the whole reply is searched. With `positioned` the rows
+    bring the columns of a strict `with_position`, which are dropped here.
     """
-    keep = replies.columns
-    rows = with_position(replies.withColumn("_candidate", t.candidate(F.col(reply), use_marker)), fen, strict=True)
+    keep = [c for c in replies.columns if not (positioned and c in POSITION_COLUMNS)]
+    rows = replies.withColumn("_candidate", t.candidate(F.col(reply), use_marker))
+    rows = rows if positioned else with_position(rows, fen, strict=True)
     rows = with_san(with_san_move(rows, "_candidate", lenient=True), "_san_out")
     return rows.select(*keep, F.coalesce("_san_out", F.lit("")).alias(out))
 

@@ -26,12 +26,13 @@ def evaluate_replies(samples: DataFrame, replies: DataFrame, use_marker: bool =
     """Pair samples with replies by `id`, parse, score: model and RESULT_COLUMNS.
 
     `samples` has id (unique), fen, top_moves; `replies` has model, id, full_reply. A parsed move is
-    canonical and legal by construction, so legality needs no second look. A sample that many
-    replies refer to is one row on its side; the skewed side is split at run time by the adaptive
-    join.
+    canonical and legal by construction, so legality needs no second look. The position is read once
+    for each sample, before the join with its replies; the side with many replies to one sample is
+    split at run time by the adaptive join.
     """
-    pairs = replies.select("model", "id", "full_reply").join(samples.select("id", "fen", "top_moves"), "id")
-    parsed = reply_to_san(pairs, use_marker)
+    positions = with_position(samples.select("id", "fen", "top_moves"), strict=True)
+    pairs = replies.select("model", "id", "full_reply").join(positions, "id")
+    parsed = reply_to_san(pairs, use_marker, positioned=True)
     return parsed.select(
         "model", "id", "fen", "model_move", "full_reply",
         (F.col("model_move") != "").alias("legal"),
