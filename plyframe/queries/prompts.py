@@ -95,6 +95,21 @@ def inference_prompt(spark, sf):
         pr.plain_prompt(F.col("fen")).alias("plain_text"))
 
 
+@query("inference_prompt_san_only", f"""WITH {_SHOWN} SELECT pos_id, CASE WHEN pos_id % 2 = 0
+  THEN {_turn('system', 'only_san')} || {_turn('user', 'asks')} || '<|im_start|>assistant' || chr(10)
+  ELSE plain || chr(10) || chr(10) || asks || chr(10) || 'Answer:' || chr(10) END AS text FROM shown CROSS JOIN lines""")
+def inference_prompt_san_only(spark, sf):
+    return _shown(spark, sf).select("pos_id", pr.prompt_or_plain(F.col("pos_id") % 2 == 0, F.col("fen")).alias("text"))
+
+
+@query("chat_template_turns", """SELECT conv_id, string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY turn)
+  || '<|im_start|>assistant' || chr(10) AS text FROM conversations GROUP BY conv_id""")
+def chat_template_turns(spark, sf):
+    turns = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("messages"))
+    return turns.select("conv_id", pr.apply_template(F.col("messages"), ask=True).alias("text"))
+
+
 @query("xml_prompt", f"""WITH {cs.SAN}, {fx.SQL_TOP.replace(fx.SQL_FENS + ',', '', 1)},
 lists AS (SELECT k, string_agg(san, ', ' ORDER BY san) AS legal_san FROM a_san GROUP BY k)
 SELECT pos_id, concat('<board_position>the board position is FEN: ', s.fen, '</board_position>', chr(10), '<evaluate>',

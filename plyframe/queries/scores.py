@@ -128,6 +128,36 @@ def two_line_check(spark, sf):
     return rows.select("model", "id", t.two_line_check(F.col("full_reply")).alias("c")).select("model", "id", "c.*")
 
 
+# Structured replies with all five tags: one move, two moves, or none in `choose`.
+_TAGGED = """asked AS (SELECT p.pos_id, p.fen, a.san AS a, b.san AS b FROM fx_positions p
+  JOIN fx_moves a ON a.k = p.k AND a.j = (p.pos_id // 12) % 6 JOIN fx_moves b ON b.k = p.k AND b.j = (p.pos_id // 12 + 1) % 6),
+named AS (SELECT *, coalesce(regexp_replace(a, '[+#]+$', ''), '') AS first, coalesce(regexp_replace(b, '[+#]+$', ''), '') AS second FROM asked)"""
+
+
+@query("xml_reply_cases", f"""WITH {fx.SQL_POSITIONS}, {fx.SQL_MOVES}, {_TAGGED}
+SELECT pos_id, concat('FEN: ', fen) AS board_position, 'equal' AS evaluate, concat(coalesce(a, '?'), ', ', coalesce(b, '?')) AS perceive,
+  coalesce(b, '?') AS predict,
+  CASE pos_id % 3 WHEN 0 THEN concat('the best move is ', coalesce(a, '?')) WHEN 1 THEN concat('either ', coalesce(a, '?'), ' or ', coalesce(b, '?')) ELSE '' END AS choose,
+  CASE pos_id % 3 WHEN 0 THEN first WHEN 1 THEN CASE WHEN first <> '' THEN first ELSE second END ELSE '' END AS chosen,
+  CASE pos_id % 3 WHEN 0 THEN CAST(first <> '' AS INT) WHEN 1 THEN CAST(first <> '' AS INT) + CAST(second <> '' AS INT) ELSE 0 END AS n_moves,
+  pos_id % 3 = 1 AND first <> '' AND second <> '' AS several_moves FROM named""")
+def xml_reply_cases(spark, sf):
+    rows = fx.positions(spark, sf, "sans").selectExpr(
+        "pos_id", "fen", "coalesce(sans[CAST((pos_id DIV 12) % 6 AS INT)], '?') AS a", "coalesce(sans[CAST((pos_id DIV 12 + 1) % 6 AS INT)], '?') AS b")
+    reply = F.expr("""concat('<board_position>FEN: ', fen, '</board_position>\n<evaluate>equal</evaluate>\n<perceive>', a, ', ', b,
+      '</perceive>\n<predict>', b, '</predict>\n', CASE pos_id % 3 WHEN 0 THEN concat('<choose>the best move is ', a, '</choose>')
+      WHEN 1 THEN concat('<choose>either ', a, ' or ', b, '</choose>') ELSE 'no choice' END)""")
+    return rep.parse_tags(rows.select("pos_id", reply.alias("full_reply"))).drop("full_reply")
+
+
+@query("two_line_cases", """SELECT o_orderkey AS id, true AS has_reasoning, CAST(o_orderkey % 20 AS INT) AS reasoning_words,
+  o_orderkey % 3 <> 0 AS has_move_line, o_orderkey % 3 <> 0 AND o_orderkey % 20 <= 15 AS well_formed FROM orders""")
+def two_line_cases(spark, sf):
+    reply = F.expr("concat('My reasoning: ', repeat('word ', CAST(o_orderkey % 20 AS INT)), '\nBest Move:', IF(o_orderkey % 3 = 0, '', ' e4'))")
+    rows = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), t.two_line_check(reply).alias("c"))
+    return rows.select("id", "c.*")
+
+
 # Text against a position, legal or not: the SAN itself or the UCI, against the sample's top moves.
 @query("score_moves", f"""WITH {fx.SQL_TOP} SELECT s.pos_id, m.j, CASE WHEN s.pos_id % 3 = 0 THEN m.uci ELSE coalesce(m.san, '') END AS move,
   m.san IS NOT NULL AS legal,
