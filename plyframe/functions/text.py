@@ -55,20 +55,33 @@ def truncate_after_san(text: Column, after_marker: bool) -> Column:
     return F.when(cut == "", text).otherwise(cut)
 
 
+LONGEST_SAN = 9  # a piece's capture with both coordinates, promotion and check
+
+
 def stop_index(pieces: Column, after_marker: bool) -> Column:
     """Number of generated pieces after which a reply stops: the first prefix in which the rule
-    holds, null if it never does. `pieces` is the array of decoded token texts."""
-    pattern = rf"(?is){MARKER}.*{_START}(?-i:{SAN_CORE}){_BOUNDARY}" if after_marker else SAN_TOKEN
+    holds, null if it never does. `pieces` is the array of decoded token texts.
+
+    A move that a piece completes begins at most LONGEST_SAN characters before the piece, so only
+    these, one more to look back at, and the piece are searched: the work follows the reply's length.
+    """
+    reach = LONGEST_SAN + 1
 
     def grow(state: Column, piece: Column) -> Column:
-        text = F.concat(state["text"], piece)
+        text = F.concat(state["tail"], piece)
+        marker = F.regexp_instr(text, F.lit(f"(?i){MARKER}"))
+        seen = state["seen"] | (marker > 0)
+        text = F.when(state["seen"] | (marker == 0), text).otherwise(F.substr(text, marker + len(MARKER)))
+        found = seen & F.when(state["cut"], F.rlike(text, F.lit(f"(?s)^.+?{SAN_TOKEN}"))).otherwise(F.rlike(text, F.lit(SAN_TOKEN)))
         n = state["n"] + 1
         return F.when(state["stop"].isNotNull(), state).otherwise(F.struct(
-            text.alias("text"), n.alias("n"),
-            F.when(F.rlike(text, F.lit(pattern)), n).alias("stop"),
+            F.right(text, F.when(seen, reach).otherwise(len(MARKER) - 1)).alias("tail"),
+            (seen & (state["cut"] | (F.length(text) > reach))).alias("cut"),
+            seen.alias("seen"), n.alias("n"), F.when(found, n).alias("stop"),
         ))
 
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("stop"))
+    start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("cut"), F.lit(not after_marker).alias("seen"),
+                     F.lit(0).alias("n"), F.lit(None).cast("int").alias("stop"))
     return F.aggregate(pieces, start, grow)["stop"]
 
 

@@ -28,6 +28,7 @@ MOVE_ONLY_PLAIN = (
     "respond with the best legal move in SAN."
 )
 REASONING_REPLY = "My reasoning: Strong tactical position.\nBest Move: "
+BOARD_IS, CHOICE_FOR, CHOICE_IS = "the board position is FEN: ", "the best move for ", " is "
 # ------------------------------------------------------------------------------------------
 
 
@@ -115,9 +116,9 @@ def tagged_prompt(samples: DataFrame, key: str) -> DataFrame:
     side = side_to_move(F.col("fen"))
     bucket = eval_bucket(F.col("cp"), F.col("mate"), side == "White")
     text = F.concat(
-        F.lit("<board_position>the board position is FEN: "), F.col("fen"), F.lit("</board_position>\n<evaluate>"),
+        F.lit("<board_position>" + BOARD_IS), F.col("fen"), F.lit("</board_position>\n<evaluate>"),
         F.coalesce(bucket, F.lit("unknown")), F.lit("</evaluate>\n<perceive>"), F.col("legal_san"),
-        F.lit("</perceive>\n<predict>"), F.array_join("top_moves", ", "), F.lit("</predict>\n<choose>the best move for "),
-        side, F.lit(" is "), F.col("best_move"), F.lit("</choose>"),
+        F.lit("</perceive>\n<predict>"), F.array_join("top_moves", ", "), F.lit("</predict>\n<choose>" + CHOICE_FOR),
+        side, F.lit(CHOICE_IS), F.col("best_move"), F.lit("</choose>"),
     )
     return rows.select(key, text.alias("prompt"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.functions import bits as b
-from plyframe.functions.fen import fen_valid_viewer, side_to_move
+from plyframe.functions.fen import board_string, fen_valid_viewer, side_to_move
 from plyframe.operators.moves import pseudo_legal_moves, random_baseline
 from plyframe.operators.position import fenced, pseudo_origins, select_sql, with_position, with_reach
 from plyframe.plans.ordinals import dense_ordinal
@@ -18,6 +18,9 @@ NO_MATCH = "Your move differs from the LLM suggestion."
 NO_SUGGESTION = "LLM had no suggestion for this position."
 BEST = "✅ LLM predicted move was the best move."
 NOT_BEST = "❌ LLM predicted move was NOT the best move."
+SUGGESTED = "LLM suggested move: "
+SIDE_MOVES = "It is ", "'s move. Select a piece to play your move."
+INVALID = "Invalid FEN in dataset entry."
 # ------------------------------------------------------------------------------------------
 
 
@@ -106,7 +109,7 @@ def compare_moves(user_moves: DataFrame, entries: DataFrame, reply_model: str =
         "model", "id", match.alias("is_match"), F.when(match, MATCH).otherwise(NO_MATCH).alias("status"),
         F.concat("user_from", arrow, "user_to").alias("user_text"),
         F.when(F.col("llm_from").isNull(), NO_SUGGESTION)
-        .otherwise(F.concat(F.lit("LLM suggested move: "), "llm_from", arrow, "llm_to")).alias("llm_text"),
+        .otherwise(F.concat(F.lit(SUGGESTED), "llm_from", arrow, "llm_to")).alias("llm_text"),
         F.when(F.col("model") == reply_model, F.coalesce("full_reply", F.lit(""))).otherwise("").alias("reply_text"),
         F.when(F.col("good"), BEST).when(~F.col("good"), NOT_BEST).otherwise("").alias("verdict"),
     )
@@ -119,6 +122,15 @@ def entry_by_index(entries: DataFrame, index: int, key: str, group: list[str]) -
     side = side_to_move(F.col("fen"))
     return rows.select(
         *group, key, "fen", valid.alias("valid"),
-        F.when(valid, F.concat(F.lit("It is "), side, F.lit("'s move. Select a piece to play your move.")))
-        .otherwise("Invalid FEN in dataset entry.").alias("message"),
+        F.when(valid, F.concat(F.lit(SIDE_MOVES[0]), side, F.lit(SIDE_MOVES[1]))).otherwise(INVALID).alias("message"),
     )
+
+
+def entry_view(entries: DataFrame, index: int, key: str, group: list[str], san: str = "model_move", seed: str = "0") -> DataFrame:
+    """Entry number `index` of each group as it is shown: `entry_by_index`, its board, and the model's move or the
+    baseline. An entry with a bad FEN has neither board nor move. `key` is unique over all groups."""
+    shown = written(dense_ordinal(entries, key, group, below=index + 1).where(F.col("ord") == index).drop("ord"))
+    moves = model_move_or_baseline(shown.where(fen_valid_viewer(F.col("fen"))), key, san, seed)
+    told = entry_by_index(shown, 0, key, group)
+    return told.join(moves.select(key, "llm_from", "llm_to", "is_baseline"), key, "left").select(
+        *told.columns, F.when(F.col("valid"), board_string(F.col("fen"))).alias("board"), "llm_from", "llm_to", "is_baseline")

@@ -178,6 +178,20 @@ def model_move_or_baseline(spark, sf):
     return _suggested(spark, sf).select("pos_id", "llm_from", "llm_to", "is_baseline")
 
 
+@query("entry_view", f"""WITH {_MODEL_MOVE}, grouped AS (
+  SELECT s.*, f.fen, s.pos_id % 301 AS g, row_number() OVER (PARTITION BY s.pos_id % 301 ORDER BY s.pos_id) AS n
+  FROM suggested s JOIN fx_fens f ON f.k = s.k)
+SELECT g, pos_id, fen, k < 10 AS valid,
+  CASE WHEN k >= 10 THEN 'Invalid FEN in dataset entry.' ELSE concat('It is ', CASE WHEN split_part(fen, ' ', 2) = 'b' THEN 'Black' ELSE 'White' END,
+    '''s move. Select a piece to play your move.') END AS message,
+  CASE WHEN k < 10 THEN llm_from END AS llm_from, CASE WHEN k < 10 THEN llm_to END AS llm_to, CASE WHEN k < 10 THEN is_baseline END AS is_baseline,
+  CASE WHEN k < 10 THEN array_to_string(list_reverse(string_split({cs.EXPANDED}, '/')), '') END AS board
+FROM grouped WHERE n = 3""")
+def entry_view(spark, sf):
+    entries = _asked(spark, sf).withColumn("g", F.col("pos_id") % 301)
+    return viewer.entry_view(entries, 2, "pos_id", ["g"], "san")
+
+
 _NAMES = "CASE pos_id % 3 WHEN 0 THEN 'gpt20b' WHEN 1 THEN 'mistral7b' ELSE 'other' END"
 _USER_J = "(pos_id // 12 + pos_id % 2) % 6"
 

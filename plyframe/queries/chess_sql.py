@@ -98,13 +98,13 @@ def legal(p: str, src: str, castling: bool) -> str:
 
 
 # The valid literal positions as board strings.
-_EXPANDED = "split_part(fen, ' ', 1)"
+EXPANDED = "split_part(fen, ' ', 1)"
 for _n in range(1, 9):
-    _EXPANDED = f"replace({_EXPANDED}, '{_n}', '{'.' * _n}')"
+    EXPANDED = f"replace({EXPANDED}, '{_n}', '{'.' * _n}')"
 BASE = STEPS + ", " + SQL_FENS + f""",
 base AS MATERIALIZED (
   SELECT CAST(k AS VARCHAR) AS pid, k, split_part(fen, ' ', 2) = 'w' AS white, split_part(fen, ' ', 3) AS rights,
-    array_to_string(list_reverse(string_split({_EXPANDED}, '/')), '') AS board,
+    array_to_string(list_reverse(string_split({EXPANDED}, '/')), '') AS board,
     CASE WHEN length(split_part(fen, ' ', 4)) = 2
          THEN ascii(split_part(fen, ' ', 4)) - 97 + 8 * (ascii(substr(split_part(fen, ' ', 4), 2, 1)) - 49) ELSE -1 END AS ep
   FROM fx_fens WHERE k < 10)"""

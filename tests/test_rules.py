@@ -191,3 +191,20 @@ def test_an_empty_result_leaves_a_header(spark, tmp_path):
     assert read_results(spark, str(tmp_path / "out")).count() == 0
     text = [r.value for r in spark.read.text(str(tmp_path / "out")).collect()]
     assert text == ["id,fen,model_move,full_reply,legal,good,top_moves"]
+
+
+def test_stop_rules_against_every_prefix(spark):
+    import random
+
+    rng = random.Random(8)
+    parts = ["best move:", "Best", " Move", ":", " ", "\n", "N", "f3", "Nf3", "+", "x", "O-O", "-O", "e", "4", "e8=Q", "Qa1xb2=Q+", "#", "é", "word " * 5, "BEST MOVE: ", "a1"]
+    rows = [(i, [rng.choice(parts) for _ in range(rng.randrange(12))]) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, pieces array<string>")
+    stops = df.select("id", t.stop_index(F.col("pieces"), True).alias("marked"), t.stop_index(F.col("pieces"), False).alias("plain"))
+    prefixes = df.select("id", F.explode(F.sequence(F.lit(1), F.size("pieces"))).alias("n"), "pieces").where("size(pieces) > 0").select(
+        "id", "n", F.array_join(F.slice("pieces", F.lit(1), F.col("n")), "").alias("text"))
+    after = rf"(?is){t.MARKER}.*{t._START}(?-i:{t.SAN_CORE}){t._BOUNDARY}"
+    want = prefixes.groupBy("id").agg(F.min(F.when(F.rlike("text", F.lit(after)), F.col("n"))).alias("marked"),
+                                      F.min(F.when(F.rlike("text", F.lit(t.SAN_TOKEN)), F.col("n"))).alias("plain"))
+    want = {r.id: (r.marked, r.plain) for r in want.collect()}
+    assert {r.id: (r.marked, r.plain) for r in stops.collect()} == {i: want.get(i, (None, None)) for i, _ in rows}
