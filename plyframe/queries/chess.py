@@ -105,6 +105,42 @@ def legal_moves(spark, sf):
     return mv.legal_moves(fx.positions(spark, sf)).select("pos_id", "uci")
 
 
+# Strewn boards with one king a side, set by the position's number, no castling, and no pawns on the last ranks.
+_KINGS = f"""kings AS (SELECT pid, white, {cs.put(cs.put('board', 'wk', "'K'"), 'bk', "'k'")} AS board, ep FROM (
+  SELECT pid, white, ep, CAST(pid AS BIGINT) % 8 AS wk, 56 + CAST(pid AS BIGINT) // 8 % 8 AS bk,
+    translate(left(board, 8), 'KkPp', '..Nn') || translate(substr(board, 9, 48), 'Kk', '..') || translate(substr(board, 57), 'KkPp', '..Nn') AS board
+  FROM src)),
+{cs.legal('k', 'kings', castling=False)}"""
+
+
+def _kings(spark, sf):
+    board = fenf.board_string(F.col("fen"))
+    rows = fx.scatter(spark, sf).select("pos_id", F.split("fen", " ")[1].alias("side"), board.alias("b"))
+    rows = rows.select("pos_id", "side", F.expr(
+        "concat(translate(left(b, 8), 'KkPp', '..Nn'), translate(substr(b, 9, 48), 'Kk', '..'), translate(substr(b, 57), 'KkPp', '..Nn'))").alias("b"))
+    rows = rows.select("pos_id", "side", F.expr(
+        "overlay(overlay(b PLACING 'K' FROM CAST(pos_id % 8 + 1 AS INT)) PLACING 'k' FROM CAST(57 + pos_id DIV 8 % 8 AS INT))").alias("b"))
+    ranks = F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0)), lambda r: F.substr("b", r * 8 + 1, F.lit(8))), "/")
+    for n in range(8, 0, -1):
+        ranks = F.replace(ranks, F.lit("." * n), F.lit(str(n)))
+    return rows.select("pos_id", F.concat(ranks, F.lit(" "), "side", F.lit(" - -")).alias("fen"))
+
+
+@query("legal_moves_strewn", f"WITH {cs.STEPS}, {fx.SQL_SCATTER}, src AS (SELECT pos_id AS pid, white, board, -1 AS ep FROM fx_boards), {_KINGS} SELECT CAST(pid AS BIGINT) AS pos_id, {_UCI} || promo AS uci FROM k_legal")
+def legal_moves_strewn(spark, sf):
+    return mv.legal_moves(_kings(spark, sf)).select("pos_id", "uci")
+
+
+@query("san_render_strewn", f"""WITH {cs.STEPS}, {fx.SQL_SCATTER}, src AS (SELECT pos_id AS pid, white, board, -1 AS ep FROM fx_boards), {_KINGS},
+{cs.san('k')} SELECT CAST(k AS BIGINT) AS pos_id, uci, san FROM k_san
+WHERE substr(uci, 3, 2) <> CASE WHEN k % 2 = 0 THEN substr('abcdefgh', k // 8 % 8 + 1, 1) || '8' ELSE substr('abcdefgh', k % 8 + 1, 1) || '1' END""")
+def san_render_strewn(spark, sf):
+    """Moves that would take a king are left out: strewn boards have some, games have none."""
+    moves = with_san(mv.legal_moves(_kings(spark, sf), keep_position=True)).select("pos_id", "uci", "san")
+    return moves.where("""substr(uci, 3, 2) <> IF(pos_id % 2 = 0, concat(substr('abcdefgh', CAST(pos_id DIV 8 % 8 + 1 AS INT), 1), '8'),
+      concat(substr('abcdefgh', CAST(pos_id % 8 + 1 AS INT), 1), '1'))""")
+
+
 @query("san_render", f"WITH {cs.SAN} SELECT o.o_orderkey AS pos_id, uci, san FROM orders o JOIN a_san ON a_san.k = o.o_orderkey % 12")
 def san_render(spark, sf):
     return with_san(mv.legal_moves(fx.positions(spark, sf), keep_position=True)).select("pos_id", "uci", "san")

@@ -109,24 +109,31 @@ base AS MATERIALIZED (
          THEN ascii(split_part(fen, ' ', 4)) - 97 + 8 * (ascii(substr(split_part(fen, ' ', 4), 2, 1)) - 49) ELSE -1 END AS ep
   FROM fx_fens WHERE k < 10)"""
 LEGAL = BASE + ", " + legal("a", "base", castling=True)
-# A move checks if the mover could now take the king; it mates if no legal reply is left.
-SAN = LEGAL + ",\n" + f"""a_moved AS (SELECT mid AS pid, white, after AS board, -1 AS ep FROM a_legal),
-{pseudo('c', 'a_moved')},
-a_check AS (SELECT DISTINCT pid AS mid FROM c_pm WHERE upper(substr(board, CAST(dst AS INT) + 1, 1)) = 'K'),
-a_reply AS (SELECT mid AS pid, NOT white AS white, after AS board, next_ep AS ep FROM a_legal WHERE mid IN (SELECT mid FROM a_check)),
-{legal('m', 'a_reply', castling=False)},
-a_rivals AS (
+
+
+def san(p: str) -> str:
+    """CTEs ending in {p}_san(k, uci, san) from {p}_legal. A move checks if the mover could now take the king; it mates if
+    no legal reply is left."""
+    return f"""{p}_moved AS (SELECT mid AS pid, white, after AS board, -1 AS ep FROM {p}_legal),
+{pseudo(p + 'c', p + '_moved')},
+{p}_check AS (SELECT DISTINCT pid AS mid FROM {p}c_pm WHERE upper(substr(board, CAST(dst AS INT) + 1, 1)) = 'K'),
+{p}_reply AS (SELECT mid AS pid, NOT white AS white, after AS board, next_ep AS ep FROM {p}_legal WHERE mid IN (SELECT mid FROM {p}_check)),
+{legal(p + 'm', p + '_reply', castling=False)},
+{p}_rivals AS (
   SELECT *, count(*) OVER (PARTITION BY pid, pc, dst) - 1 AS rivals,
     count(*) OVER (PARTITION BY pid, pc, dst, frm % 8) - 1 AS on_file,
     count(*) OVER (PARTITION BY pid, pc, dst, frm // 8) - 1 AS on_rank
-  FROM a_legal),
-a_san AS MATERIALIZED (
+  FROM {p}_legal),
+{p}_san AS MATERIALIZED (
   SELECT CAST(pid AS INT) AS k, {sq('frm')} || {sq('dst')} || promo AS uci,
     CASE castle WHEN 'K' THEN 'O-O' WHEN 'Q' THEN 'O-O-O' ELSE
       CASE WHEN pc = 'P' THEN CASE WHEN takes THEN left({sq('frm')}, 1) ELSE '' END
            WHEN pc = 'K' OR rivals = 0 THEN pc WHEN on_file = 0 THEN pc || left({sq('frm')}, 1)
            WHEN on_rank = 0 THEN pc || substr({sq('frm')}, 2, 1) ELSE pc || {sq('frm')} END
       || CASE WHEN takes THEN 'x' ELSE '' END || {sq('dst')} || CASE WHEN promo = '' THEN '' ELSE '=' || upper(promo) END
-    END || CASE WHEN mid NOT IN (SELECT mid FROM a_check) THEN ''
-                WHEN mid IN (SELECT pid FROM m_legal) THEN '+' ELSE '#' END AS san
-  FROM a_rivals)"""
+    END || CASE WHEN mid NOT IN (SELECT mid FROM {p}_check) THEN ''
+                WHEN mid IN (SELECT pid FROM {p}m_legal) THEN '+' ELSE '#' END AS san
+  FROM {p}_rivals)"""
+
+
+SAN = LEGAL + ",\n" + san("a")
