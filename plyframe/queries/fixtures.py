@@ -57,9 +57,11 @@ def literal_positions(spark: SparkSession) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
-    """pos_id, k, fen: one position per order."""
+    """pos_id, k, fen: one position per order, dealt to all cores: the table is one small file, but each of its rows
+    stands for much work."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("pos_id"), (F.col("o_orderkey") % 12).alias("k"), "o_custkey")
+    orders = orders.repartition(spark.sparkContext.defaultParallelism)
     return orders.join(F.broadcast(literal_positions(spark)), "k").select("pos_id", "k", "fen", *more)
 
 

@@ -20,7 +20,9 @@ def _children():
     rows = duckdb.sql(f"WITH {cs.LEGAL} SELECT CAST(pid AS INT), white, after, next_ep FROM a_legal").fetchall()
     out = []
     for k, white, board, ep in rows:
-        ranks = [board[8 * r:8 * r + 8].replace(".", "1") for r in range(7, -1, -1)]
+        ranks = [board[8 * r:8 * r + 8] for r in range(7, -1, -1)]
+        for n in range(8, 0, -1):
+            ranks = [r.replace("." * n, str(n)) for r in ranks]
         rights = FENS[k].split()[2]
         ep_name = "-" if ep < 0 else "abcdefgh"[ep % 8] + str(ep // 8 + 1)
         out.append((k, f"{'/'.join(ranks)} {'b' if white else 'w'} {rights} {ep_name}"))
