@@ -20,6 +20,7 @@ from plyframe.plans.ordinals import gapless
 BROADCAST_ROWS = 200_000
 ROWS = 1000
 CACHED = 400_000
+SPAN = 1 << 20
 UNSAFE = re.compile(r"\s (?:\s|\Z)")
 LATIN = re.compile("[\x00-\u024f]*")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,8 +68,13 @@ class Encoder(dict):
     def ids(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return self.whole(text)
-        head, *words = text.split(" ")
-        return b"".join([self[head], *map(self.__getitem__, [f" {w}" for w in words])])
+        parts, at = [], 0
+        while at < len(text):  # each part but the first begins with a space
+            stop = text.find(" ", at + SPAN)
+            head, *words = text[at : stop if stop >= 0 else len(text)].split(" ")
+            parts.append(b"".join([self[head] if head else b"", *map(self.__getitem__, [f" {w}" for w in words])]))
+            at = stop if stop >= 0 else len(text)
+        return b"".join(parts)
 
 
 def pieces(docs: DataFrame, id: str, text: str, vocabulary: str, most: int = 1024, end: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ links that hold are the groups of near-duplicates.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,27 +27,38 @@ MOST = 4
 PAIRED = 16
 CROWD = 100_000
 BLOCK = 65_536
+SPAN = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 ROWS = 400_000
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The fingerprint as a signed 64-bit number; no words give 0."""
-    said = (text or "").encode("utf-8", "replace").lower().split()
-    if not said:
-        return 0
-    joined = b" ".join(said)
+def _hashes(said: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of `words` words, BLOCK at a time."""
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(said)
     ends = np.cumsum(np.fromiter(map(len, said), np.int64, len(said)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    if len(said) > words:
-        starts, ends = starts[: 1 - words], ends[words - 1 :]
-    else:
-        starts, ends = starts[:1], ends[-1:]
-    ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    starts = np.concatenate([[0], ends[:-1] + 1])[: len(said) - words + 1]
+    ends = ends[words - 1 :]
     for at in range(0, len(starts), BLOCK):
         pairs = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
-        h = np.array([digest(joined[s:e], SEED) for s, e in pairs], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(starts), bitorder="little").view("<i8")[0])
+        yield np.array([digest(joined[s:e], SEED) for s, e in pairs], "<u8")
+
+
+def fingerprint(text: str | None, words: int = 4, span: int = SPAN) -> int:
+    """The fingerprint as a signed 64-bit number; no words give 0. A long text is split into words part by part."""
+    body = (text or "").encode("utf-8", "replace").lower()
+    ones, n, held, at = np.zeros(64, np.int64), 0, [], 0
+    while at < len(body):
+        stop = BLANK.search(body, at + span)
+        stop = stop.start() if stop else len(body)
+        held += body[at:stop].split()
+        at = stop
+        last = at >= len(body)
+        if len(held) >= words or last and held and not n:
+            for h in _hashes(held, min(words, len(held))):
+                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                n += len(h)
+            held = held[1 - words :] if words > 1 else []
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, id: str, text: str, words: int = 4) -> DataFrame:
