@@ -51,8 +51,11 @@ def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
 
 
 def cut(docs: DataFrame, id: str, text: str, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of `docs`: its text without the spans, rows
-    (doc_id, mark, start, stop) in bytes of the texts of `keyed`. Spans may overlap; those that touch count as one."""
+    """doc_id, n_bytes, n_removed, n_spans, kept (bytes) for every row of `docs`: its text without the spans.
+
+    A row (doc_id, mark, at, runs) of `spans` stands for a span from place + first of `size` bytes for each place of `at`
+    and each run (first, size), in bytes of the texts of `keyed`. Spans may overlap; those that touch count as one.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +70,7 @@ def cut(docs: DataFrame, id: str, text: str, spans: DataFrame) -> DataFrame:
             yield _batch(rows, schema)
 
     whole = keyed(docs, id, text)
-    found = spans.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    found = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "runs")).alias("cuts"))
     same = whole["doc_id"].eqNullSafe(found["doc_id"]) & (whole["mark"] == found["mark"])
     joined = whole.join(found, same, "left").select(whole["doc_id"], whole["text"], "cuts")
     return joined.mapInArrow(work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
@@ -89,20 +92,21 @@ def rewritten(docs: DataFrame, id: str, text: str, spans: DataFrame) -> DataFram
 
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     whole = docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(body).alias("mark"), F.struct(*docs.columns).alias("row"))
-    found = spans.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("cuts"))
+    found = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("at", "runs")).alias("cuts"))
     same = whole["doc_id"].eqNullSafe(found["doc_id"]) & (whole["mark"] == found["mark"])
     return whole.join(found, same, "left").select(whole["row"], "cuts").mapInArrow(work, docs.schema)
 
 
 def _cut(body: bytes, cuts: list[dict] | None) -> tuple[int, int, int, bytes]:
     kept, at, removed, runs = [], 0, 0, 0
-    for c in cuts or ():
-        if runs and c["start"] <= at:
-            more = max(0, c["stop"] - at)
+    spans = sorted((p + r["first"], p + r["first"] + r["size"]) for c in cuts or () for p in c["at"] for r in c["runs"])
+    for start, stop in spans:
+        if runs and start <= at:
+            more = max(0, stop - at)
             removed, at = removed + more, at + more
         else:
-            kept.append(body[at : c["start"]])
-            removed, runs, at = removed + c["stop"] - c["start"], runs + 1, c["stop"]
+            kept.append(body[at:start])
+            removed, runs, at = removed + stop - start, runs + 1, stop
     kept.append(body[at:])
     return len(body), removed, runs, b"".join(kept)
 

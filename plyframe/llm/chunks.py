@@ -22,12 +22,23 @@ WINDOW = 32
 REACH = 32
 LEAST = 32
 LONGEST = 1024
+PART = 1 << 22
 GEAR = np.random.default_rng(20_240_501).integers(0, 1 << 32, 256, dtype=np.uint32)
 CHUNKS = "doc_id long, mark int, start int, stop int, d1 long, d2 long, again boolean"
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Places at which a chunk may end, before whole characters only."""
+def boundaries(data: np.ndarray, part: int = PART) -> np.ndarray:
+    """Places at which a chunk may end, before whole characters only; long data is read part by part."""
+    gap, found = WINDOW + REACH, []
+    for begin in range(0, len(data), part):
+        first = max(0, begin - gap)
+        ends = _boundaries(data[first : begin + part + gap]) + first
+        found.append(ends[(ends > begin) & (ends <= begin + part)])
+    ends = np.concatenate(found) if found else np.zeros(0, np.int64)
+    return ends[(data[ends] & 0xC0) != 0x80]
+
+
+def _boundaries(data: np.ndarray) -> np.ndarray:
     h = GEAR[data]
     done = 1
     while done < WINDOW:  # hash of the last `done` bytes, doubled
@@ -35,8 +46,7 @@ def boundaries(data: np.ndarray) -> np.ndarray:
         done *= 2
     side = sliding(h, REACH, np.maximum)  # side[i]: over h[i : i + REACH]
     at = np.arange(REACH, len(h) - REACH)
-    ends = at[(h[at] > side[at - REACH]) & (h[at] > side[at + 1][: len(at)])] + 1
-    return ends[(data[ends] & 0xC0) != 0x80]
+    return at[(h[at] > side[at - REACH]) & (h[at] > side[at + 1][: len(at)])] + 1
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,5 +98,6 @@ def deduplicated(docs: DataFrame, id: str, text: str) -> DataFrame:
     fresh = chunks.where(~F.col("again"))
     owners = fresh.groupBy("d1", "d2").agg(F.min(rank).alias("owner"), F.max(rank).alias("most")).where("owner < most").drop("most")
     taken = fresh.join(apart(owners, "d1"), ["d1", "d2"]).where(rank > F.col("owner"))
-    place = ["doc_id", "mark", "start", "stop"]
-    return cut(docs, id, text, taken.select(place).union(chunks.where("again").select(place)))
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("stop") - F.col("start")).alias("size")))
+    place = ["doc_id", "mark", F.array("start").alias("at"), whole.alias("runs")]
+    return cut(docs, id, text, taken.select(*place).union(chunks.where("again").select(*place)))

@@ -31,10 +31,11 @@ GRAM = 48
 STEPS = (39, 10, 3, 1)
 CROWD = 200
 SHARD = 1_000_000
+PART = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64((1 << 24) - 1)
-CONTEXTS = "doc_id long, mark int, name long, digest long, place int, n int, at int"
-PART = "name long, digest long, part long, twin long, m long, place int, n int, first int, body binary"
+CONTEXTS = "doc_id long, mark int, name long, digest long, place int, n int, at array<int>"
+PARTS = "name long, digest long, part long, twin long, m long, place int, n int, first int, body binary"
 RUNS = "name long, digest long, first int, n int"
 
 
@@ -54,35 +55,40 @@ def _hashes(data: np.ndarray) -> np.ndarray:
         return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], length: int, part: int = PART) -> Iterator[pa.RecordBatch]:
+    """The contexts of all windows, equal ones of a text in one row with all their places; those of a long text part by
+    part, so that a context may be two neighbours."""
     width = length - GRAM + 1
+    digest = xxhash.xxh3_64_intdigest
     for rows, data, start, stop in buffers(batches, 1):
-        doc = np.flatnonzero(stop - start >= length)
-        if not len(doc):
-            continue
-        h = _hashes(data)
-        if len(h) > PLACE:  # of one text longer than 16 MB: windows are named part by part below
-            parts = [(i, min(len(h), i + int(PLACE) + 1)) for i in range(0, len(h) - width + 1, int(PLACE) + 2 - width)]
-        else:
-            parts = [(0, len(h))]
-        gram = np.concatenate([
-            (sliding((h[a:b] & ~PLACE) | np.arange(b - a, dtype=np.uint64), width, np.minimum) & PLACE).astype(np.int64) + a
-            for a, b in parts])
-        count = stop[doc] - start[doc] - length + 1
-        of = np.repeat(doc, count)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + start[of]
-        gram = gram[at]
-        first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])
-        n = np.diff(np.r_[first, len(of)])
-        begin, place, of = at[first], (gram - at)[first], of[first]
-        whole = memoryview(data.tobytes())
-        digest = xxhash.xxh3_64_intdigest
-        digests = np.array([digest(whole[b : b + k + length - 1], p) for b, k, p in zip(begin.tolist(), n.tolist(), place.tolist(), strict=True)], np.uint64)
-        pick = pa.array(of)
-        yield pa.RecordBatch.from_arrays(
-            [rows["doc_id"].take(pick), rows["mark"].take(pick), pa.array(h[begin + place].view(np.int64)), pa.array(digests.view(np.int64)),
-             pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array((begin - start[of]).astype(np.int32))],
-            ["doc_id", "mark", "name", "digest", "place", "n", "at"])
+        whole = memoryview(data)
+        for begin in range(0, len(data) - length + 1, part):
+            low, high = np.maximum(start, begin), np.minimum(stop - length + 1, begin + part)
+            count = np.maximum(high - low, 0)
+            doc = np.flatnonzero(count)
+            if not len(doc):
+                continue
+            h = _hashes(data[begin : begin + part + length - 1])
+            gram = (sliding((h & ~PLACE) | np.arange(len(h), dtype=np.uint64), width, np.minimum) & PLACE).astype(np.int64)
+            count = count[doc]
+            of = np.repeat(doc, count)
+            at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of] - begin
+            gram = gram[at]
+            first = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])])
+            n = np.diff(np.r_[first, len(of)])
+            at, gram, of = at[first], gram[first], of[first]
+            place, at = gram - at, at + begin
+            digests = np.array([digest(whole[b : b + k + length - 1], p) for b, k, p in zip(at.tolist(), n.tolist(), place.tolist(), strict=True)], np.uint64)
+            name = h[gram]
+            order = np.lexsort((at, digests, name, of))
+            same = (of[order][1:] == of[order][:-1]) & (name[order][1:] == name[order][:-1]) & (digests[order][1:] == digests[order][:-1])
+            head = np.flatnonzero(np.r_[True, ~same])
+            one, pick = order[head], pa.array(of[order[head]])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array((at - start[of])[order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(
+                [rows["doc_id"].take(pick), rows["mark"].take(pick), pa.array(name[one].view(np.int64)), pa.array(digests[one].view(np.int64)),
+                 pa.array(place[one].astype(np.int32)), pa.array(n[one].astype(np.int32)), places],
+                ["doc_id", "mark", "name", "digest", "place", "n", "at"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -148,47 +154,50 @@ def _divided(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Itera
 
 
 def _resolved(contexts: DataFrame, length: int, steps: tuple[int, ...], crowd: int) -> DataFrame:
-    """name, digest, first, n: runs of repeated windows in different contexts (name, digest, m, place, n, body), a scan;
-    m tells how often the context occurs."""
+    """name, digest, runs (first, n): where windows repeat, of different contexts (name, digest, m, place, n, body), a
+    scan; m tells how often the context occurs. A context has one row, and as many runs as its windows at most."""
     sizes = written(contexts.groupBy("name").agg(F.count("*").alias("held")).where("held > 1"))
-    whole = contexts.where("m > 1").select("name", "digest", F.lit(0).alias("first"), "n")
+    run = F.array(F.struct("first", "n"))
+    whole = contexts.where("m > 1").withColumn("first", F.lit(0)).select("name", "digest", run.alias("runs"))
     size = contexts.agg(F.sum(F.col("n") + length)).first()[0] or 0
     shards = max(1, -(-size // (4 * SHARD)))
     some = contexts.join(sizes.where(F.col("held") <= crowd), "name").select("name", "digest", "n", "body")
-    runs = whole.union(some.repartition(shards, "name").mapInArrow(lambda b: _searched(b, length), RUNS))
+    found = some.repartition(shards, "name").mapInArrow(lambda b: _searched(b, length), RUNS)
+    runs = whole.union(found.select("name", "digest", run.alias("runs")))
     crowded = sizes.where(F.col("held") > crowd)
-    if not steps or crowded.isEmpty():
-        return runs
-    many = contexts.join(crowded.drop("held"), "name")
-    parts = written(many.mapInArrow(lambda b: _divided(b, length, steps[0]), PART))
-    twins = written(parts.groupBy(F.col("part").alias("name"), F.col("twin").alias("digest")).agg(
-        F.sum("m").alias("m"), F.first("place").alias("place"), F.first("n").alias("n"), F.first("body").alias("body")))
-    inner = _resolved(twins, length, steps[1:], crowd).select(
-        F.col("name").alias("part"), F.col("digest").alias("twin"), F.col("first").alias("_first"), F.col("n").alias("_n"))
-    back = parts.select("name", "digest", "part", "twin", "first").join(inner, ["part", "twin"])
-    return runs.union(back.select("name", "digest", (F.col("first") + F.col("_first")).alias("first"), F.col("_n").alias("n")))
+    if steps and not crowded.isEmpty():
+        many = contexts.join(crowded.drop("held"), "name")
+        parts = written(many.mapInArrow(lambda b: _divided(b, length, steps[0]), PARTS))
+        twins = written(parts.groupBy(F.col("part").alias("name"), F.col("twin").alias("digest")).agg(
+            F.sum("m").alias("m"), F.first("place").alias("place"), F.first("n").alias("n"), F.first("body").alias("body")))
+        inner = _resolved(twins, length, steps[1:], crowd).withColumnsRenamed({"name": "part", "digest": "twin"})
+        back = parts.select("name", "digest", "part", "twin", F.col("first").alias("_at")).join(inner, ["part", "twin"])
+        runs = runs.union(back.select("name", "digest", F.transform("runs", lambda r: F.struct(
+            (r["first"] + F.col("_at")).alias("first"), r["n"].alias("n"))).alias("runs")))
+    return runs.groupBy("name", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def repeated_spans(docs: DataFrame, id: str, text: str, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
-    """doc_id, mark, start, stop: spans that cover each byte of a string of `length` bytes that starts elsewhere too."""
+    """Spans, in the form that `bytescan.cut` takes, of each string of `length` bytes that starts elsewhere too."""
     whole = keyed(docs, id, text)
     contexts = written(whole.mapInArrow(lambda b: _contexts(b, length), CONTEXTS))
-    names = contexts.groupBy("name").agg(F.count("*").alias("m"), (F.min("digest") != F.max("digest")).alias("mixed"))
+    names = contexts.groupBy("name").agg(F.sum(F.size("at")).alias("m"), (F.min("digest") != F.max("digest")).alias("mixed"))
     shared = written(contexts.join(apart(names.where("m > 1").drop("m"), "name"), "name"))
-    equal = shared.where("NOT mixed").select("doc_id", "mark", "at", "n")
-    mixed = shared.where("mixed").groupBy("name", "digest").agg(
-        F.count("*").alias("m"), *(F.first(c).alias(c) for c in ("doc_id", "mark", "place", "n", "at")))
+    mixed = shared.where("mixed").withColumns({"m": F.size("at"), "at": F.get("at", F.lit(0))}).groupBy("name", "digest").agg(
+        F.sum("m").alias("m"), *(F.first(c).alias(c) for c in ("doc_id", "mark", "place", "n", "at")))
     wanted = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("name", "digest", "m", "place", "n", "at")).alias("wanted"))
     same = whole["doc_id"].eqNullSafe(wanted["doc_id"]) & (whole["mark"] == wanted["mark"])
     bodies = whole.join(wanted, same).select(
-        whole["doc_id"], whole["mark"], F.transform("wanted", lambda w: F.struct(
+        F.transform("wanted", lambda w: F.struct(
             w["name"].alias("name"), w["digest"].alias("digest"), w["m"].alias("m"), w["place"].alias("place"), w["n"].alias("n"),
             F.substring(whole["text"].cast("binary"), w["at"] + 1, w["n"] + F.lit(length - 1)).alias("body"))).alias("wanted"))
     bodies = written(bodies.select(F.explode("wanted").alias("w")).select("w.*"))
     runs = _resolved(bodies, length, STEPS, crowd)
-    found = shared.where("mixed").select("name", "digest", "doc_id", "mark", "at").join(runs, ["name", "digest"]).select(
-        "doc_id", "mark", (F.col("at") + F.col("first")).alias("at"), "n")
-    return equal.union(found).select("doc_id", "mark", F.col("at").alias("start"), (F.col("at") + F.col("n") + (length - 1)).alias("stop"))
+    cover = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), (r["n"] + F.lit(length - 1)).alias("size")))
+    found = shared.where("mixed").select("name", "digest", "doc_id", "mark", "at").join(runs, ["name", "digest"])
+    equal = shared.where("NOT mixed").withColumn("runs", F.array(F.struct(F.lit(0).alias("first"), "n")))
+    place = ["doc_id", "mark", "at", cover.alias("runs")]
+    return equal.select(*place).union(found.select(*place))
 
 
 def without_repeats(docs: DataFrame, id: str, text: str, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
