@@ -171,7 +171,7 @@ def _resolved(contexts: DataFrame, length: int, steps: tuple[int, ...], crowd: i
         twins = written(parts.groupBy(F.col("part").alias("name"), F.col("twin").alias("digest")).agg(
             F.sum("m").alias("m"), F.first("place").alias("place"), F.first("n").alias("n"), F.first("body").alias("body")))
         inner = _resolved(twins, length, steps[1:], crowd).withColumnsRenamed({"name": "part", "digest": "twin"})
-        back = parts.select("name", "digest", "part", "twin", F.col("first").alias("_at")).join(inner, ["part", "twin"])
+        back = parts.select("name", "digest", "part", "twin", F.col("first").alias("_at")).join(apart(inner, "part"), ["part", "twin"])
         runs = runs.union(back.select("name", "digest", F.transform("runs", lambda r: F.struct(
             (r["first"] + F.col("_at")).alias("first"), r["n"].alias("n"))).alias("runs")))
     return runs.groupBy("name", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
@@ -192,7 +192,7 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int = LENGTH, cr
             w["name"].alias("name"), w["digest"].alias("digest"), w["m"].alias("m"), w["place"].alias("place"), w["n"].alias("n"),
             F.substring(whole["text"].cast("binary"), w["at"] + 1, w["n"] + F.lit(length - 1)).alias("body"))).alias("wanted"))
     bodies = written(bodies.select(F.explode("wanted").alias("w")).select("w.*"))
-    runs = _resolved(bodies, length, STEPS, crowd)
+    runs = apart(_resolved(bodies, length, STEPS, crowd), "name")
     cover = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), (r["n"] + F.lit(length - 1)).alias("size")))
     found = shared.where("mixed").select("name", "digest", "doc_id", "mark", "at").join(runs, ["name", "digest"])
     equal = shared.where("NOT mixed").withColumn("runs", F.array(F.struct(F.lit(0).alias("first"), "n")))
