@@ -4,12 +4,15 @@ Two 64-bit fingerprints with at most four differing bits are cut into three segm
 bit at most. Every segment is indexed with each of its bits left out: segments that differ in one bit agree where that
 bit is left out, equal ones agree anyway. Fingerprints that share such a variant are compared, and components of the
 links that hold are the groups of near-duplicates.
+
+Four bits reach few copies of a similarity under 0.95, so `representatives` finds its candidates by bands of minima of
+shingle hashes instead and compares their shingles.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,11 @@ PAIRED = 16
 CROWD = 100_000
 BLOCK = 65_536
 SPAN = 1 << 20
+SHINGLE = 5
+SHARE = 0.8
+BANDS, MINIMA = 20, 5
+MIXED = np.random.default_rng(20_240_502).integers(0, 1 << 64, (2, BANDS * MINIMA, 1), dtype=np.uint64)
+SKETCH = "doc_id long, digest string, node long, n int, bands array<long>"
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 ROWS = 400_000
 
@@ -43,21 +51,28 @@ def _hashes(said: list[bytes], words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[s:e], SEED) for s, e in pairs], "<u8")
 
 
-def fingerprint(text: str | None, words: int = 4, span: int = SPAN) -> int:
-    """The fingerprint as a signed 64-bit number; no words give 0. A long text is split into words part by part."""
+def shingles(text: str | None, words: int, span: int = SPAN) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of a text, in pieces; a long text is split into words part by part."""
     body = (text or "").encode("utf-8", "replace").lower()
-    ones, n, held, at = np.zeros(64, np.int64), 0, [], 0
+    held, at, some = [], 0, False
     while at < len(body):
         stop = BLANK.search(body, at + span)
         stop = stop.start() if stop else len(body)
         held += body[at:stop].split()
         at = stop
         last = at >= len(body)
-        if len(held) >= words or last and held and not n:
-            for h in _hashes(held, min(words, len(held))):
-                ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                n += len(h)
+        if len(held) >= words or last and held and not some:
+            some = True
+            yield from _hashes(held, min(words, len(held)))
             held = held[1 - words :] if words > 1 else []
+
+
+def fingerprint(text: str | None, words: int = 4, span: int = SPAN) -> int:
+    """The fingerprint as a signed 64-bit number; no words give 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in shingles(text, words, span):
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
@@ -154,13 +169,106 @@ def near_duplicates(docs: DataFrame, id: str, text: str, words: int = 4, crowd:
     return prints.join(named, "fp").select("doc_id", "mark", "fp", "component_id", "root")
 
 
-def representatives(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """The rows of `docs`, with all their columns, that stay: one for each group of near-duplicates, the one with the
-    smallest id; of rows that share that id the text with the smallest checksum, and of equal rows any one."""
-    found = near_duplicates(docs, id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = found.groupBy("root").agg(F.first("doc_id").alias("doc_id"), F.min("mark").alias("mark"))
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("mark"))
+def _distinct(text: str | None) -> np.ndarray:
+    parts = list(shingles(text, SHINGLE))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    """A number for each band: MINIMA minima of the hashes in as many random orders."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[at : at + 512] ^ MIXED[0]) * (MIXED[1] | np.uint64(1))).min(axis=1), out=least)
+    digests = [xxhash.xxh3_64_digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, MINIMA))]
+    return np.frombuffer(b"".join(digests), "<i8").tolist()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for text in batch["text"]:
+            own = _distinct(text.as_py())
+            node = int(np.frombuffer(xxhash.xxh3_64_digest(own.tobytes()), "<i8")[0])
+            out.append((node, len(own), _bands(own)))
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                                         ["doc_id", "digest", "node", "n", "bands"])
+
+
+def _held(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shingles have `share` or more of their union in common."""
+    last: dict[str, tuple[int | None, np.ndarray | None]] = {"a": (None, None), "b": (None, None)}
+    for batch in batches:
+        keep = []
+        for a, b, x, y in zip(*(batch[c] for c in ("a", "b", "x", "y")), strict=True):
+            for side, node, text in (("a", a.as_py(), x), ("b", b.as_py(), y)):
+                if last[side][0] != node:
+                    last[side] = node, _distinct(text.as_py())
+            x, y = last["a"][1], last["b"][1]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= share * (len(x) + len(y) - both))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: float = SHARE, paired: int = PAIRED) -> DataFrame:
+    """a, b: nodes with a before b whose shingles have a similarity of `share` or more, enough of them that every node
+    with such a node before it in one of its bands is either a b or compared with a node that is no b.
+
+    Members of a band meet in pairs, if they are few. Of more than `paired` all meet the first, and from the second round
+    on the first `paired`; these and those that are similar to one of them leave the band, and the others meet again. So
+    copies of one text cost a comparison each. `texts` gives node and text of the nodes of a table.
+    """
+    left = written(nodes.select(F.struct("none", "doc_id", "node", "n").alias("of"), F.explode("bands").alias("band")))
+    found, hubs = None, F.array(F.min("of"))
+    while True:
+        sizes = written(left.groupBy("band").agg(hubs.alias("hubs"), F.count("*").alias("held")).where("held > 1"))
+        met = left.join(apart(sizes, "band"), "band")
+        few = met.where(F.col("held") <= paired).select("band", "of")
+        pairs = few.join(few.select("band", F.col("of").alias("by")), "band").where("of < by")
+        rest = met.where(F.col("held") > paired)
+        stars = rest.select("band", "of", F.explode("hubs").alias("hub")).where("hub < of")
+        both = pairs.select("of", "by").union(stars.select("hub", "of"))
+        enough = F.least("of.n", "by.n") >= share * F.greatest("of.n", "by.n")
+        both = written(both.where(enough).select(F.col("of.node").alias("a"), F.col("by.node").alias("b")).distinct())
+        own = texts(both.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        rows = both.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
+            own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+        links = written(rows.select("a", "b", "x", "y").mapInArrow(lambda b: _held(b, share), "a long, b long"))
+        found = links if found is None else found.union(links)
+        if sizes.where(F.col("held") > paired).isEmpty():
+            return found
+        near = (F.col("hub.node") == F.col("a")) & (F.col("of.node") == F.col("b"))
+        done = stars.join(links, near, "left_semi").select("band", "of").union(rest.select("band", F.explode("hubs").alias("of")))
+        left = written(rest.select("band", "of").join(done.distinct(), ["band", "of"], "left_anti"))
+        hubs = F.slice(F.array_sort(F.collect_list("of")), 1, paired)
+
+
+def representatives(docs: DataFrame, id: str, text: str, share: float = SHARE) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: those without a near-duplicate before them, in the order of
+    ids, rows without one last. Of rows with the same shingles the first stays, of those that share its id the one with
+    the smallest digest of the text, and of equal rows any one.
+
+    Texts are near-duplicates if their sets of shingles of SHINGLE words have a similarity (Jaccard) of `share` or more.
+    Candidates agree in one of BANDS bands of MINIMA minima, which at 0.8 are 0.9996 of the pairs and above it more; no
+    row goes without an exact comparison, but equal sets are told by a digest of 64 bits. A row may go for one that went itself. Texts without words are one text.
+    """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.hash(body).alias("mark"), F.struct(*docs.columns).alias("row"))
-    kept = rows.select(key.alias("key"), "row").join(chosen.select(key.alias("key")), "key", "left_semi")
-    return kept.dropDuplicates(["key"]).select("row.*")
+    named = [F.col(id).cast("long").alias("doc_id"), F.md5(body.cast("binary")).alias("digest")]
+    sketches = docs.select(*named, body.alias("text")).mapInArrow(_sketched, SKETCH)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    nodes = written(sketches.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "bands"))).select(
+        "node", "n", "bands", "least.*"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("digest")).alias("key")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        keys = nodes.join(wanted, "node", "left_semi").select("node", key)
+        rows = docs.select(*named, body.alias("text")).select(key, "text").join(keys, "key")
+        return written(rows.select("node", "text").dropDuplicates(["node"]))
+
+    gone = similar(nodes, texts, share).select(F.col("b").alias("node")).distinct()
+    chosen = nodes.select("node", "doc_id", "digest").join(gone, "node", "left_anti").select(key)
+    rows = docs.select(*named, F.struct(*docs.columns).alias("row")).select(key, "row")
+    return rows.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

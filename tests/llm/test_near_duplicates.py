@@ -117,3 +117,39 @@ def test_one_representative_stays(docs, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids, key=str) == sorted([1, 3, 5, 6, 7, 8, None, 9, 10], key=str)
     assert simhash.representatives(empty, "doc_id", "text").count() == 0
+
+
+def copies(rng, similarity, words=400):
+    """A text and a copy of about that similarity of shingles of five words: separate words are replaced."""
+    said = [f"w{rng.getrandbits(40)}" for _ in range(words)]
+    other, most = list(said), round((words - 4) * (1 - similarity) / (1 + similarity) / 5)
+    for at in rng.sample(range(1, words // 6 - 1), most):
+        other[6 * at] = f"x{rng.getrandbits(40)}"
+    return " ".join(said), " ".join(other)
+
+
+def jaccard(a, b):
+    a, b = (({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_copies_of_similarity_from_080_go_and_others_stay(spark):
+    rng = random.Random(17)
+    pairs = [copies(rng, s) for s in (0.95, 0.9, 0.85, 0.82, 0.78, 0.7, 0.5) for _ in range(12)]
+    rows = [(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)]
+    kept = {r.doc_id for r in simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    near = [jaccard(*p) >= 0.8 for p in pairs]
+    assert 40 <= sum(near) <= 60
+    assert kept == {2 * i + k for i, p in enumerate(pairs) for k in (0, 1) if not (k and near[i])}
+
+
+def test_crowded_bands_keep_no_similar_texts(spark):
+    rng = random.Random(18)
+    said = [[f"w{rng.getrandbits(40)}" for _ in range(120)] for _ in range(2)]
+    said[1][:105] = said[0][:105]  # two families, each similar in itself
+    texts = [" ".join(x if i != 6 + 6 * (k % 15) else f"y{k}" for i, x in enumerate(s)) for s in said for k in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.representatives(table, "doc_id", "text").collect())
+    assert kept[0] == 0
+    assert all(jaccard(texts[a], texts[b]) < 0.8 for a in kept for b in kept if a < b)
+    assert all(any(jaccard(texts[a], texts[b]) >= 0.8 for a in range(b)) for b in range(len(texts)) if b not in kept)
