@@ -86,6 +86,18 @@ def test_top_k_of_odd_rows(spark):
         maxscore.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, x array<double>"), "vec_id", "x", "id % 50 = 0").collect()
 
 
+def test_top_k_query_of_odd_rows(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [0.5, 0.25]), (2, None), (3, [1.0, None]), (4, [nan, 9.0]), (5, [inf, 1.0]), (6, [-inf, 9.0]), (50, [nan, 1.0]),
+            (None, [1.0, 1.0]), (7, [-0.3, 0.1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(ORACLES["op8_maxscore_top_k"]).fetchall())
+    got = QUERIES["op8_maxscore_top_k"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want and [r[2] for r in want] == [1, 7]
+
+
 def test_warc_round_trip(spark, tmp_path):
     source = {r["page_id"]: r for r in pq.read_table(f"{SF}/pages.parquet").to_pylist()}
     records = QUERIES["op7_warc_derivatives"](spark, SF)
