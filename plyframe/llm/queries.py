@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm import chunks, maxscore, mil, packing, rendezvous, repeats, simhash, snapshots, templates, warc
+from plyframe.llm import chunks, maxscore, mil, packing, rendezvous, repeats, simhash, snapshots, templates, tries, warc
 from plyframe.plans.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,3 +133,37 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_template_decontamination")
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "item_id", "text")
+
+
+@query("op11_prefix_trie", """
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS anchor,
+    xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+      lambda crc, d: list_reduce(list_prepend(xor(crc, d), range(8)),
+        lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))) % 6 AS h
+  FROM turns GROUP BY conv_id),
+convs AS (SELECT o.conv_id, o.anchor, o.h, least(o.h, coalesce(a.n, 0)) AS m FROM own o LEFT JOIN own a ON a.conv_id = o.anchor),
+built AS (SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.anchor AND t.pos <= c.m
+  UNION ALL SELECT c.conv_id, t.pos - c.h + c.m, t.role, t.text FROM convs c JOIN turns t USING (conv_id) WHERE t.pos > c.h),
+lengths AS (SELECT conv_id, coalesce(max(pos), 0) AS n FROM own LEFT JOIN built USING (conv_id) GROUP BY conv_id),
+pre AS (SELECT conv_id, pos AS depth, length(text) AS chars, string_agg(sha256(role || chr(0) || text), '') OVER (
+    PARTITION BY conv_id ORDER BY pos) AS prefix FROM built
+  UNION ALL SELECT conv_id, 0, 0, '' FROM own),
+nodes AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(chars) AS saved FROM pre GROUP BY depth, prefix),
+kids AS (SELECT k.depth, k.prefix, p.conv_id AS parent_conv_id FROM nodes k JOIN nodes p
+  ON p.depth = k.depth - 1 AND p.prefix = left(k.prefix, length(k.prefix) - 64)),
+n_kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM kids GROUP BY ALL),
+up AS (SELECT a.depth, a.prefix, sum(z.saved) AS saved, count(*) FILTER (WHERE NOT EXISTS (
+    SELECT 1 FROM n_kids k WHERE k.conv_id = z.conv_id AND k.depth = z.depth)) AS n_leaves
+  FROM nodes z JOIN pre a ON a.conv_id = z.conv_id AND a.depth <= z.depth GROUP BY a.depth, a.prefix),
+ends AS (SELECT p.depth, p.prefix, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS e
+  FROM pre p JOIN lengths l USING (conv_id) WHERE l.n = p.depth GROUP BY p.depth, p.prefix)
+SELECT n.conv_id, n.depth, k.parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens,
+  coalesce(e.e, sha256('')) AS ends_sha256
+FROM nodes n JOIN up u USING (depth, prefix) LEFT JOIN kids k USING (depth, prefix) LEFT JOIN n_kids c ON c.conv_id = n.conv_id AND c.depth = n.depth
+LEFT JOIN ends e USING (depth, prefix)""")
+def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    anchor = F.col("conv_id") - F.col("conv_id") % 100
+    heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    return tries.trie(*tries.reopened(written(tries.numbered(table(spark, sf_dir, "conversations"))), anchor, heads, 5))
