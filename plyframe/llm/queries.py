@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm import chunks, maxscore, mil, packing, rendezvous, repeats, simhash, snapshots, templates, tries, warc
+from plyframe.llm import chunks, fertility, maxscore, mil, packing, rendezvous, repeats, simhash, snapshots, templates, tries, warc
 from plyframe.plans.scratch import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,3 +167,13 @@ def prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchor = F.col("conv_id") - F.col("conv_id") % 100
     heads = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
     return tries.trie(*tries.reopened(written(tries.numbered(table(spark, sf_dir, "conversations"))), anchor, heads, 5))
+
+
+@query("op12_tokeniser_fertility")
+def fertility_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = fertility.ruled(table(spark, sf_dir, "documents"), "doc_id", "text", "lang",
+                            public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                        "n_tokens", "chars_per_token", "byte_share", "entropy")
