@@ -19,7 +19,7 @@ from plyframe.plans.ordinals import dense_ordinal
 from plyframe.plans.scratch import written
 
 SPAN = 1 << 20  # bytes of a text split into words at a time
-HOLD = 1 << 19  # words of a batch
+HOLD = 1 << 21  # words of a batch
 TILE, HEAD = 512, 16  # ranks in a tile's side, tiles in a side of the square that may be counted by direct address
 DENSE = TILE * TILE // 32  # pairs that make a tile worth an array
 MARKS = bytes.maketrans(b"\t,;:!?\x0a\x0b\x0c\x0d", b" " + b"." * 9)  # a tab is a blank; all that ends a piece is a dot
@@ -156,11 +156,11 @@ def _frequent(rows: DataFrame, key: list[str], least: int) -> tuple[DataFrame, D
     """From batches' counts (batch, at, lang, key, times): each language's keys with a sum f of `least` or more and an id by
     falling f, and the ids of each batch's numbers. A key has a row for a batch, so the largest group is the number of
     batches."""
-    whole = Window.partitionBy("lang", *key)
+    whole = Window.partitionBy(*key, "lang")  # the sort compares its first key fastest
     held = written(rows.withColumn("f", F.sum("times").over(whole)).where(F.col("f") >= least).drop("times"))
     keys = held.select("lang", *key, "f").distinct().withColumn("less", -F.col("f"))
     ranked = written(dense_ordinal(keys, ["less", *key], ["lang"], out="id").drop("less"))
-    return ranked, held.join(ranked.drop("f"), ["lang", *key]).select("batch", "at", "id")
+    return ranked, held.join(ranked.drop("f"), [*key, "lang"]).select("batch", "at", "id")
 
 
 def phrases(docs: DataFrame, text: str, lang: str, least: int = 10, most: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -187,13 +187,13 @@ def phrases(docs: DataFrame, text: str, lang: str, least: int = 10, most: int =
         if size < most:
             keys, ids = _frequent(pairs, ["left", "right"], least)
         else:
-            keys = written(pairs.groupBy("lang", "left", "right").agg(F.sum("times").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(0).cast("long")))
+            keys = written(pairs.groupBy("left", "right", "lang").agg(F.sum("times").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(0).cast("long")))
         holds = keys.select("lang", F.explode(F.array("left", "right")).alias("id"), "f").groupBy("lang", "id").agg(F.max("f").alias("within"))
         if size > 2:
-            found.append(level.join(holds, ["lang", "id"], "left"))
+            found.append(level.join(holds, ["id", "lang"], "left"))
         one = level.select("lang", F.col("id").alias("left"), F.col("phrase").alias("begun"), F.concat("heads", F.array("f")).alias("heads"))
         two = level.select("lang", F.col("id").alias("right"), "last", F.concat("tails", F.array("f")).alias("tails"))
-        level = written(keys.join(one, ["lang", "left"]).join(two, ["lang", "right"]).select(
+        level = written(keys.join(one, ["left", "lang"]).join(two, ["right", "lang"]).select(
             "lang", "id", "f", F.concat_ws(" ", "begun", "last").alias("phrase"), "last", "heads", "tails"))
     found.append(level.withColumn("within", none.cast("long")))
     whole = None
