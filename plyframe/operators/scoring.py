@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.functions.fen import side_to_move
+from plyframe.functions.fen import fen_valid_strict, side_to_move
 from plyframe.functions.text import eval_bucket
 from plyframe.operators.position import with_position
 from plyframe.operators.replies import reply_to_san
@@ -26,11 +26,12 @@ def evaluate_replies(samples: DataFrame, replies: DataFrame, use_marker: bool =
     """Pair samples with replies by `id`, parse, score: model and RESULT_COLUMNS.
 
     `samples` has id (unique), fen, top_moves; `replies` has model, id, full_reply. A parsed move is
-    canonical and legal by construction, so legality needs no second look. The position is read once
+    canonical and legal by construction, so legality needs no second look. Replies to a sample with a malformed FEN give no
+    row and count in no rate; ids keep their gaps. The position is read once
     for each sample, before the join with its replies; the side with many replies to one sample is
     split at run time by the adaptive join.
     """
-    positions = with_position(samples.select("id", "fen", "top_moves"), strict=True)
+    positions = with_position(samples.where(fen_valid_strict(F.col("fen"))).select("id", "fen", "top_moves"), strict=True)
     pairs = replies.select("model", "id", "full_reply").join(positions, "id")
     parsed = reply_to_san(pairs, use_marker, positioned=True)
     return parsed.select(

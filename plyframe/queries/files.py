@@ -10,7 +10,7 @@ from plyframe.plans.scratch import scratch_folder
 from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import query
 from plyframe.queries.scores import scored
-from plyframe.sources import results
+from plyframe.sources import csv_ranges, results
 
 
 @query("results_csv_roundtrip", f"""WITH {fx.SQL_SCORED} SELECT replace(replace(model, '/', '_'), ':', '_') AS model,
@@ -63,6 +63,17 @@ def csv_multiline_scan(spark, sf):
     return results.read_results(spark, path).select("id", "fen", "full_reply")
 
 
+@query("csv_parallel_scan", """SELECT CAST(doc_id AS VARCHAR) AS id, lang AS fen,
+  concat('said "', text, '", then', chr(10), 'more') AS full_reply FROM documents""")
+def csv_parallel_scan(spark, sf):
+    path = scratch_folder(spark)
+    docs = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("fen"), F.lit("e4").alias("model_move"),
+        F.expr("concat('said \"', text, '\", then', char(10), 'more')").alias("full_reply"))
+    _write_csv(docs, path)
+    return csv_ranges.by_header(csv_ranges.read_records(spark, path), ["id", "fen", "full_reply"]).drop("file")
+
+
 @query("model_file_union", f"""WITH {fx.SQL_RESULTS} SELECT model, CAST(id AS VARCHAR) AS id, legal, good FROM fx_results
 WHERE model IN ('gpt20b', 'mistral7b')""")
 def model_file_union(spark, sf):
@@ -106,3 +117,10 @@ def csv_header_drop(spark, sf):
     header = "id,FEN,model_move,full_reply,legal,good,top_moves"
     rows.select(F.when(F.col("is_first"), F.concat(F.lit(header + "\n"), "line")).otherwise(F.col("line"))).write.text(path)
     return results.read_entries(spark, path).select("fen", "model_move", "legal", "full_reply", "good")
+
+
+@query("csv_parallel_entries", _KEPT)
+def csv_parallel_entries(spark, sf):
+    path = scratch_folder(spark)
+    fx.table(spark, sf, "documents").select(F.expr(_LINES)).write.text(path)
+    return csv_ranges.entries(csv_ranges.read_records(spark, path)).select("fen", "model_move", "legal", "full_reply", "good")

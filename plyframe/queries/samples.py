@@ -8,11 +8,12 @@ from plyframe.functions import fen as fenf
 from plyframe.functions import text as t
 from plyframe.operators import samples as smp
 from plyframe.operators import splits
-from plyframe.plans import ordinals
+from plyframe.operators.scoring import evaluate_replies
+from plyframe.plans import ordinals, zones
 from plyframe.plans.scratch import scratch_folder, written
 from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import query
-from plyframe.sources import evals, results
+from plyframe.sources import evals, results, zstd_frames
 from plyframe.sources.zstd_lines import read_zstd_lines, write_zstd_lines
 
 TRAIN, VAL, TEST = 5000, 500, 500
@@ -170,35 +171,69 @@ def eval_ids(spark, sf):
     return numbered.join(answered, "pos_id").select("id", "pos_id", "model")
 
 
-@query("corpus_to_split", f"""WITH {fx.SQL_TOP}, numbered AS (
-  SELECT fen, best_move, top_moves, row_number() OVER (ORDER BY pos_id % 3, pos_id) - 1 AS ord FROM fx_samples)
+_FILE = 4096  # keys of a corpus file
+_CORPUS = f"""WITH {fx.SQL_TOP}, numbered AS (
+  SELECT fen, best_move, top_moves, row_number() OVER (ORDER BY pos_id) - 1 AS ord FROM fx_samples)
 SELECT ord, CASE WHEN ord < {TRAIN} THEN 'train' WHEN ord < {TRAIN + VAL} THEN 'val' ELSE 'test' END AS split,
-  fen, best_move, top_moves FROM numbered WHERE ord < {TRAIN + VAL + TEST}""")
-def corpus_to_split(spark, sf):
-    """Three compressed files with malformed lines, misfit numbers and an unfinished last line, down to the split."""
+  fen, best_move, top_moves FROM numbered WHERE ord < {TRAIN + VAL + TEST}"""
+
+
+def _write_corpus(spark, sf, frame_bytes=None):
+    """Compressed files of ranges of keys, so that they grow in number with the table, with misfit numbers, lines that are no
+    JSON, and an unfinished last line each."""
     docs = fx.documents(spark, sf).select("pos_id", "fen", "evals")
     text = F.to_json(F.struct("fen", "evals"))
     text = F.when(F.col("pos_id") % 4 == 0, F.regexp_replace(text, '"knodes":[0-9]+', '"knodes":"x"')).otherwise(text)
-    file = F.concat(F.lit("part"), (F.col("pos_id") % 3).cast("string"), F.lit(".jsonl"))
-    lines = docs.select(file.alias("file"), (2 * F.col("pos_id") + 1).alias("line"), text.alias("value"))
-    bad = docs.where("pos_id % 10 = 0").select(file.alias("file"), (2 * F.col("pos_id")).alias("line"), F.lit("{bad").alias("value"))
-    last = spark.range(3).select(F.concat(F.lit("part"), F.col("id").cast("string"), F.lit(".jsonl")).alias("file"), F.lit(2**62).alias("line"),
-                                 F.lit('{"fen": "8/8/8/8/8/8/4K2k/R7 w - -", "evals": [{"pvs": [{"line": "a1a2"}]}]}').alias("value"))
+    file = F.concat(F.lit("part"), F.lpad(F.floor(F.col("pos_id") / _FILE).cast("string"), 12, "0"), F.lit(".jsonl")).alias("file")
+    lines = docs.select(file, (2 * F.col("pos_id") + 1).alias("line"), text.alias("value"))
+    legal = '{"fen": "8/8/8/8/8/8/4K2k/R7 w - -", "evals": [{"pvs": [{"line": "a1a2"}]}]}'
+    kinds = ("{bad", legal.replace('"', "'"), legal + " trailing", legal + legal)
+    bad = docs.where("pos_id % 5 = 0").select(file, (2 * F.col("pos_id")).alias("line"), F.element_at(
+        F.array(*map(F.lit, kinds)), (F.col("pos_id") % 4 + 1).cast("int")).alias("value"))
+    last = docs.select(file).distinct().select("file", F.lit(2**62).alias("line"), F.lit(legal).alias("value"))
     folder = scratch_folder(spark)
-    write_zstd_lines(lines.union(bad).union(last), folder, finished=False)
-    corpus = written(evals.decode_evals(evals.in_order(read_zstd_lines(spark, folder), "file", "line_no")))
+    write_zstd_lines(lines.union(bad).union(last), folder, finished=False, frame_bytes=frame_bytes)
+    return folder
+
+
+@query("corpus_to_split", _CORPUS)
+def corpus_to_split(spark, sf):
+    lines = read_zstd_lines(spark, _write_corpus(spark, sf))
+    corpus = written(evals.decode_evals(evals.in_order(lines, "file", "line_no")))
     first = splits.take_first_valid(corpus, TRAIN + VAL + TEST, "at")
     return _joined(splits.sequential_split(first, TRAIN, VAL, TEST, "at")).select("ord", "split", "fen", "best_move", "top_moves")
 
 
+@query("corpus_frames_to_split", _CORPUS)
+def corpus_frames_to_split(spark, sf):
+    """The corpus in many frames, read by frames and kept in zones, which give the split its rows."""
+    index = written(zstd_frames.frame_index(spark, _write_corpus(spark, sf, frame_bytes=1 << 18)))
+    corpus = evals.decode_evals(evals.in_order(zstd_frames.read_frames(spark, index), "file", "line_no"))
+    folder = scratch_folder(spark)
+    zones.append(written(corpus), folder, "at", lambda d: smp.valid_samples(d, "at"), zone_rows=4096)
+    first = zones.numbered(spark, folder, "at", below=TRAIN + VAL + TEST)
+    return _joined(splits.sequential_split(first, TRAIN, VAL, TEST, "at")).select("ord", "split", "fen", "best_move", "top_moves")
+
+
+@query("split_after_append", f"""WITH {fx.SQL_TOP}, numbered AS (
+  SELECT pos_id, row_number() OVER (ORDER BY pos_id % 3 = 0, pos_id) - 1 AS ord FROM fx_samples)
+SELECT pos_id, ord, CASE WHEN ord < {TRAIN} THEN 'train' WHEN ord < {TRAIN + VAL} THEN 'val' ELSE 'test' END AS split
+FROM numbered WHERE ord < {TRAIN + VAL + TEST}""")
+def split_after_append(spark, sf):
+    """A corpus that grows by a second table: numbers go on where they ended, those given stay."""
+    docs, folder = fx.documents(spark, sf), scratch_folder(spark)
+    for part in (docs.where("pos_id % 3 <> 0"), docs.where("pos_id % 3 = 0")):
+        zones.append(part, folder, "pos_id", lambda d: smp.valid_samples(d, "pos_id"), zone_rows=4096)
+    first = zones.numbered(spark, folder, "pos_id", below=TRAIN + VAL + TEST)
+    return splits.sequential_split(first, TRAIN, VAL, TEST, "pos_id").select("pos_id", "ord", "split")
+
+
 @query("results_csv_empty", "SELECT 'id,fen,model_move,full_reply,legal,good,top_moves' AS value FROM region WHERE r_regionkey = 0")
 def results_csv_empty(spark, sf):
-    """What is left when no reply could be scored: one file with the header."""
+    """What is left when no reply could be scored, as all samples are malformed: one file with the header."""
     path = scratch_folder(spark)
-    none = fx.results(spark, sf).where("id < 0").select(
-        "model", "id", F.lit("").alias("fen"), F.lit("").alias("model_move"), F.lit("").alias("full_reply"),
-        F.lit(True).alias("legal"), F.lit(True).alias("good"), F.array(F.lit("")).alias("top_moves"))
-    results.write_results(none, path)
+    failing = fx.positions(spark, sf).select(F.col("pos_id").alias("id"), F.concat(F.lit("9"), "fen").alias("fen"), F.array(F.lit("e4")).alias("top_moves"))
+    results.write_results(evaluate_replies(failing, fx.replies(spark, sf)), path)
     return spark.read.text(path).select("value")
 
 

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from plyframe.functions import text as t
 from plyframe.operators import replies as rep
 from plyframe.operators import reports, samples, scoring
+from plyframe.plans.scratch import scratch_folder
 from plyframe.queries import fixtures as fx
-from plyframe.queries.registry import query
+from plyframe.queries.registry import ORACLES, query
+from plyframe.sources import csv_ranges, results
+from plyframe.streaming.stops import read_pieces, stop_stream
 
 # The move token as RE2 can say it: with a check mark before a word character, else without.
 _W = r"\pL\pN_"
@@ -96,6 +99,70 @@ def stop_rule_san(spark, sf):
     return fx.replies(spark, sf).select("id", "model", t.stop_index(pieces, False).alias("stop"))
 
 
+def _stopped_stream(spark, sf, after_marker):
+    """Pieces of all replies in three files, a reply's pieces shuffled over them, read as three batches of a stream."""
+    pieces = fx.replies(spark, sf).select("model", "id", F.posexplode(F.regexp_extract_all("full_reply", F.lit(r"(\s*\S+)"), F.lit(1))).alias("idx", "piece"),
+                                          F.regexp_count("full_reply", F.lit(r"\s*\S+")).alias("of"))
+    pieces = pieces.select("model", "id", "idx", "piece", (F.col("idx") == F.col("of") - 1).alias("last"))
+    source, out, state = (scratch_folder(spark) for _ in range(3))
+    for part in range(3):
+        pieces.where(F.pmod(F.xxhash64("id", "idx"), F.lit(3)) == part).coalesce(1).write.mode("append").json(source)
+    stops = stop_stream(read_pieces(spark, source, files_per_batch=1), after_marker, silence=None)
+    run = stops.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stops.schema).parquet(out).select("id", "model", "stop")
+
+
+@query("stop_rule_stream", ORACLES["stop_rule_marker"])
+def stop_rule_stream(spark, sf):
+    return _stopped_stream(spark, sf, True)
+
+
+@query("stop_rule_san_stream", ORACLES["stop_rule_san"])
+def stop_rule_san_stream(spark, sf):
+    return _stopped_stream(spark, sf, False)
+
+
+def _with_failures(spark, sf):
+    """Samples of which some have a malformed FEN, replies to all of them, and a model that answered only those."""
+    bad = F.col("id") % 7 == 0
+    valid = samples.valid_samples(fx.documents(spark, sf), "pos_id").withColumnRenamed("pos_id", "id")
+    failing = valid.withColumn("fen", F.when(bad, F.concat(F.lit("9"), "fen")).otherwise(F.col("fen")))
+    said = fx.replies(spark, sf).select("model", "id", "full_reply")
+    more = said.where(bad & (F.col("model") == "org/model-b")).withColumn("model", F.lit("org/none:0"))
+    return failing, said.union(more)
+
+
+@query("evaluate_skips_failed", f"""WITH {fx.SQL_SCORED}
+SELECT model, id, model_move, legal, good FROM fx_scored WHERE id % 7 <> 0""")
+def evaluate_skips_failed(spark, sf):
+    return scoring.evaluate_replies(*_with_failures(spark, sf)).select("model", "id", "model_move", "legal", "good")
+
+
+@query("evaluation_files", f"""WITH {fx.SQL_SCORED}, good AS (SELECT * FROM fx_scored WHERE id % 7 <> 0)
+SELECT concat('evaluate_', replace(replace(model, '/', '_'), ':', '_'), '.csv') AS file, count(*) AS n,
+  count(*) FILTER (WHERE legal) AS legal, count(*) FILTER (WHERE good) AS good, bit_xor(id) AS ids FROM good GROUP BY model
+UNION ALL SELECT 'evaluate_org_none_0.csv', 0, 0, 0, 0
+UNION ALL SELECT concat('summary_', replace(replace(model, '/', '_'), ':', '_'), '.json'), count(*), count(*) FILTER (WHERE legal),
+  count(*) FILTER (WHERE good), 0 FROM good GROUP BY model""")
+def evaluation_files(spark, sf):
+    """What the viewer finds in the folder, by file name: rows, legal and good ones of the tables, and the same from the summaries."""
+    folder = scratch_folder(spark)
+    asked, said = _with_failures(spark, sf)
+    results.write_evaluations(scoring.evaluate_replies(asked, said), said.select("model").distinct(), folder)
+    base = F.regexp_extract("file", "[^/]+$", 0).alias("file")
+    records = csv_ranges.read_records(spark, folder + "/*.csv")
+    rows = csv_ranges.by_header(records, ["id", "legal", "good"]).select(
+        base, F.lit(1).alias("n"), (F.col("legal") == "True").cast("int").alias("legal"), (F.col("good") == "True").cast("int").alias("good"),
+        F.col("id").cast("long").alias("ids"))
+    files = records.select(base, *(F.lit(0).cast(k).alias(c) for c, k in (("n", "int"), ("legal", "int"), ("good", "int"), ("ids", "long"))))
+    tables = rows.union(files).groupBy("file").agg(*(F.sum(c).alias(c) for c in ("n", "legal", "good")), F.expr("bit_xor(ids)").alias("ids"))
+    found = spark.read.option("multiLine", True).schema("model STRING, test_samples BIGINT, legal_move_rate DOUBLE, top_move_rate DOUBLE").json(folder + "/*.json")
+    count = lambda c: F.round(F.col("test_samples") * F.col(c) / 100).cast("long")
+    return tables.union(found.select(F.regexp_extract("_metadata.file_path", "[^/]+$", 0), "test_samples", count("legal_move_rate"),
+                                     count("top_move_rate"), F.lit(0).cast("long")))
+
+
 @query("reply_to_san", f"WITH {fx.SQL_REPLIES} SELECT model, id, model_move FROM fx_parsed")
 def reply_to_san(spark, sf):
     return rep.reply_to_san(fx.replies(spark, sf)).select("model", "id", "model_move")

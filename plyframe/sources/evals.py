@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BAD = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+_BAD = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "allowSingleQuotes": "false"}
+_BLANK = r"[\x20\t\r\n]*"
+_STRING = r'"(?:[^"\\]|\\.)*+"'  # possessive: nothing is tried again
 
 
 def _is_object(text: Column) -> Column:
-    return F.rlike(text, F.lit(r"^\s*\{"))
+    """Whether the text, valid UTF-8, begins as an object and ends with it: no brace but the last closes the first."""
+    begun = F.is_valid_utf8(text) & F.rlike(text, F.lit(rf"^{_BLANK}\{{")) & F.rlike(text, F.lit(rf"\}}{_BLANK}\z"))
+    # Without strings and all else but braces, what is left has to be closed by its last character.
+    braces = F.regexp_replace(F.regexp_replace(text, _STRING, ""), r"[^{}]+", "")
+    depth = F.aggregate(F.split(braces, ""), F.struct(F.lit(0).alias("open"), F.lit(0).alias("ends")), lambda s, c: F.struct(
+        (s["open"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("open"),
+        (s["ends"] + F.when((c == "}") & (s["open"] == 1), 1).otherwise(0)).alias("ends")))
+    return F.coalesce(begun, F.lit(False)) & F.coalesce((depth["open"] == 0) & (depth["ends"] == 1), F.lit(False))
 
 
 def decode_evals(lines: DataFrame, text: str = "value") -> DataFrame:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions.text import is_not_false, is_true, sanitize_model_id, strip
+from plyframe.operators.scoring import model_summary
+from plyframe.plans.ordinals import dense_ordinal
 from plyframe.plans.scratch import written
+from plyframe.sources.committed import write_committed
 
 _TEXT_COLUMNS = ["id", "fen", "model_move", "full_reply", "legal", "good", "top_moves"]
 _TEXT_SCHEMA = ", ".join(f"{c} STRING" for c in _TEXT_COLUMNS)
@@ -98,6 +101,35 @@ def drop_header(entries: DataFrame) -> DataFrame:
     return entries.join(headers, ["file", "pos"], "left_anti")
 
 
+def write_evaluations(scored: DataFrame, models: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> None:
+    """evaluate_<model>.csv for every model of `models`, in the order of ids, and summary_<model>.json for those with rows; all
+    appear together when everything is written. A model none of whose replies was scored has a file with the header only.
+    Rows after the first `rows_per_file` of a model go to evaluate_<model>.1.csv, .2.csv and so on, each with a header."""
+    name = sanitize_model_id(F.col("model"))
+    text = {c: F.col(c).cast("string") for c in _TEXT_COLUMNS} | {c: F.initcap(F.col(c).cast("string")) for c in ("legal", "good")}
+    text["top_moves"] = F.array_join("top_moves", ",")
+    rows = dense_ordinal(scored, "id", ["model"], out="_ord")
+    part = F.floor(F.col("_ord") / rows_per_file).cast("long")
+    options = {"quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    record = F.to_csv(F.struct(*(F.coalesce(v, F.lit("")).alias(c) for c, v in text.items())), options)
+    rows = written(rows.select("model", part.alias("part"), (F.col("_ord") + 1).alias("line"), record.alias("value")))
+    begun = models.select("model", F.lit(0).cast("long").alias("part")).union(rows.select("model", "part")).distinct()
+    headers = begun.select("model", "part", F.lit(0).cast("long").alias("line"), F.lit(",".join(_TEXT_COLUMNS)).alias("value"))
+    suffix = F.when(F.col("part") > 0, F.concat(F.lit("."), F.col("part").cast("string"))).otherwise("")
+    tables = rows.union(headers).select(F.concat(F.lit("evaluate_"), name, suffix, F.lit(".csv")).alias("file"), "line", "value")
+    write_committed(tables.union(_as_json(model_summary(scored), F.concat(F.lit("summary_"), name, F.lit(".json")))), folder)
+
+
+def _as_json(rows: DataFrame, file: Column) -> DataFrame:
+    """Lines of one JSON object for each row."""
+    return rows.select(file.alias("file"), F.lit(0).cast("long").alias("line"), F.to_json(F.struct("*"), {"pretty": "true"}).alias("value"))
+
+
+def write_manifest(manifest: DataFrame, folder: str) -> None:
+    """training_info.json, as a whole or not at all."""
+    write_committed(_as_json(manifest, F.lit("training_info.json")), folder)
+
+
 def write_summaries(summary: DataFrame, path: str) -> None:
     summary.write.json(path)
 

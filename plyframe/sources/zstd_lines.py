@@ -54,6 +54,12 @@ def _register(spark: SparkSession) -> None:
             names = ["file", "line_no", "value"]
             types = [pa.string(), pa.int64(), pa.string()]
 
+            def text(line):
+                try:
+                    return line.decode()
+                except UnicodeDecodeError:
+                    return None
+
             def batch(first, values):
                 columns = [[partition.path] * len(values), list(range(first, first + len(values))), values]
                 return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -64,7 +70,7 @@ def _register(spark: SparkSession) -> None:
                 rest, lines, number = b"", [], 0
                 while chunk := stream.read(_CHUNK):
                     *whole, rest = (rest + chunk).split(b"\n")
-                    lines += [w.decode("utf-8", "replace") for w in whole]
+                    lines += [text(w) for w in whole]
                     while len(lines) >= _BATCH:
                         yield batch(number, lines[:_BATCH])
                         number, lines = number + _BATCH, lines[_BATCH:]
@@ -86,15 +92,16 @@ def _register(spark: SparkSession) -> None:
 
 
 def read_zstd_lines(spark: SparkSession, path: str, max_window: int = MAX_WINDOW) -> DataFrame:
-    """Columns file, line_no, value. `path` is a file, a folder of *.zst, or a pattern."""
+    """Columns file, line_no, value; null for a line that is not UTF-8. `path` is a file, a folder of *.zst, or a pattern."""
     _register(spark)
     return spark.read.format("zstd_lines").option("maxwindow", max_window).load(path)
 
 
-def write_zstd_lines(lines: DataFrame, folder: str, finished: bool = True) -> None:
+def write_zstd_lines(lines: DataFrame, folder: str, finished: bool = True, frame_bytes: int | None = None) -> None:
     """Write rows (file, line, value) as `folder`/`file`.zst, each file in the order of `line` and by one task.
 
-    Without `finished` the last line of a file is not ended. A file gets its name when it is complete, so a task that
+    Without `finished` the last line of a file is not ended. With `frame_bytes` a frame ends after as many bytes of text, in the
+    middle of a line too; otherwise a file is one frame. A file gets its name when it is complete, so a task that
     is tried again leaves no part of a file.
     """
     def work(batches):
@@ -106,11 +113,21 @@ def write_zstd_lines(lines: DataFrame, folder: str, finished: bool = True) -> No
         filesystem, base = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
         filesystem.create_dir(base, recursive=True)
         name = raw = out = draft = None
+        room = frame_bytes
+
+        def write(data):
+            nonlocal out, room
+            while frame_bytes and len(data) > room:
+                out.write(data[:room])
+                out.close()
+                out, data, room = zstandard.ZstdCompressor().stream_writer(raw, closefd=False), data[room:], frame_bytes
+            out.write(data)
+            room = frame_bytes and room - len(data)
 
         def close():
             if out is not None:
                 if finished:
-                    out.write(b"\n")
+                    write(b"\n")
                 out.close()
                 raw.close()
                 filesystem.move(draft, f"{base}/{name}.zst")
@@ -121,10 +138,10 @@ def write_zstd_lines(lines: DataFrame, folder: str, finished: bool = True) -> No
                     close()
                     name, draft = file, f"{base}/.{uuid.uuid4().hex}"
                     raw = filesystem.open_output_stream(draft)
-                    out = zstandard.ZstdCompressor().stream_writer(raw, closefd=False)
+                    out, room = zstandard.ZstdCompressor().stream_writer(raw, closefd=False), frame_bytes
                 else:
-                    out.write(b"\n")
-                out.write(value.encode())
+                    write(b"\n")
+                write(value.encode())
         close()
         yield from ()
 

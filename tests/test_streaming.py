@@ -1,7 +1,14 @@
 """A stream of replies gives the rows of the batch."""
 
+import os
+import random
+
+from pyspark.sql import functions as F
+
+from plyframe.functions.text import stop_index
 from plyframe.operators.scoring import evaluate_replies
 from plyframe.streaming.replies import REPLY_SCHEMA, read_replies, score_stream
+from plyframe.streaming.stops import PIECE_SCHEMA, read_pieces, stop_stream
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
 
@@ -18,3 +25,38 @@ def test_stream_equals_batch(spark, tmp_path):
     run.awaitTermination(120)
     key = lambda r: (r.model, r.id)
     assert sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key) == sorted(evaluate_replies(samples, replies).collect(), key=key)
+
+
+def test_stops_of_pieces_in_any_order(spark, tmp_path):
+    texts = {1: "My plan. Best Move: e4 and d4", 2: "none at all", 3: "Nf3 best", 4: "a Best Move: Qxd8+ then", 5: "Best Move: x" + " z" * 30 + " O-O-O now"}
+    pieces = [("m", i, n, p, n == len(t) // 3) for i, t in texts.items() for n, p in enumerate(t[k : k + 3] for k in range(0, len(t) + 3 - len(t) % 3, 3))]
+    silent = [("m", 9, 0, "Best ", False), ("m", 9, 2, "e4", False)]
+    random.Random(1).shuffle(pieces)
+    for part in range(3):
+        rows = spark.createDataFrame(pieces[part::3] + (pieces[:4] if part == 2 else []) + silent[part:part + 1], PIECE_SCHEMA)
+        rows.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    arrays = spark.createDataFrame([(i, [t[k : k + 3] for k in range(0, len(t) + 3 - len(t) % 3, 3)]) for i, t in texts.items()], "id long, p array<string>")
+    for marker in (True, False):
+        want = {r.id: r.stop for r in arrays.select("id", stop_index(F.col("p"), marker).alias("stop")).collect()}
+        out = str(tmp_path / f"out{marker}")
+        run = stop_stream(read_pieces(spark, str(tmp_path / "in"), 1), marker, silence=None).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", out + "-state").trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        rows = spark.read.parquet(out).collect()
+        assert {r.id: r.stop for r in rows} == want and len(rows) == len(want)
+        assert {r.ended for r in rows if r.stop is None} <= {"last"}
+
+
+def test_a_silent_reply_ends(spark, tmp_path):
+    rows = spark.createDataFrame([("m", 1, 0, "Best Move: ", False), ("m", 2, 0, "Best Move: e4", False)], PIECE_SCHEMA)
+    rows.coalesce(1).write.json(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    run = stop_stream(read_pieces(spark, str(tmp_path / "in")), True, silence="2 seconds").writeStream.format("parquet").option(
+        "path", out).option("checkpointLocation", out + "-state").start()
+    for _ in range(60):
+        run.awaitTermination(1)
+        found = {(r.id, r.stop, r.ended) for r in spark.read.schema("model string, id long, stop int, ended string").parquet(out).collect()} if os.path.isdir(out) else set()
+        if len(found) == 2:
+            break
+    run.stop()
+    assert found == {(1, None, "silence"), (2, 1, "move")}
