@@ -35,7 +35,10 @@ SHINGLE = 5
 SHARE = 0.8
 BANDS, MINIMA = 20, 5
 MIXED = np.random.default_rng(20_240_502).integers(0, 1 << 64, (2, BANDS * MINIMA, 1), dtype=np.uint64)
-SKETCH = "doc_id long, digest string, node long, n int, bands array<long>"
+AGREE = 60  # of the 100 minima, by one byte of each
+HUBBED = 4_096
+COMPARED = 1_000
+SKETCH = "doc_id long, digest string, node long, n int, bands array<long>, bytes binary"
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 ROWS = 400_000
 
@@ -174,15 +177,15 @@ def _distinct(text: str | None) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, "<u8")
 
 
-def _bands(hashes: np.ndarray) -> list[int]:
-    """A number for each band: MINIMA minima of the hashes in as many random orders."""
+def _bands(hashes: np.ndarray) -> tuple[list[int], bytes]:
+    """A number for each band of MINIMA minima of the hashes in as many random orders, and a byte of each minimum."""
     if not len(hashes):
-        return []
+        return [], b""
     least = np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), 512):
         np.minimum(least, ((hashes[at : at + 512] ^ MIXED[0]) * (MIXED[1] | np.uint64(1))).min(axis=1), out=least)
     digests = [xxhash.xxh3_64_digest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, MINIMA))]
-    return np.frombuffer(b"".join(digests), "<i8").tolist()
+    return np.frombuffer(b"".join(digests), "<i8").tolist(), (least >> np.uint64(24)).astype(np.uint8).tobytes()
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,59 +194,107 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch["text"]:
             own = _distinct(text.as_py())
             node = int(np.frombuffer(xxhash.xxh3_64_digest(own.tobytes()), "<i8")[0])
-            out.append((node, len(own), _bands(own)))
-        columns = list(zip(*out, strict=True)) or [[]] * 3
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            out.append((node, len(own), *_bands(own)))
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                         ["doc_id", "digest", "node", "n", "bands"])
+                                         ["doc_id", "digest", "node", "n", "bands", "bytes"])
+
+
+def _stars(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and order: pairs (b, the one before it that it may be like, with that one's order).
+
+    The first of a group takes those whose minima agree in AGREE places or more; of what is left the first takes its own,
+    and so on. So copies of one text cost a comparison of bytes each.
+    """
+    key, held = None, []
+
+    def pairs() -> pa.RecordBatch:
+        found: list[tuple] = []
+        if len(held) > 1:
+            marks = np.frombuffer(b"".join(h["bytes"] for h in held), np.uint8).reshape(len(held), -1)
+            n = np.array([h["n"] for h in held])
+            left = np.arange(len(held))
+            while len(left) > 1:
+                hub, left = left[0], left[1:]
+                node = held[hub]["node"]
+                like = ((marks[left] == marks[hub]).sum(axis=1) >= AGREE) & (np.minimum(n[left], n[hub]) >= share * np.maximum(n[left], n[hub]))
+                if like.any():
+                    like &= np.array([node not in held[i]["no"] for i in left])
+                found += [(held[i]["node"], held[hub]["order"], node) for i in left[like]]
+                left = left[~like]
+        columns = list(zip(*found, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["b", "order", "a"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["band"], row["block"]) != key:
+                yield pairs()
+                key, held = (row["band"], row["block"]), []
+            held.append(row)
+    yield pairs()
 
 
 def _held(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """The pairs whose shingles have `share` or more of their union in common."""
-    last: dict[str, tuple[int | None, np.ndarray | None]] = {"a": (None, None), "b": (None, None)}
+    """Rows sorted by hub and part, the hub's text first: whether each other text has `share` or more of the union of its
+    shingles and the hub's in common."""
+    own = np.zeros(0, "<u8")
     for batch in batches:
-        keep = []
-        for a, b, x, y in zip(*(batch[c] for c in ("a", "b", "x", "y")), strict=True):
-            for side, node, text in (("a", a.as_py(), x), ("b", b.as_py(), y)):
-                if last[side][0] != node:
-                    last[side] = node, _distinct(text.as_py())
-            x, y = last["a"][1], last["b"][1]
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= share * (len(x) + len(y) - both))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: float = SHARE, paired: int = PAIRED) -> DataFrame:
-    """a, b: nodes with a before b whose shingles have a similarity of `share` or more, enough of them that every node
-    with such a node before it in one of its bands is either a b or compared with a node that is no b.
-
-    Members of a band meet in pairs, if they are few. Of more than `paired` all meet the first, and from the second round
-    on the first `paired`; these and those that are similar to one of them leave the band, and the others meet again. So
-    copies of one text cost a comparison each. `texts` gives node and text of the nodes of a table.
+        out: list[tuple] = []
+        for hub, node, text in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["text"], strict=True):
+            said = _distinct(text.as_py())
+            if node is None:
+                own = said
+                continue
+            both = len(np.intersect1d(own, said, assume_unique=True))
+            out.append((hub, node, both >= share * (len(own) + len(said) - both)))
+        columns = list(zip(*out, strict=True)) or [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "like"])
+
+
+def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: float = SHARE, block: int = HUBBED) -> DataFrame:
+    """node: those whose shingles have a similarity of `share` or more to those of a node before them. No two nodes that
+    are left, share a band and agree in AGREE minima are so similar.
+
+    In each round a member of shared bands meets one node before it, the first it may be like by its minima, and their
+    shingles are compared. It goes if they are similar; if not, that pair is never taken again, and bands with such members
+    go on. Bands with more than `block` members are dealt to blocks and go on while they shrink, then with larger blocks. A text
+    is sent once a round; a hub's text goes to each task that compares some of its members. `texts` gives node and
+    text of the nodes of a table.
     """
-    left = written(nodes.select(F.struct("none", "doc_id", "node", "n").alias("of"), F.explode("bands").alias("band")))
-    found, hubs = None, F.array(F.min("of"))
-    while True:
-        sizes = written(left.groupBy("band").agg(hubs.alias("hubs"), F.count("*").alias("held")).where("held > 1"))
-        met = left.join(apart(sizes, "band"), "band")
-        few = met.where(F.col("held") <= paired).select("band", "of")
-        pairs = few.join(few.select("band", F.col("of").alias("by")), "band").where("of < by")
-        rest = met.where(F.col("held") > paired)
-        stars = rest.select("band", "of", F.explode("hubs").alias("hub")).where("hub < of")
-        both = pairs.select("of", "by").union(stars.select("hub", "of"))
-        enough = F.least("of.n", "by.n") >= share * F.greatest("of.n", "by.n")
-        both = written(both.where(enough).select(F.col("of.node").alias("a"), F.col("by.node").alias("b")).distinct())
-        own = texts(both.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        rows = both.join(own.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(
-            own.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-        links = written(rows.select("a", "b", "x", "y").mapInArrow(lambda b: _held(b, share), "a long, b long"))
-        found = links if found is None else found.union(links)
-        if sizes.where(F.col("held") > paired).isEmpty():
-            return found
-        near = (F.col("hub.node") == F.col("a")) & (F.col("of.node") == F.col("b"))
-        done = stars.join(links, near, "left_semi").select("band", "of").union(rest.select("band", F.explode("hubs").alias("of")))
-        left = written(rest.select("band", "of").join(done.distinct(), ["band", "of"], "left_anti"))
-        hubs = F.slice(F.array_sort(F.collect_list("of")), 1, paired)
+    spark = nodes.sparkSession
+    memory = nodes.select("node", "order", "n", "bytes")
+    bands = nodes.select("node", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    held = written(bands.join(apart(shared, "band"), "band").withColumn("no", F.array().cast("array<long>")))
+    gone = spark.createDataFrame([], "node long")
+    while not held.isEmpty():
+        dealt = held.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int"))
+        rows = dealt.join(memory, "node").select("band", "block", "order", "node", "n", "bytes", "no")
+        pairs = rows.repartition("band", "block").sortWithinPartitions("band", "block", "order").mapInArrow(
+            lambda b: _stars(b, share), "b long, order string, a long")
+        pairs = written(pairs.groupBy("b").agg(F.min(F.struct("order", "a")).alias("of")).select("b", "of.a"))
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts"))
+        met = pairs.join(apart(parts, "a"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+        own = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        hubs = met.select("a", "part").distinct().join(own.withColumnRenamed("node", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+        others = met.join(own.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
+        both = hubs.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+        compared = written(both.mapInArrow(lambda b: _held(b, share), "a long, b long, like boolean"))
+        new = compared.where("like").select(F.col("b").alias("node"))
+        gone = gone.union(new)
+        failed = compared.where("not like").select(F.col("b").alias("node"), F.col("a").alias("other"))
+        left = held.join(new, "node", "left_anti").join(failed, "node", "left").select(
+            "band", "node", F.when(F.col("other").isNull(), F.col("no")).otherwise(F.array_append("no", F.col("other"))).alias("no"),
+            F.col("other").isNotNull().alias("again"), F.col("size").alias("was"))
+        left = written(left)
+        sizes = left.groupBy("band").agg(F.count("*").alias("size"), F.max("again").alias("more"), F.max("was").alias("was"))
+        wide = F.col("was") > block  # its blocks have not met each other yet
+        sizes = written(sizes.where((F.col("size") > 1) & (F.col("more") | wide)))
+        if not sizes.where(wide & (F.col("size") * 2 > F.col("was"))).isEmpty():
+            block *= 16
+        held = written(left.select("band", "node", "no").join(apart(sizes.select("band", "size"), "band"), "band"))
+    return gone
 
 
 def representatives(docs: DataFrame, id: str, text: str, share: float = SHARE) -> DataFrame:
@@ -252,15 +303,19 @@ def representatives(docs: DataFrame, id: str, text: str, share: float = SHARE) -
     the smallest digest of the text, and of equal rows any one.
 
     Texts are near-duplicates if their sets of shingles of SHINGLE words have a similarity (Jaccard) of `share` or more.
-    Candidates agree in one of BANDS bands of MINIMA minima, which at 0.8 are 0.9996 of the pairs and above it more; no
-    row goes without an exact comparison, but equal sets are told by a digest of 64 bits. A row may go for one that went itself. Texts without words are one text.
+    Candidates agree in one of BANDS bands of MINIMA minima, which at 0.8 are 0.9996 of the pairs and above it more, and in
+    AGREE minima of all, which at 0.8 all but one in a million do; no row goes without an exact comparison, but equal sets
+    are told by a digest of 64 bits. A row may go for one that went itself. Texts without words are one text.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = [F.col(id).cast("long").alias("doc_id"), F.md5(body.cast("binary")).alias("digest")]
     sketches = docs.select(*named, body.alias("text")).mapInArrow(_sketched, SKETCH)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
-    nodes = written(sketches.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "bands"))).select(
-        "node", "n", "bands", "least.*"))
+    nodes = sketches.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "bands", "bytes"))).select("node", "n", "bands", "bytes", "least.*")
+    # text that sorts as the ids do, negative ones first, none last
+    number = F.concat(F.when(F.col("doc_id") < 0, "0").otherwise("1"), F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    order = F.concat(F.coalesce(number, F.lit("2")), F.lit(":"), F.col("digest"), F.lit(":"), F.hex("node"))
+    nodes = written(nodes.withColumn("order", order))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("digest")).alias("key")
 
     def texts(wanted: DataFrame) -> DataFrame:
@@ -268,7 +323,6 @@ def representatives(docs: DataFrame, id: str, text: str, share: float = SHARE) -
         rows = docs.select(*named, body.alias("text")).select(key, "text").join(keys, "key")
         return written(rows.select("node", "text").dropDuplicates(["node"]))
 
-    gone = similar(nodes, texts, share).select(F.col("b").alias("node")).distinct()
-    chosen = nodes.select("node", "doc_id", "digest").join(gone, "node", "left_anti").select(key)
+    chosen = nodes.select("node", "doc_id", "digest").join(similar(nodes, texts, share), "node", "left_anti").select(key)
     rows = docs.select(*named, F.struct(*docs.columns).alias("row")).select(key, "row")
     return rows.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 import xxhash
 
 from plyframe.llm import simhash
@@ -133,6 +134,11 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
+def shingle_set(text):
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_copies_of_similarity_from_080_go_and_others_stay(spark):
     rng = random.Random(17)
     pairs = [copies(rng, s) for s in (0.95, 0.9, 0.85, 0.82, 0.78, 0.7, 0.5) for _ in range(12)]
@@ -143,7 +149,10 @@ def test_copies_of_similarity_from_080_go_and_others_stay(spark):
     assert kept == {2 * i + k for i, p in enumerate(pairs) for k in (0, 1) if not (k and near[i])}
 
 
-def test_crowded_bands_keep_no_similar_texts(spark):
+@pytest.mark.parametrize("block", [3, 4096])
+def test_crowded_bands_keep_no_similar_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash.similar, "__defaults__", (simhash.SHARE, block))
+    monkeypatch.setattr(simhash, "COMPARED", 4)
     rng = random.Random(18)
     said = [[f"w{rng.getrandbits(40)}" for _ in range(120)] for _ in range(2)]
     said[1][:105] = said[0][:105]  # two families, each similar in itself
