@@ -201,11 +201,11 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["doc_id", "digest", "node", "n", "bands", "bytes"])
 
 
-def _stars(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group and order: pairs (b, the one before it that it may be like, with that one's order).
+def _stars(batches: Iterator[pa.RecordBatch], share: float, many: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group and order: pairs (b, one before it that it may be like, with that one's order).
 
-    The first of a group takes those whose minima agree in AGREE places or more; of what is left the first takes its own,
-    and so on. So copies of one text cost a comparison of bytes each.
+    The first of a group takes those whose minima agree in AGREE places or more; of what is left the next takes its own,
+    and so on. A member leaves when `many` took it, so with one, copies of one text cost a comparison of bytes each.
     """
     key, held = None, []
 
@@ -214,7 +214,7 @@ def _stars(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Recor
         if len(held) > 1:
             marks = np.frombuffer(b"".join(h["bytes"] for h in held), np.uint8).reshape(len(held), -1)
             n = np.array([h["n"] for h in held])
-            left = np.arange(len(held))
+            left, taken = np.arange(len(held)), np.zeros(len(held), int)
             while len(left) > 1:
                 hub, left = left[0], left[1:]
                 node = held[hub]["node"]
@@ -222,7 +222,8 @@ def _stars(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.Recor
                 if like.any():
                     like &= np.array([node not in held[i]["no"] for i in left])
                 found += [(held[i]["node"], held[hub]["order"], node) for i in left[like]]
-                left = left[~like]
+                taken[left] += like
+                left = left[taken[left] < many]
         columns = list(zip(*found, strict=True)) or [[]] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64()), strict=True)], ["b", "order", "a"])
 
@@ -256,9 +257,9 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: fl
     """node: those whose shingles have a similarity of `share` or more to those of a node before them. No two nodes that
     are left, share a band and agree in AGREE minima are so similar.
 
-    In each round a member of shared bands meets one node before it, the first it may be like by its minima, and their
+    In the first round a member of shared bands meets one node before it, the first it may be like by its minima, and their
     shingles are compared. It goes if they are similar; if not, that pair is never taken again, and bands with such members
-    go on. Bands with more than `block` members are dealt to blocks and go on while they shrink, then with larger blocks. A text
+    go on; each further round lets a member meet four times as many. Bands with more than `block` members are dealt to blocks and go on while they shrink, then with larger blocks. A text
     is sent once a round; a hub's text goes to each task that compares some of its members. `texts` gives node and
     text of the nodes of a table.
     """
@@ -267,13 +268,14 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: fl
     bands = nodes.select("node", F.explode("bands").alias("band"))
     shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     held = written(bands.join(apart(shared, "band"), "band").withColumn("no", F.array().cast("array<long>")))
-    gone = spark.createDataFrame([], "node long")
+    gone, many = spark.createDataFrame([], "node long"), 1
     while not held.isEmpty():
         dealt = held.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block)).cast("int"))
         rows = dealt.join(memory, "node").select("band", "block", "order", "node", "n", "bytes", "no")
         pairs = rows.repartition("band", "block").sortWithinPartitions("band", "block", "order").mapInArrow(
-            lambda b: _stars(b, share), "b long, order string, a long")
-        pairs = written(pairs.groupBy("b").agg(F.min(F.struct("order", "a")).alias("of")).select("b", "of.a"))
+            lambda b, most=many: _stars(b, share, most), "b long, order string, a long")
+        one = pairs.groupBy("b").agg(F.min(F.struct("order", "a")).alias("of")).select("b", "of.a")
+        pairs = written(one if many == 1 else pairs.select("b", "a").distinct())
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / COMPARED).alias("parts"))
         met = pairs.join(apart(parts, "a"), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
         own = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -281,11 +283,11 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: fl
         others = met.join(own.withColumnRenamed("node", "b"), "b").select("a", "part", "b", "text")
         both = hubs.union(others).repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
         compared = written(both.mapInArrow(lambda b: _held(b, share), "a long, b long, like boolean"))
-        new = compared.where("like").select(F.col("b").alias("node"))
+        new = compared.where("like").select(F.col("b").alias("node")).distinct()
         gone = gone.union(new)
-        failed = compared.where("not like").select(F.col("b").alias("node"), F.col("a").alias("other"))
+        failed = compared.where("not like").groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("other"))
         left = held.join(new, "node", "left_anti").join(failed, "node", "left").select(
-            "band", "node", F.when(F.col("other").isNull(), F.col("no")).otherwise(F.array_append("no", F.col("other"))).alias("no"),
+            "band", "node", F.when(F.col("other").isNull(), F.col("no")).otherwise(F.concat("no", "other")).alias("no"),
             F.col("other").isNotNull().alias("again"), F.col("size").alias("was"))
         left = written(left)
         sizes = left.groupBy("band").agg(F.count("*").alias("size"), F.max("again").alias("more"), F.max("was").alias("was"))
@@ -293,6 +295,7 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: fl
         sizes = written(sizes.where((F.col("size") > 1) & (F.col("more") | wide)))
         if not sizes.where(wide & (F.col("size") * 2 > F.col("was"))).isEmpty():
             block *= 16
+        many *= 4
         held = written(left.select("band", "node", "no").join(apart(sizes.select("band", "size"), "band"), "band"))
     return gone
 
