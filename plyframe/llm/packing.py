@@ -21,7 +21,7 @@ BROADCAST_ROWS = 200_000
 ROWS = 1000
 CACHED = 400_000
 SPAN = 1 << 20
-UNSAFE = re.compile(r"\s (?:\s|\Z)")
+UNSAFE = re.compile(r" (?<=\s )(?:\s|\Z)")
 LATIN = re.compile("[\x00-\u024f]*")
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,7 +36,7 @@ def _ranks(tokenizer) -> dict[bytes, int]:
 
 
 class Encoder(dict):
-    """The ids of space-led words as bytes, remembered up to a bound; a byte-level vocabulary file of `tokenizers`.
+    """The ids of words led by a space as bytes, remembered up to a bound; a byte-level vocabulary file of `tokenizers`.
 
     The vocabulary's splitting never joins a word and the space after it, so a text is cut before each space that lies
     between a word and a word or other single separator; a text with longer runs of blanks is encoded whole. New words in
@@ -55,7 +55,7 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHED:
             self.clear()
-        ids = self[word] = self.whole(word)
+        ids = self[word] = self.whole(f" {word}")
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -72,7 +72,7 @@ class Encoder(dict):
         while at < len(text):  # each part but the first begins with a space
             stop = text.find(" ", at + SPAN)
             head, *words = text[at : stop if stop >= 0 else len(text)].split(" ")
-            parts.append(b"".join([self[head] if head else b"", *map(self.__getitem__, [f" {w}" for w in words])]))
+            parts += [self.whole(head) if head else b"", *map(self.__getitem__, words)]
             at = stop if stop >= 0 else len(text)
         return b"".join(parts)
 
