@@ -24,10 +24,13 @@ QUERIES = 512
 PROBE = 8
 SALTS = 16
 EXACT = 2.0**53
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+BEYOND = 2400  # bits of the largest products of doubles and their sums
 
 
 class Shard:
-    """Postings of one shard: values by dimension, and for each (dimension, sign) the rows and the largest size."""
+    """Postings of one shard: values by dimension, and for each (dimension, sign) the rows and the largest size. Values
+    are doubles, or Python's whole numbers where sums of doubles would not be exact."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -55,7 +58,7 @@ class Shard:
                 if found.all():
                     break
         rows = np.flatnonzero(found & (self.ids != query_id))
-        score = np.zeros(len(rows))
+        score = np.zeros(len(rows), self.values.dtype)
         for at in range(0, len(terms), PROBE):  # the essential terms in full, then the others while rows compete
             step = terms[at : at + PROBE]
             score += query[step] @ self.values[np.ix_(step, rows)]
@@ -66,24 +69,36 @@ class Shard:
         if len(score) > k:
             keep = score >= np.partition(score, len(score) - k)[-k]
             rows, score = rows[keep], score[keep]
-        order = np.lexsort((self.ids[rows], -score))[:k]
+        order = np.argsort(self.ids[rows], kind="stable")
+        order = order[np.argsort(-score[order], kind="stable")][:k]
         return self.ids[rows[order]], score[order]
 
 
 def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows (id, x) as blocks: number in this task, ids and matrix as bytes."""
-    ids, rows, width = [], [], 0
+    """Rows (id, x) as blocks: ids and matrix as bytes. Large rows are blocks of their own."""
+    held: dict[bool, tuple[list, list]] = {False: ([], []), True: ([], [])}
     for batch in batches:
         for i, x in zip(batch["id"].to_pylist(), batch["x"].to_pylist(), strict=True):
-            if len(x) and max(map(abs, x)) ** 2 * len(x) > EXACT:
-                raise ValueError("a component is too large for an exact inner product")
+            ids, rows = held[_large(x)]
             ids.append(i)
             rows.append(x)
             if len(rows) == size:
                 yield _block(ids, rows)
-                ids, rows = [], []
-    if rows:
-        yield _block(ids, rows)
+                ids.clear(), rows.clear()
+    for ids, rows in held.values():
+        if rows:
+            yield _block(ids, rows)
+
+
+def _large(x: list[float]) -> bool:
+    """Whether products of this vector with one like it may have sums that doubles do not hold exactly. The product of
+    two vectors of which neither is large is exact."""
+    most = max(map(abs, x), default=0.0)
+    return most * most * len(x) > EXACT
+
+
+def _whole(values: np.ndarray) -> np.ndarray:
+    return np.frompyfunc(int, 1, 1)(values).astype(object)
 
 
 def _block(ids: list[int], rows: list[list[float]]) -> pa.RecordBatch:
@@ -109,20 +124,34 @@ def _searched(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
         for ids, matrix, q_ids, q_matrix in zip(*(batch[c].to_pylist() for c in ("ids", "matrix", "q_ids", "q_matrix")), strict=True):
             rows, (numbers, queries) = _unpacked(ids, matrix), _unpacked(q_ids, q_matrix)
             width = max(rows[1].shape[1], queries.shape[1])
-            shard = Shard(rows[0], np.pad(rows[1], ((0, 0), (0, width - rows[1].shape[1]))))
+            values = np.pad(rows[1], ((0, 0), (0, width - rows[1].shape[1])))
+            shard, exact = Shard(rows[0], values), None
+            large = any(map(_large, values.tolist()))
             queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-            out: list[tuple[int, int, int]] = []
+            out: list[tuple[int, int, int, str | None]] = []
             for number, query in zip(numbers.tolist(), queries, strict=True):
-                found, scores = shard.best(number, query, k)
-                out += [(number, i, int(s)) for i, s in zip(found.tolist(), scores.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)],
-                                             ["query_id", "vec_id", "score"])
+                if large or _large(query.tolist()):
+                    exact = exact or Shard(rows[0], _whole(values))
+                    found, scores = exact.best(number, _whole(query), k)
+                else:
+                    found, scores = shard.best(number, query, k)
+                out += [(number, i, *_bounded(int(s))) for i, s in zip(found.tolist(), scores.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))],
+                                             ["query_id", "vec_id", "score", "beyond"])
+
+
+def _bounded(score: int) -> tuple[int, str | None]:
+    """A score as a 64-bit number; one beyond is given at the limit, with a text of fixed length that sorts as it does."""
+    if LOWEST < score <= HIGHEST:
+        return score, None
+    return max(LOWEST, min(HIGHEST, score)), f"{score + (1 << BEYOND):0{BEYOND // 4 + 1}x}"
 
 
 def top_k(vectors: DataFrame, id: str, vector: str, query: str, k: int = 5) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each row that satisfies `query` (SQL over the id).
 
-    `vector` holds whole numbers as doubles, small enough for exact sums. Vectors that are null or hold null or
+    `vector` holds whole numbers as doubles. Scores are exact: vectors too large for sums of doubles are multiplied as
+    whole numbers of any size, and a score beyond 64 bits is ranked by its value and given as the nearest 64-bit number. Vectors that are null or hold null or
     non-finite components take no part, nor do rows without an id; a missing trailing component counts as 0. Ties go to
     the smaller id; a row never meets rows of its own id. Rows that repeat an id count once per row as candidates and
     once in all as a query, by the smallest vector. Fewer candidates than k give fewer rows, an empty table gives none.
@@ -143,7 +172,7 @@ def top_k(vectors: DataFrame, id: str, vector: str, query: str, k: int = 5) -> D
         "salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
     pairs = shards.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block")).join(blocks, ["block", "salt"])
     found = pairs.select("ids", "matrix", "q_ids", "q_matrix").mapInArrow(
-        lambda b: _searched(b, k), "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        lambda b: _searched(b, k), "query_id long, vec_id long, score long, beyond string")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

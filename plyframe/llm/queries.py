@@ -116,9 +116,11 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""")
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def whole(x: Column) -> Column:  # floor of NaN is 0 and of infinity a large number, so these become null
+    def whole(x: Column) -> Column:  # floor of NaN is 0 and of what no long holds the limit, so the first become null
         value = x.cast("double")
-        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.floor(F.lit(256) * value).cast("double"))
+        scaled = F.lit(256) * value
+        floor = F.when(F.abs(scaled) < 2.0**53, F.floor(scaled).cast("double")).otherwise(scaled)
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(floor)
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", whole).alias("x"))
     return maxscore.top_k(vectors, "vec_id", "x", "id % 50 = 0")
