@@ -19,6 +19,7 @@ CLASSES = 16
 FEATURES = CLASSES * CLASSES + 5
 SPAN = 1 << 20
 SAMPLE = 2000
+PASSAGES = 256
 
 
 def _classes() -> np.ndarray:
@@ -155,20 +156,22 @@ def train(bags: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, hidde
     return Model(**p)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id: str, text: str, label: str, sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
     """Fit on at most `sample` labelled documents of each class, chosen by the hash of their id and weighted by the
-    size of their class. Documents with conflicting, missing or other labels than 0 and 1 are not used."""
+    size of their class. Documents with conflicting, missing or other labels than 0 and 1 are not used. Of rows that
+    repeat an id the least text is used, and of a text at most `passages` passages, evenly spread over all of it: so the
+    driver gets at most 2 x `sample` x `passages` rows of features. Scoring has no such bounds."""
     known = labels.select(F.col(id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("most")).where("y = most").select("doc_id", "y")
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(parts[0].union(parts[1]))  # 2 x sample rows at most
-    source = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(chosen, "doc_id")
+    source = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.concatenate([features(s) for s in spans((x or "").encode("utf-8", "replace"))]).astype(np.float16).tobytes()
-                    for x in batch["text"].to_pylist()]
+            bags = (np.concatenate([features(s) for s in spans((x or "").encode("utf-8", "replace"))]) for x in batch["text"].to_pylist())
+            rows = [b[np.unique(np.linspace(0, len(b) - 1, passages).astype(int))].astype(np.float16).tobytes() for b in bags]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     rows = source.mapInArrow(work, "doc_id long, y int, x binary").collect()
