@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.llm.bytescan import buffers, cut, keyed, sliding
+from plyframe.llm.bytescan import ROW, buffers, cut, keyed, same, sliding
 from plyframe.llm.induced import permuted_common_prefixes, suffix_array
 from plyframe.plans.scratch import apart, written
 
@@ -34,7 +34,7 @@ SHARD = 1_000_000
 PART = 1 << 22
 BASE = np.uint64(0x9E3779B97F4A7C15)
 PLACE = np.uint64((1 << 24) - 1)
-CONTEXTS = "doc_id long, mark int, name long, digest long, place int, n int, at array<int>"
+CONTEXTS = "doc_id long, mark long, mark2 long, name long, digest long, place int, n int, at array<int>"
 PARTS = "name long, digest long, part long, twin long, m long, place int, n int, first int, body binary"
 RUNS = "name long, digest long, first int, n int"
 
@@ -81,14 +81,14 @@ def _contexts(batches: Iterator[pa.RecordBatch], length: int, part: int = PART)
             digests = np.array([digest(whole[b : b + k + length - 1], p) for b, k, p in zip(at.tolist(), n.tolist(), place.tolist(), strict=True)], np.uint64)
             name = h[gram]
             order = np.lexsort((at, digests, name, of))
-            same = (of[order][1:] == of[order][:-1]) & (name[order][1:] == name[order][:-1]) & (digests[order][1:] == digests[order][:-1])
-            head = np.flatnonzero(np.r_[True, ~same])
+            alike = (of[order][1:] == of[order][:-1]) & (name[order][1:] == name[order][:-1]) & (digests[order][1:] == digests[order][:-1])
+            head = np.flatnonzero(np.r_[True, ~alike])
             one, pick = order[head], pa.array(of[order[head]])
             places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array((at - start[of])[order].astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [rows["doc_id"].take(pick), rows["mark"].take(pick), pa.array(name[one].view(np.int64)), pa.array(digests[one].view(np.int64)),
+                [*(rows[c].take(pick) for c in ROW), pa.array(name[one].view(np.int64)), pa.array(digests[one].view(np.int64)),
                  pa.array(place[one].astype(np.int32)), pa.array(n[one].astype(np.int32)), places],
-                ["doc_id", "mark", "name", "digest", "place", "n", "at"])
+                [*ROW, "name", "digest", "place", "n", "at"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -184,19 +184,18 @@ def repeated_spans(docs: DataFrame, id: str, text: str, length: int = LENGTH, cr
     names = contexts.groupBy("name").agg(F.sum(F.size("at")).alias("m"), (F.min("digest") != F.max("digest")).alias("mixed"))
     shared = written(contexts.join(apart(names.where("m > 1").drop("m"), "name"), "name"))
     mixed = shared.where("mixed").withColumns({"m": F.size("at"), "at": F.get("at", F.lit(0))}).groupBy("name", "digest").agg(
-        F.sum("m").alias("m"), *(F.first(c).alias(c) for c in ("doc_id", "mark", "place", "n", "at")))
-    wanted = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("name", "digest", "m", "place", "n", "at")).alias("wanted"))
-    same = whole["doc_id"].eqNullSafe(wanted["doc_id"]) & (whole["mark"] == wanted["mark"])
-    bodies = whole.join(wanted, same).select(
+        F.sum("m").alias("m"), *(F.first(c).alias(c) for c in (*ROW, "place", "n", "at")))
+    wanted = mixed.groupBy(*ROW).agg(F.collect_list(F.struct("name", "digest", "m", "place", "n", "at")).alias("wanted"))
+    bodies = whole.join(wanted, same(whole, wanted)).select(
         F.transform("wanted", lambda w: F.struct(
             w["name"].alias("name"), w["digest"].alias("digest"), w["m"].alias("m"), w["place"].alias("place"), w["n"].alias("n"),
             F.substring(whole["text"].cast("binary"), w["at"] + 1, w["n"] + F.lit(length - 1)).alias("body"))).alias("wanted"))
     bodies = written(bodies.select(F.explode("wanted").alias("w")).select("w.*"))
     runs = apart(_resolved(bodies, length, STEPS, crowd), "name")
     cover = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), (r["n"] + F.lit(length - 1)).alias("size")))
-    found = shared.where("mixed").select("name", "digest", "doc_id", "mark", "at").join(runs, ["name", "digest"])
+    found = shared.where("mixed").select("name", "digest", *ROW, "at").join(runs, ["name", "digest"])
     equal = shared.where("NOT mixed").withColumn("runs", F.array(F.struct(F.lit(0).alias("first"), "n")))
-    place = ["doc_id", "mark", "at", cover.alias("runs")]
+    place = [*ROW, "at", cover.alias("runs")]
     return equal.select(*place).union(found.select(*place))
 
 

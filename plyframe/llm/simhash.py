@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, id: str, text: str, words: int = 4) -> DataFra
             prints = [fingerprint(t.as_py(), words) for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["mark"], pa.array(prints, pa.int64())], ["doc_id", "mark", "fp"])
 
-    return keyed(docs, id, text).mapInArrow(work, "doc_id long, mark int, fp long")
+    return keyed(docs, id, text).mapInArrow(work, "doc_id long, mark long, fp long")
 
 
 def variants(fp: Column) -> Column:

@@ -15,7 +15,7 @@ def prose(rng, n):
 def test_contexts_in_parts_hold_every_window_once():
     rng = random.Random(1)
     text = prose(rng, 3000) + " ab" * 500
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0], pa.int32()), pa.array([text])], ["doc_id", "mark", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([0]), pa.array([text])], ["doc_id", "mark", "mark2", "text"])
     body = text.encode()
     for part in (1 << 22, 777):
         found = sorted((at, r["n"], r["name"], r["place"]) for b in repeats._contexts([batch], 200, part) for r in b.to_pylist() for at in r["at"])

@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 from collections import Counter
 
 import duckdb
@@ -82,8 +83,20 @@ def test_top_k_of_odd_rows(spark):
     got = [tuple(r) for r in maxscore.top_k(table, "vec_id", "x", "id % 50 = 0").orderBy("rank").collect()]
     assert got == [(0, 1, 1, 5), (0, 2, 1, 5), (0, 3, 6, 3), (0, 4, 7, 0)]
     assert maxscore.top_k(table.limit(0), "vec_id", "x", "id % 50 = 0").count() == 0
-    with pytest.raises(Exception, match="too large"):
-        maxscore.top_k(spark.createDataFrame([(0, [1e9]), (1, [1e9])], "vec_id long, x array<double>"), "vec_id", "x", "id % 50 = 0").collect()
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Products that doubles, or 64 bits, do not hold: exact scores, and exact ranks beyond 64 bits."""
+    monkeypatch.setattr(maxscore, "SHARD", 16)
+    rng = random.Random(5)
+    vectors = [(i, [float(rng.randint(-9, 9) * rng.choice([1, 1, 1, 10**7 + 1, 10**30])) for _ in range(6)]) for i in range(120)]
+    got = maxscore.top_k(spark.createDataFrame(vectors, "vec_id long, x array<double>"), "vec_id", "x", "id % 50 = 0").collect()
+    limit = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = set()
+    for q in (0, 50, 100):
+        found = sorted((-sum(int(a) * int(b) for a, b in zip(vectors[q][1], x, strict=True)), i) for i, x in vectors if i != q)
+        want |= {(q, r + 1, i, limit(-s)) for r, (s, i) in enumerate(found[:5])}
+    assert {tuple(r) for r in got} == want and any(abs(r[3]) > 2**60 for r in want)
 
 
 def test_top_k_query_of_odd_rows(spark, tmp_path):
@@ -104,12 +117,13 @@ def test_warc_round_trip(spark, tmp_path):
     rows = records.collect()
     assert Counter((r.page_id, r.warc_type) for r in rows) == Counter((i, k) for i in source for k in ("metadata", "conversion"))
     warc.write_warc(records, str(tmp_path / "out"))
-    parts = [r.warc for r in spark.read.parquet(str(tmp_path / "out")).collect()]
-    parsed = {h["WARC-Record-ID"]: (h, b) for h, b in warc.parsed(gzip.decompress(gzip.compress(b"".join(bytes(p) for p in parts))))}
+    files = list((tmp_path / "out").glob("*.warc.gz"))
+    assert files and sum(gzip.open(f).read().count(b"WARC/1.1\r\n") for f in files) == len(rows)
+    parsed = {h["warc-record-id"]: (h, b) for f in files for h, b in warc.records(gzip.open(f))}
     for r in rows:
         head, block = parsed[r.record_id]
-        assert head["WARC-Refers-To"] == r.refers_to and head["WARC-Type"] == r.warc_type and head["WARC-Target-URI"] == source[r.page_id]["url"]
-        assert block.decode() == r.block and len(block) == r.content_length and warc.digest(block) == head["WARC-Block-Digest"]
+        assert head["warc-refers-to"] == r.refers_to and head["warc-type"] == r.warc_type and head["warc-target-uri"] == source[r.page_id]["url"]
+        assert block.decode() == r.block and len(block) == r.content_length and warc.digest(block) == head["warc-block-digest"]
     both = {r.page_id: r.refers_to for r in rows}
     assert all(both[r.page_id] == r.refers_to for r in rows) and len(set(both.values())) == len(source)
     page = next(r for r in rows if r.warc_type == "metadata")
@@ -122,6 +136,35 @@ def test_plain_text_of_pages():
     assert warc.plain_text("") == "" and warc.plain_text("<script>never ends") == ""
 
 
+def test_responses_of_files_keep_what_they_say(spark, tmp_path):
+    def record(kind, number, block, **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{number}>", "WARC-Date": f"2024-05-0{number}T00:00:00Z", "WARC-Target-URI": f"http://h/{number}",
+                "Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block)), **more}
+        return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    first = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=latin-1\r\nX-A: b\r\n\r\n<title>Caf\xe9</title><p>one\r\n\r\ntwo"
+    made = [record("warcinfo", 1, b"x: y\r\n"), record("response", 2, first, **{"WARC-Payload-Digest": "sha1:OWN"}), record("request", 3, b"GET /\r\n\r\n"),
+            record("response", 4, b"HTTP/1.1 404 No\r\nContent-Type: text/html; charset=nonsense\r\n\r\n")]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (tmp_path / "b.warc").write_bytes(record("response", 5, b"HTTP/1.1 200 OK\r\n\r\n<html lang=de>x"))
+    responses = warc.read_responses(spark, str(tmp_path)).withColumn("page_id", F.lit(1))
+    out = warc.derivatives(responses, headers="headers", of={c: c for c in warc.KNOWN}).collect()
+    assert {(r.refers_to, r.warc_type, r.date, r.title) for r in out} == {
+        (f"<urn:uuid:{n}>", k, f"2024-05-0{n}T00:00:00Z", title) for n, title in ((2, "Café"), (4, None), (5, None)) for k in ("metadata", "conversion")}
+    about = next(r for r in out if r.refers_to == "<urn:uuid:2>" and r.warc_type == "metadata")
+    assert about.payload_digest == "sha1:OWN" and "source-x-a: b" in about.block and f"source-block-digest: {warc.digest(first)}" in about.block
+    (tmp_path / "c.warc").write_bytes(made[1][:-20])
+    with pytest.raises(Exception, match="ends before its length"):
+        warc.read_responses(spark, str(tmp_path)).count()
+
+
+def test_hostile_pages_take_linear_time():
+    for part in ("<a ", "<title>", "<html ", "<!--", "<script>", "<p ", "</title "):
+        start = time.time()
+        warc.derived(1, "u", part * (2_000_000 // len(part)), "d", None)
+        assert time.time() - start < 5, part
+
+
 def test_warc_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, None, None, "h"), (1, "u", "", None), (1, "u", "", None), (2, "u", "<p>x", "HTTP/1.1 404 No\r\nX-A: b\r\n")],
                                  "page_id long, url string, html string, block string")
@@ -177,6 +220,55 @@ def test_reparameterised_questions_are_found(spark):
     assert templates.leaks(docs, items.limit(0), "doc_id", "text", "item_id", "text").count() == 0
 
 
+def test_names_that_open_sentences_and_short_items(spark):
+    alice = "Alice has {} apples and {} pears. Alice eats 2 apples. Alice now has how many fruits left?"
+    items = spark.createDataFrame([(1, alice.format(3, 4)), (2, "What is 12 times 7 plus 9?"), (3, "Yes, no"), (4, "3 5 7 9 11 13 15 17 19 21"),
+                                   (5, "Bring seven cups of flour to the old mill before Tom wakes")], "item_id long, text string")
+    docs = spark.createDataFrame([
+        (1, alice.format(5, 4).replace("Alice", "Bob")), (2, "They ask: what is 12 times 7 plus 9? Well."), (3, "What is 12 times 8 plus 9?"), (4, "yes no"),
+        (5, "Yes, no doubt"), (6, "now 3 5 7 9 11 13 15 17 19 21 and on"), (7, alice.format(5, 4).replace("Alice", "Bob", 1)),
+        (8, "Bring three cups of flour to the old mill before Ann wakes"), (9, None), (10, ""), (11, "1 3 5 7 9 11 2 4 6")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(docs, items, "doc_id", "text", "item_id", "text").collect()}
+    assert got == {(1, 1), (2, 2), (4, 3), (6, 4), (8, 5)}
+
+
+def brute_leaks(docs, items, share=0.5):
+    """By the definition, on the templates of the operator: per alignment, values that stand for two take it out."""
+    found = set()
+    for d, (plain_d, kinds_d) in docs.items():
+        for q, (plain_q, kinds_q) in items.items():
+            good = [p for p in range(len(kinds_q) - 7) if sum(not k.startswith("<") and k != "" for k in kinds_q[p : p + 8]) >= 4]
+            hit = set()
+            for shift in range(-len(kinds_q), len(kinds_d)):
+                places = [p for p in good if 0 <= p + shift <= len(kinds_d) - 8 and kinds_d[p + shift : p + shift + 8] == kinds_q[p : p + 8]]
+                values: dict = {}
+                for i in {i for p in places for i in range(p, p + 8) if kinds_q[i].startswith("<")}:
+                    values.setdefault((kinds_q[i], plain_q[i]), set()).add(plain_d[i + shift])
+                if all(len(v) == 1 for v in values.values()):
+                    hit |= set(places)
+            if good and len(hit) >= share * len(good):
+                found.add((d, q))
+    return found
+
+
+def test_reparameterised_items_by_brute_force(spark):
+    rng = random.Random(8)
+    names, words = ["Ann", "Bob", "Cy", "Dora"], "buys sells pears at the market for old friends near rivers while rain falls".split()
+
+    def text(n):
+        return " ".join(rng.choice(names) if rng.random() < 0.15 else str(rng.randint(1, 4)) if rng.random() < 0.2 else rng.choice(words) for _ in range(n)) + "."
+
+    items = [(i, text(14)) for i in range(6)]
+    swap = lambda t: " ".join({"Ann": "Bob", "Bob": rng.choice(["Cy", "Ann"]), "1": "7", "2": rng.choice("24")}.get(w, w if rng.random() < 0.92 else "x") for w in t.split())
+    docs = [(i, f"{text(5)} {swap(items[i % 6][1]) if i % 3 else items[i % 6][1]} {text(5)}") for i in range(60)]
+    frames = [spark.createDataFrame(x, "k long, text string") for x in (docs, items)]
+    cut = [{r.k: (r.plain, r.kinds) for r in f.select("k", F.split(templates.plain(templates.spaced(F.col("text"))), " ").alias("plain"),
+                                                     templates.template(templates.spaced(F.col("text"))).alias("kinds")).collect()} for f in frames]
+    got = {(r.doc_id, r.item_id) for r in templates.leaks(*frames, "k", "text", "k", "text").collect()}
+    want = brute_leaks(*cut)
+    assert got == want and 10 < len(want) < 60
+
+
 def test_verbatim_items_are_found(spark):
     squeeze = lambda t: " ".join((t or "").split())
     docs = {r["doc_id"]: squeeze(r["text"]) for r in pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()}

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from plyframe.llm import bytescan, chunks, repeats
 from plyframe.llm.induced import permuted_common_prefixes, suffix_array
@@ -120,6 +121,64 @@ def test_chunks_keep_the_first_copy_only(spark):
         assert len(got[i].kept) == len(body) - got[i].n_removed
 
 
+def plain_chunks(text):
+    """Chunks by the definition: a byte's hash is the sum of the 32 gears up to it, each shifted by its distance."""
+    gear, pad = chunks.GEAR.tolist(), chunks.WINDOW + chunks.REACH
+    data = bytes(pad) + text + bytes(pad)
+    h = [sum(gear[data[i - j]] << j for j in range(32)) % 2**32 if i >= 31 else 0 for i in range(len(data))]
+    ends = [i + 1 - pad for i in range(pad, pad + len(text)) if h[i] > max(h[i - 32 : i] + h[i + 1 : i + 33])]
+    out, at = [], 0
+    for end in [*(e for e in ends if 32 <= e <= len(text) - 32 and text[e] & 0xC0 != 0x80), len(text)]:
+        if end > at:
+            out.append((at, end))
+        at = end
+    return out
+
+
+def test_chunks_by_definition(spark):
+    """Whole results against chunks and owners found plainly, with repeated and missing ids."""
+    rng = random.Random(9)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    parts = [text(n) for n in (5, 12, 30, 60, 90)]
+    rows = [(rng.choice([None, 1, 2, *range(3, 40)]), " ".join(rng.choice(parts) if rng.random() < 0.4 else text(20) for _ in range(rng.randrange(0, 6)))) for _ in range(80)]
+    rows += [rows[0], (None, parts[1]), (7, parts[1])]
+
+    def order(row):
+        digest = hashlib.md5(row[1].encode()).hexdigest()
+        return (row[0] is None, row[0] or 0, int(digest[:15], 16), int(digest[15:30], 16))
+
+    owner = {}
+    for row in sorted(set(rows), key=order):
+        body = row[1].encode()
+        for a, b in plain_chunks(body):
+            owner.setdefault(body[a:b], (row, a))
+    want = Counter()
+    for row in rows:
+        body = row[1].encode()
+        cuts = [{"at": [a], "runs": [{"first": 0, "size": b - a}]} for a, b in plain_chunks(body) if b - a >= 32 and owner[body[a:b]] != (row, a)]
+        want[row[0], *bytescan._cut(body, cuts, chunks.PASSAGE)] += 1
+    got = chunks.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got) == want
+    assert sum(r.n_removed > 0 for r in got) > 20 and sum(r.n_removed == 0 for r in got) > 20
+
+
+def test_rows_are_told_apart_by_more_than_a_short_hash(spark):
+    """Two texts that Spark's 32-bit hash does not tell apart, both without an id: the one that occurs once stays."""
+    texts = spark.range(200_000).select(F.concat(*(F.sha2(F.concat("id", F.lit(f":{i}")), 256) for i in range(6))).alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.count("*").alias("n"), F.min("text").alias("a"), F.max("text").alias("b")).where("n > 1").orderBy("a").first()
+    rows = spark.createDataFrame([(None, pair.a), (None, pair.b), (1, pair.a)], "doc_id long, text string")
+    for found, gone in ((repeats.without_repeats(rows, "doc_id", "text"), [0, 384, 384]), (chunks.deduplicated(rows, "doc_id", "text"), [0, 0, 384])):
+        assert sorted(r.n_removed for r in found.collect()) == gone
+
+
+def test_runs_of_spans():
+    body, at = bytes(range(100)), lambda *spans: [{"at": [a], "runs": [{"first": 0, "size": n}]} for a, n in spans]
+    assert bytescan._cut(body, None) == (100, 0, 0, body)
+    assert bytescan._cut(body, at((10, 5), (15, 5), (12, 2), (50, 3)))[:3] == (100, 13, 2)
+    assert bytescan._cut(body, at((10, 5), (15, 5), (50, 3)), 10) == (100, 10, 1, body[:10] + body[20:])
+    assert bytescan._cut(body, at((0, 60), (60, 40)), 200) == (100, 100, 1, b"")
+
+
 def test_chunks_of_odd_rows(docs, empty):
     rows = chunks.deduplicated(docs, "doc_id", "text").collect()
     assert len(rows) == docs.count()
