@@ -52,3 +52,25 @@ def accuracy_curve(scored: DataFrame) -> DataFrame:
     )
     by_size = Window.partitionBy("model").orderBy("train_size")
     return curve.withColumn("gain", F.col("rate") - F.lag("rate").over(by_size))
+
+
+def saturation_fit(scored: DataFrame, exponents: list[float], near: float = 0.95) -> DataFrame:
+    """model, exponent, ceiling, slope, residual, saturated_at: the curve ceiling - slope * size^-exponent through the
+    best-move rates of each model by training-set size, every reply counted alike, with the exponent of the least sum of
+    squares; the size from which on the curve is over `near` of its ceiling, null where it does not rise to one.
+
+    Replies are reduced to a row for each size, and the sums of a fit merge, so each exponent is one aggregate. A model with
+    fewer than three sizes gives no row.
+    """
+    points = scored.groupBy("model", "train_size").agg(F.count("*").cast("double").alias("w"), (F.avg(F.col("good").cast("int")) * 100).alias("y"))
+    grid = points.withColumn("exponent", F.explode(F.array(*map(F.lit, exponents)))).withColumn("z", F.pow(F.col("train_size").cast("double"), -F.col("exponent")))
+    w, y, z = F.col("w"), F.col("y"), F.col("z")
+    sums = grid.groupBy("model", "exponent").agg(
+        F.count("*").alias("sizes"), F.sum(w).alias("n"), F.sum(w * z).alias("sz"), F.sum(w * y).alias("sy"),
+        F.sum(w * z * z).alias("szz"), F.sum(w * z * y).alias("szy"), F.sum(w * y * y).alias("syy")).where("sizes >= 3")
+    fit = sums.withColumn("b", F.expr("try_divide(n * szy - sz * sy, n * szz - sz * sz)")).withColumn("a", F.expr("(sy - b * sz) / n"))
+    fit = fit.withColumn("residual", F.expr("syy - a * sy - b * szy")).where("residual IS NOT NULL")
+    best = fit.groupBy("model").agg(F.min(F.struct("residual", "exponent", "a", "b")).alias("f")).select("model", "f.*")
+    rises = (F.col("b") < 0) & (F.col("a") > 0)
+    return best.select("model", "exponent", F.col("a").alias("ceiling"), (-F.col("b")).alias("slope"), "residual",
+                       F.when(rises, F.pow(-F.col("b") / (F.col("a") * (1 - near)), 1 / F.col("exponent"))).alias("saturated_at"))

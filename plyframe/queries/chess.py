@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plyframe.functions import fen as fenf
 from plyframe.operators import moves as mv
-from plyframe.operators import viewer
+from plyframe.operators import legality, viewer
 from plyframe.operators.replies import resolve_san
 from plyframe.operators.san import with_san
 from plyframe.queries import chess_sql as cs
@@ -131,6 +131,15 @@ def legal_moves_strewn(spark, sf):
     return mv.legal_moves(_kings(spark, sf)).select("pos_id", "uci")
 
 
+@query("legality_bitmap", f"""WITH {cs.STEPS}, {fx.SQL_SCATTER}, src AS (SELECT pos_id AS pid, white, board, -1 AS ep FROM fx_boards), {_KINGS}
+SELECT CAST(pid AS BIGINT) AS pos_id, CAST(frm AS INT) AS from_sq, count(*) AS n_to, CAST(sum(CASE WHEN dst = 63
+  THEN CAST('-9223372036854775808' AS BIGINT) ELSE CAST(1 AS BIGINT) << CAST(dst AS INT) END) AS BIGINT) AS bits
+FROM (SELECT DISTINCT pid, frm, dst FROM k_legal) GROUP BY pid, frm""")
+def legality_bitmap(spark, sf):
+    rows = legality.with_legality(_kings(spark, sf)).select("pos_id", F.posexplode("bits").alias("from_sq", "bits"))
+    return rows.where("bits <> 0").select("pos_id", "from_sq", F.bit_count("bits").cast("long").alias("n_to"), "bits")
+
+
 @query("san_render_strewn", f"""WITH {cs.STEPS}, {fx.SQL_SCATTER}, src AS (SELECT pos_id AS pid, white, board, -1 AS ep FROM fx_boards), {_KINGS},
 {cs.san('k')} SELECT CAST(k AS BIGINT) AS pos_id, uci, san FROM k_san
 WHERE substr(uci, 3, 2) <> CASE WHEN k % 2 = 0 THEN substr('abcdefgh', k // 8 % 8 + 1, 1) || '8' ELSE substr('abcdefgh', k % 8 + 1, 1) || '1' END""")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from plyframe.functions import fen as fenf
 from plyframe.operators import prompts as pr
 from plyframe.operators import samples, tokens, viewer
-from plyframe.plans import ordinals
+from plyframe.plans import ordinals, ranks
+from plyframe.plans.scratch import scratch_folder
 from plyframe.queries import chess_sql as cs
 from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import query
@@ -189,3 +190,12 @@ SELECT model, id, fen, true AS valid, concat('It is ', {_SIDE}, '''s move. Selec
 FROM numbered WHERE ord = 8""")
 def entry_by_index(spark, sf):
     return viewer.entry_by_index(fx.replies(spark, sf).drop("k", "full_reply"), 8, "id", ["model"])
+
+
+@query("entry_by_rank", f"""WITH {fx.SQL_REPLIES}, numbered AS (
+  SELECT model, id, fen, full_reply, row_number() OVER (PARTITION BY model ORDER BY id) - 1 AS ord FROM fx_replies)
+SELECT model, id, fen, full_reply FROM numbered WHERE ord = 700""")
+def entry_by_rank(spark, sf):
+    folder = scratch_folder(spark)
+    ranks.write_rank_index(fx.replies(spark, sf).drop("k"), folder, "id", ["model"], bucket_rows=4096)
+    return ranks.entries_at(spark, folder, 700, "id", ["model"]).select("model", "id", "fen", "full_reply")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from plyframe.functions import text as t
 from plyframe.operators import replies as rep
 from plyframe.operators import reports, samples, scoring
-from plyframe.plans.scratch import scratch_folder
+from plyframe.operators.correlation import rank_correlation
+from plyframe.plans.scratch import scratch_folder, written
 from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import ORACLES, query
 from plyframe.sources import csv_ranges, results
+from plyframe.streaming.rates import keep_rates, latest_rates, read_timed_replies, running_rates
 from plyframe.streaming.stops import read_pieces, stop_stream
 
 # The move token as RE2 can say it: with a check mark before a word character, else without.
@@ -258,6 +260,20 @@ def move_rates(spark, sf):
     return _rounded(scoring.move_rates(scored(spark, sf), "model"), "legal_move_rate", "top_move_rate")
 
 
+@query("running_rates", ORACLES["move_rates"])
+def rates_of_stream(spark, sf):
+    """The replies in three files, each followed by some of the last file's again, read as three batches of a stream."""
+    valid = written(samples.valid_samples(fx.documents(spark, sf), "pos_id").withColumnRenamed("pos_id", "id"))
+    said = fx.replies(spark, sf).select("model", "id", "full_reply", F.expr("timestamp_seconds(1700000000 + 60 * (id % 3))").alias("at"))
+    source, out, state = (scratch_folder(spark) for _ in range(3))
+    for part in range(3):
+        again = (F.col("id") % 3 == part - 1) & (F.col("id") % 5 == 0)
+        said.where((F.col("id") % 3 == part) | again).coalesce(1).write.mode("append").json(source)
+    rates = running_rates(read_timed_replies(spark, source, files_per_batch=1), valid)
+    keep_rates(rates, out, state).trigger(availableNow=True).start().awaitTermination()
+    return _rounded(latest_rates(spark, out), "legal_move_rate", "top_move_rate")
+
+
 @query("model_summary", f"WITH {fx.SQL_SCORED} SELECT model, {_RATES} FROM fx_scored GROUP BY model")
 def model_summary(spark, sf):
     return _rounded(scoring.model_summary(scored(spark, sf)).drop("timestamp"), "legal_move_rate", "top_move_rate")
@@ -306,6 +322,25 @@ def cp_correlation(spark, sf):
     return _rounded(scoring.cp_correlation(rows, "x", "cp", "side"), "correlation")
 
 
+@query("cp_rank_correlation", f"""WITH {fx.SQL_POSITIONS}, {_PV_ROWS},
+cells AS (SELECT CASE WHEN split_part(fen, ' ', 2) = 'b' THEN 'Black' ELSE 'White' END AS side, x, cp, count(*) AS n FROM pv GROUP BY ALL),
+xs AS (SELECT DISTINCT side, x AS x0 FROM cells),
+counted AS (SELECT c.side, x0, cp, sum(CASE WHEN x = x0 THEN n ELSE 0 END) AS own, sum(CASE WHEN x > x0 THEN n ELSE 0 END) AS upper
+  FROM cells c JOIN xs ON xs.side = c.side GROUP BY ALL),
+run AS (SELECT *, coalesce(sum(upper) OVER (PARTITION BY side, x0 ORDER BY cp ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
+  sum(upper) OVER (PARTITION BY side, x0) AS total FROM counted),
+pairs AS (SELECT side, CAST(sum(own * (total - below - upper)) AS BIGINT) AS concordant, CAST(sum(own * below) AS BIGINT) AS discordant FROM run GROUP BY side),
+tx AS (SELECT side, sum(t) AS n, sum(t * (t - 1) / 2) AS ties FROM (SELECT side, x, sum(n) AS t FROM cells GROUP BY ALL) GROUP BY side),
+ty AS (SELECT side, sum(t * (t - 1) / 2) AS ties FROM (SELECT side, cp, sum(n) AS t FROM cells GROUP BY ALL) GROUP BY side)
+SELECT pairs.side, CAST(tx.n AS BIGINT) AS n, concordant, discordant, round(CAST(concordant - discordant AS DOUBLE)
+  / (sqrt(tx.n * (tx.n - 1) / 2 - tx.ties) * sqrt(tx.n * (tx.n - 1) / 2 - ty.ties)), 6) AS correlation
+FROM pairs JOIN tx ON tx.side = pairs.side JOIN ty ON ty.side = pairs.side""")
+def cp_rank_correlation(spark, sf):
+    rows = _pv_rows(spark, sf).withColumn("side", F.when(F.contains("fen", F.lit(" b ")), "Black").otherwise("White"))
+    found = rank_correlation(rows, "x", "cp", "side").withColumns({c: F.col(c).cast("long") for c in ("concordant", "discordant")})
+    return _rounded(found, "correlation")
+
+
 @query("rate_by_position_type", f"""WITH {fx.SQL_SCORED}, typed AS (
   SELECT *, CASE WHEN split_part(fen, ' ', 2) = 'b' THEN 'Black' ELSE 'White' END AS side, {_BUCKET} AS bucket
   FROM (SELECT *, {_SCORE} AS score FROM (SELECT *, CAST(id % 600 - 300 AS INT) AS cp, CAST(NULL AS INT) AS mate FROM fx_scored)))
@@ -366,3 +401,24 @@ def accuracy_curve(spark, sf):
         F.expr("concat('model-', doc_id % 3)").alias("model"),
         F.expr("CAST(5000 * (1 + doc_id DIV 3 % 5) AS INT)").alias("train_size"), (F.col("quality") == 1).alias("good"))
     return _rounded(reports.accuracy_curve(rows), "rate", "gain")
+
+
+_EXPONENTS = [0.1, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0]
+
+
+@query("saturation_fit", f"""WITH points AS (
+  SELECT concat('model-', l_suppkey % 3) AS model, 1000 * (1 + l_partkey % 8) AS size, CAST(count(*) AS DOUBLE) AS w,
+    avg(CASE WHEN l_quantity > 12 + 30 / (1 + l_partkey % 8) THEN 1 ELSE 0 END) * 100 AS y FROM lineitem GROUP BY 1, 2),
+sums AS (SELECT model, e, sum(w) AS n, sum(w * z) AS sz, sum(w * y) AS sy, sum(w * z * z) AS szz, sum(w * z * y) AS szy, sum(w * y * y) AS syy
+  FROM (SELECT *, pow(size, -e) AS z FROM points CROSS JOIN (SELECT unnest({_EXPONENTS}::DOUBLE[]) AS e)) GROUP BY model, e),
+fits AS (SELECT *, syy - a * sy - b * szy AS residual FROM (
+  SELECT *, (sy - b * sz) / n AS a FROM (SELECT *, (n * szy - sz * sy) / (n * szz - sz * sz) AS b FROM sums))),
+best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY residual) AS place FROM fits)
+SELECT model, e AS exponent, round(a, 3) AS ceiling, CASE WHEN b < 0 AND a > 0 THEN round(pow(-b / (a * (1 - 0.95)), 1 / e), 1) END AS saturated_at
+FROM best WHERE place = 1""")
+def saturation_fit(spark, sf):
+    rows = fx.table(spark, sf, "lineitem").select(
+        F.expr("concat('model-', l_suppkey % 3)").alias("model"), F.expr("1000 * (1 + l_partkey % 8)").alias("train_size"),
+        F.expr("l_quantity > 12 + 30 / (1 + l_partkey % 8)").alias("good"))
+    fit = reports.saturation_fit(rows, _EXPONENTS)
+    return fit.select("model", "exponent", F.round("ceiling", 3).alias("ceiling"), F.round("saturated_at", 1).alias("saturated_at"))

@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 SPREAD = [
     "results_analysis", "reply_to_san", "top_moves", "pseudo_legal_moves", "tokenize_pad", "csv_row_rules",
     "cyclic_next", "stop_rule_marker", "sequential_split", "results_csv_roundtrip",
+    "cp_rank_correlation", "saturation_fit", "entry_by_rank", "running_rates", "legality_bitmap",
 ]
 
 
