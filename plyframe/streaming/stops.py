@@ -1,22 +1,26 @@
 """The rule that stops a reply, on a stream of the pieces it is generated in.
 
 The state of a reply is what the rule still needs: the last characters, whether the marker was seen, the number of the piece
-that comes next, and pieces that came before their turn. It does not grow with the reply.
+that comes next, and pieces that came before their turn. It does not grow with the reply. Replies are dealt to buckets by a
+hash of model and id, and the states of a bucket are kept and called up together: a call costs far more than a piece.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plyframe.functions.text import LONGEST_SAN, MARKER, SAN_CORE
 
 PIECE_SCHEMA = "model STRING, id BIGINT, idx INT, piece STRING, last BOOLEAN"
 STOP_SCHEMA = "model STRING, id BIGINT, stop INT, ended STRING"
-_STATE = "tail STRING, cut BOOLEAN, seen BOOLEAN, n INT, done BOOLEAN, waiting ARRAY<STRUCT<idx: INT, piece: STRING, last: BOOLEAN>>"
+_STATE = "replies STRING"  # JSON: model, id, time, and of an undecided reply tail, cut, seen, n, waiting pieces
+BUCKETS = 4096
 _MARK = re.compile(re.escape(MARKER), re.IGNORECASE | re.ASCII)
 _SAN = re.compile(rf"\b({SAN_CORE})\b")
 _REACH = LONGEST_SAN + 1
@@ -43,42 +47,66 @@ def grown(tail: str, cut: bool, seen: bool, piece: str) -> tuple[str, bool, bool
     return text[-_REACH:], cut or len(text) > _REACH, True, found
 
 
-def stop_stream(pieces: DataFrame, after_marker: bool, silence: str | None = "10 minutes") -> DataFrame:
+def stop_stream(pieces: DataFrame, after_marker: bool, silence: str | None = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """model, id, stop (how many pieces the reply has when it stops), ended, one row for each reply as soon as it is decided:
     at a `move`, at its `last` piece without one, or after `silence` (stop is null in both).
 
     Pieces may come in any order and again: those before their turn wait in the state, those that were taken are ignored, as
     is all that comes after the decision. A silence makes Spark go on with empty batches for its timers, so a stream that
     shall end with its input (availableNow) needs None: no timers, and replies without their last piece give no row.
+
+    The replies remembered at a time are dealt to `buckets`, which share a timer for the first of them that falls silent; a
+    checkpoint must be gone on with by the same number.
     """
     wait = silence and int(pd.Timedelta(silence).total_seconds() * 1000)
 
     def work(key: tuple, tables: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        tail, cut, seen, n, done, waiting = state.get if state.exists else ("", False, not after_marker, 0, False, [])
-        if state.hasTimedOut:
-            if done:
-                state.remove()
-                return
-            state.update((tail, cut, seen, n, True, []))
-            state.setTimeoutDuration(wait)
-            yield pd.DataFrame([(*key, None, "silence")], columns=["model", "id", "stop", "ended"]).astype({"stop": "Int32"})
-            return
-        held = {w[0]: (w[1], w[2]) for w in waiting}
-        for table in tables:
-            for idx, piece, last in zip(table["idx"], table["piece"], table["last"], strict=True):
+        now = state.getCurrentProcessingTimeMs() if wait else 0
+        known = {(m, i): (at, *rest) for m, i, at, *rest in json.loads(state.get[0])} if state.exists else {}
+        fresh: dict[tuple, dict] = {}
+        if not state.hasTimedOut:
+            for table in tables:
+                for model, id, idx, piece, last in zip(*(table[c] for c in ("model", "id", "idx", "piece", "last")), strict=True):
+                    fresh.setdefault((model, id), {}).setdefault(idx, (piece or "", bool(last)))
+        rows = []
+        for reply, came in fresh.items():
+            was = known.get(reply)
+            if was is not None and len(was) == 1:
+                known[reply] = (now,)  # a decided reply is forgotten after the same silence
+                continue
+            _, tail, cut, seen, n, waiting = was or (now, "", False, not after_marker, 0, [])
+            held = {i: (piece, last) for i, piece, last in waiting}
+            for idx, said in came.items():
                 if idx >= n:
-                    held.setdefault(int(idx), (piece or "", bool(last)))
-        row = None
-        while not done and n in held:
-            piece, last = held.pop(n)
-            tail, cut, seen, found = grown(tail, cut, seen, piece)
-            n += 1
-            done = found or last
-            row = (*key, n if found else None, "move" if found else "last") if done else None
-        state.update((tail, cut, seen, n, done, [] if done else [(i, *v) for i, v in held.items()]))
+                    held.setdefault(int(idx), said)
+            done = False
+            while not done and n in held:
+                piece, last = held.pop(n)
+                tail, cut, seen, found = grown(tail, cut, seen, piece)
+                n += 1
+                done = found or last
+                if done:
+                    rows.append((*reply, n if found else None, "move" if found else "last"))
+            known[reply] = (now,) if done else (now, tail, cut, seen, n, [(i, *v) for i, v in held.items()])
         if wait:
-            state.setTimeoutDuration(wait)  # a decided reply is forgotten after the same silence
-        if row:
-            yield pd.DataFrame([row], columns=["model", "id", "stop", "ended"]).astype({"stop": "Int32"})
+            for reply, (at, *rest) in [x for x in known.items() if x[1][0] + wait <= now]:
+                if rest:
+                    rows.append((*reply, None, "silence"))
+                    known[reply] = (now,)
+                else:
+                    del known[reply]
+        if known:
+            state.update((json.dumps([(*reply, *v) for reply, v in known.items()]),))
+            if wait:
+                state.setTimeoutDuration(max(1, min(v[0] for v in known.values()) + wait - now))
+        elif state.exists:
+            state.remove()
+        if rows:
+            yield pd.DataFrame(rows, columns=["model", "id", "stop", "ended"]).astype({"stop": "Int32"})
 
-    return pieces.groupBy("model", "id").applyInPandasWithState(work, STOP_SCHEMA, _STATE, "append", "ProcessingTimeTimeout" if wait else "NoTimeout")
+    # text keeps ids exact beside null ones
+    named = pieces.select("model", F.col("id").cast("string").alias("id"), "idx", "piece", "last",
+                          F.pmod(F.xxhash64("model", "id"), F.lit(buckets)).alias("_bucket"))
+    stops = named.groupBy("_bucket").applyInPandasWithState(
+        work, STOP_SCHEMA.replace("id BIGINT", "id STRING"), _STATE, "append", "ProcessingTimeTimeout" if wait else "NoTimeout")
+    return stops.withColumn("id", F.col("id").cast("long"))

@@ -60,3 +60,16 @@ def test_a_silent_reply_ends(spark, tmp_path):
             break
     run.stop()
     assert found == {(1, None, "silence"), (2, 1, "move")}
+
+
+def test_replies_share_calls(spark, tmp_path):
+    """Four states hold all replies; ids beyond the whole numbers of doubles and null ones stay apart."""
+    ids = [None, *(2**60 + k for k in range(400))]
+    for part in range(2):
+        rows = [("m", i, n, p, n == 2) for i in ids for n, p in enumerate(("Best Move:", " e4", " ok")) if (n + (i or 0)) % 2 == part]
+        spark.createDataFrame(rows, PIECE_SCHEMA).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stops, out = stop_stream(read_pieces(spark, str(tmp_path / "in"), 1), True, silence=None, buckets=4), str(tmp_path / "out")
+    run = stops.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert sorted(((r.id, r.stop, r.ended) for r in spark.read.parquet(out).collect()), key=str) == sorted(((i, 2, "move") for i in ids), key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 4
