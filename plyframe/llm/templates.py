@@ -76,8 +76,12 @@ def leaks(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, item
     grams = written(rows.where(literal).select(*of, F.col("pos").alias("item_pos"), "window"))
     sizes = grams.groupBy(*of).agg(F.count("*").alias("size"))
 
-    seen = _hashed(source.withColumn("tokens", template(F.col("text"))), ROW)
-    hits = seen.join(_few(grams), "window").select(*pair, "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    few = grams.count() <= BROADCAST_ROWS
+    # a broadcast index leaves the text in place, so a hit takes its words along; a shuffle would send the text with each window
+    seen = _hashed(source.withColumn("tokens", template(F.col("text"))), [*ROW, "text"] if few else ROW)
+    said = [F.slice(F.split("text", " "), F.col("pos") + 1, F.lit(WINDOW)).alias("said")] if few else []
+    index = F.broadcast(grams) if few else grams
+    hits = seen.join(index, "window").select(*pair, "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), *said)
     hits = written(hits.distinct())
     likely = hits.groupBy(*pair, "item_pos").agg(F.lit(1)).groupBy(*pair).agg(F.count("*").alias("n_windows")).join(
         sizes, of).where(F.col("n_windows") >= share * F.col("size"))
@@ -90,8 +94,13 @@ def leaks(docs: DataFrame, items: DataFrame, id: str, text: str, item: str, item
     asked = written(asked.withColumn("pos", F.col("item_pos") + F.col("shift")))
     clean = hits
     if not asked.isEmpty():
-        whole = source.join(asked.select(*ROW).distinct(), ROW, "left_semi").distinct()
-        given = _values(whole.withColumn("tokens", template(F.col("text"))), ROW)
+        if few:
+            given = hits.select(*ROW, (F.col("item_pos") + F.col("shift")).alias("start"), "said").distinct().select(
+                *ROW, "start", F.posexplode("said").alias("at", "word"))
+            given = given.select(*ROW, (F.col("start") + F.col("at")).alias("pos"), plain(F.col("word")).alias("value")).distinct()
+        else:
+            whole = source.join(asked.select(*ROW).distinct(), ROW, "left_semi").distinct()
+            given = _values(whole.withColumn("tokens", template(F.col("text"))), ROW)
         values = asked.join(given.select(*ROW, "pos", "value"), [*ROW, "pos"])
         torn = values.groupBy(*pair, "shift", "item_value").agg(F.min("value").alias("a"), F.max("value").alias("b")).where("a <> b")
         clean = hits.join(torn.select(*pair, "shift").distinct(), [*pair, "shift"], "left_anti")
