@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without one before them whose five-word shingles are the same to 0.8 or more; exact on candidates of
-    bands of minima, as SimHash reaches few of those below 0.95."""
+    linked SimHash fingerprints, and of bands of minima, as fingerprints reach few of those below 0.95."""
     return simhash.representatives(docs, "doc_id", "text")
 
 

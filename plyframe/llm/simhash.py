@@ -5,14 +5,14 @@ bit at most. Every segment is indexed with each of its bits left out: segments t
 bit is left out, equal ones agree anyway. Fingerprints that share such a variant are compared, and components of the
 links that hold are the groups of near-duplicates.
 
-Four bits reach few copies of a similarity under 0.95, so `representatives` finds its candidates by bands of minima of
-shingle hashes instead and compares their shingles.
+Four bits reach few copies of a similarity under 0.95. `representatives` takes the groups of linked fingerprints as its
+first candidates, adds bands of minima of shingle hashes for the copies that fingerprints miss, and compares shingles.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ MIXED = np.random.default_rng(20_240_502).integers(0, 1 << 64, (2, BANDS * MINIM
 AGREE = 60  # of the 100 minima, by one byte of each
 HUBBED = 4_096
 COMPARED = 1_000
-SKETCH = "doc_id long, digest string, node long, n int, bands array<long>, bytes binary"
+SKETCH = "doc_id long, digest string, node long, n int, fp long, bands array<long>, bytes binary"
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 ROWS = 400_000
 
@@ -72,8 +72,13 @@ def shingles(text: str | None, words: int, span: int = SPAN) -> Iterator[np.ndar
 
 def fingerprint(text: str | None, words: int = 4, span: int = SPAN) -> int:
     """The fingerprint as a signed 64-bit number; no words give 0."""
+    return _majority(shingles(text, words, span))
+
+
+def _majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of the hashes, as a signed number; no hashes give 0."""
     ones, n = np.zeros(64, np.int64), 0
-    for h in shingles(text, words, span):
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<i8")[0]) if n else 0
@@ -194,11 +199,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch["text"]:
             own = _distinct(text.as_py())
             node = int(np.frombuffer(xxhash.xxh3_64_digest(own.tobytes()), "<i8")[0])
-            out.append((node, len(own), *_bands(own)))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+            fp = _majority(own[at : at + BLOCK] for at in range(0, len(own), BLOCK))
+            out.append((node, len(own), fp, *_bands(own)))
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["digest"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                         ["doc_id", "digest", "node", "n", "bands", "bytes"])
+                                         ["doc_id", "digest", "node", "n", "fp", "bands", "bytes"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch], share: float, many: int) -> Iterator[pa.RecordBatch]:
@@ -300,21 +306,29 @@ def similar(nodes: DataFrame, texts: Callable[[DataFrame], DataFrame], share: fl
     return gone
 
 
+def grouped(nodes: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """node, group: nodes whose fingerprints `fp` are connected over links of MOST bits, named by their least fingerprint;
+    nodes without such a link are a group of their own."""
+    distinct = written(nodes.select("fp").distinct())
+    roots = components(links(distinct, crowd)).withColumnRenamed("node", "fp")
+    return nodes.select("node", "fp").join(roots, "fp", "left").select("node", F.coalesce("root", "fp").alias("group"))
+
+
 def representatives(docs: DataFrame, id: str, text: str, share: float = SHARE) -> DataFrame:
     """The rows of `docs`, with all their columns, that stay: those without a near-duplicate before them, in the order of
     ids, rows without one last. Of rows with the same shingles the first stays, of those that share its id the one with
     the smallest digest of the text, and of equal rows any one.
 
     Texts are near-duplicates if their sets of shingles of SHINGLE words have a similarity (Jaccard) of `share` or more.
-    Candidates agree in one of BANDS bands of MINIMA minima, which at 0.8 are 0.9996 of the pairs and above it more, and in
-    AGREE minima of all, which at 0.8 all but one in a million do; no row goes without an exact comparison, but equal sets
+    Candidates lie in one group of linked fingerprints (SimHash of the distinct shingles) or agree in one of BANDS bands of
+    MINIMA minima, which at 0.8 are 0.9996 of the pairs and above it more, and all in AGREE minima of all, which at 0.8 all but one in a million do; no row goes without an exact comparison, but equal sets
     are told by a digest of 64 bits. A row may go for one that went itself. Texts without words are one text.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     named = [F.col(id).cast("long").alias("doc_id"), F.md5(body.cast("binary")).alias("digest")]
     sketches = docs.select(*named, body.alias("text")).mapInArrow(_sketched, SKETCH)
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
-    nodes = sketches.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "bands", "bytes"))).select("node", "n", "bands", "bytes", "least.*")
+    nodes = sketches.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "fp", "bands", "bytes"))).select("node", "n", "fp", "bands", "bytes", "least.*")
     # text that sorts as the ids do, negative ones first, none last
     number = F.concat(F.when(F.col("doc_id") < 0, "0").otherwise("1"), F.lpad(F.hex(F.col("doc_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     order = F.concat(F.coalesce(number, F.lit("2")), F.lit(":"), F.col("digest"), F.lit(":"), F.hex("node"))
@@ -326,6 +340,8 @@ def representatives(docs: DataFrame, id: str, text: str, share: float = SHARE) -
         rows = docs.select(*named, body.alias("text")).select(key, "text").join(keys, "key")
         return written(rows.select("node", "text").dropDuplicates(["node"]))
 
-    chosen = nodes.select("node", "doc_id", "digest").join(similar(nodes, texts, share), "node", "left_anti").select(key)
+    member = F.array(F.xxhash64(F.lit("fingerprints"), F.col("group")))
+    candidates = written(nodes.join(grouped(nodes), "node").withColumn("bands", F.concat("bands", member)))
+    chosen = nodes.select("node", "doc_id", "digest").join(similar(candidates, texts, share), "node", "left_anti").select(key)
     rows = docs.select(*named, F.struct(*docs.columns).alias("row")).select(key, "row")
     return rows.join(chosen, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

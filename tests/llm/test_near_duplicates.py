@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -162,3 +163,17 @@ def test_crowded_bands_keep_no_similar_texts(spark, monkeypatch, block):
     assert kept[0] == 0
     assert all(jaccard(texts[a], texts[b]) < 0.8 for a in kept for b in kept if a < b)
     assert all(any(jaccard(texts[a], texts[b]) >= 0.8 for a in range(b)) for b in range(len(texts)) if b not in kept)
+
+
+def test_fingerprints_give_candidates(spark, monkeypatch):
+    """Near copies go by their linked fingerprints alone, without any band of minima; an exact comparison still follows."""
+    sketched = simhash._sketched
+    monkeypatch.setattr(simhash, "_sketched", lambda batches: (
+        pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([[]] * len(b), pa.list_(pa.int64())), b["bytes"]], b.schema.names) for b in sketched(batches)))
+    rng = random.Random(19)
+    said = [[f"w{rng.getrandbits(40)}" for _ in range(2_000)] for _ in range(4)]
+    rows = [(2 * i + k, " ".join(x if k == 0 or at != 1_000 else "other" for at, x in enumerate(s))) for i, s in enumerate(said) for k in (0, 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = [simhash._majority([simhash._distinct(t)]) & (1 << 64) - 1 for _, t in rows]
+    assert all((prints[2 * i] ^ prints[2 * i + 1]).bit_count() <= 4 for i in range(4))
+    assert {r.doc_id for r in simhash.representatives(table, "doc_id", "text").collect()} == {0, 2, 4, 6}
