@@ -59,9 +59,14 @@ def fen_valid_viewer(fen: Column) -> Column:
 
 def fen_valid_strict(fen: Column) -> Column:
     """Rule for samples: every field present must be well formed."""
+    return strict_ok(fen, fen_field(fen, 0), expand_ranks(fen_field(fen, 0)))
+
+
+def strict_ok(fen: Column, placement: Column, grid: Column) -> Column:
+    """The same rule where placement and expanded placement are columns already."""
     ok = (
-        grid_ok(expand_ranks(fen_field(fen, 0)))
-        & ~F.rlike(fen_field(fen, 0), F.lit("[1-8][1-8]"))
+        grid_ok(grid)
+        & ~F.rlike(placement, F.lit("[1-8][1-8]"))
         & F.rlike(F.btrim(fen, F.lit(SPACE)), F.lit(_STRICT_FIELDS))
     )
     return F.coalesce(ok, F.lit(False))

@@ -151,15 +151,16 @@ def with_position(df: DataFrame, fen: str = "fen", strict: bool = False) -> Data
     df = df.withColumns({
         "white_to_move": ~F.col("_black"),
         # The mover's last rank first; black pieces stay in lower case.
-        "mover_board": F.when(~(fenf.fen_valid_strict(F.col(fen)) if strict else fenf.grid_ok(F.col("_grid"))), "." * 64)
+        "mover_board": F.when(~(fenf.strict_ok(F.col(fen), F.get("_fields", F.lit(0)), F.col("_grid")) if strict else fenf.grid_ok(F.col("_grid"))), "." * 64)
         .when(F.col("_black"), ranks_up).otherwise(F.replace("_grid", F.lit("/"), F.lit(""))),
         "_rights": F.when(F.col("_black"), F.translate("_rights", "kqahKQAH", "KQAH"))
         .otherwise(F.translate("_rights", "kqah", "")),
     })
     df = df.withColumn("_hex", F.translate("mover_board", fenf.PIECES + ".", _HEX))
-    # The board as four numbers of 16 squares, one hexadecimal digit per square.
-    df = select_sql(df, {"_x": "transform(array(0, 1, 2, 3), i ->"
-                               " CAST(conv(substr(_hex, 16 * i + 1, 16), 16, -10) AS BIGINT))"})
+    # The board as four numbers of 16 squares, one hexadecimal digit per square. `_hex` is named four times outside the
+    # lambda: named once inside, it would be replaced by all that makes it, and that be done for each element.
+    parts = ", ".join(f"substr(_hex, {16 * i + 1}, 16)" for i in range(4))
+    df = select_sql(df, {"_x": f"transform(array({parts}), x -> CAST(conv(x, 16, -10) AS BIGINT))"})
     df = select_sql(df, {f"_x{i}": f"coalesce(_x[{i}], 0L)" for i in range(4)})
     df = select_sql(df, _planes())
     df = select_sql(df, {"occ": "_t1 | _t2 | _t4", "_op": "IF(white_to_move, _t8, (_t1 | _t2 | _t4) & ~_t8)"})

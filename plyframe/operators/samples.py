@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.functions.fen import fen_valid_strict
-from plyframe.operators.position import with_position
+from plyframe.operators.position import fenced, with_position
 from plyframe.operators.san import with_san, with_uci_move
 
 EVAL_SCHEMA = (
@@ -53,15 +53,20 @@ def flatten_pvs(docs: DataFrame, *keep: str) -> DataFrame:
 def legal_candidates(docs: DataFrame, key: str) -> DataFrame:
     """The legal first moves of each document: key, fen, position in document order, uci, san.
 
-    Documents with a malformed FEN or a blank engine line are rejected whole.
+    Documents with a malformed FEN or a blank engine line are rejected whole. The tests on lines and heads are fenced: pushed
+    down, each would make the lines from `evals` once more.
     """
     lines = pv_lines(F.col("evals"))
     heads = (
         docs.where(fen_valid_strict(F.col("fen")))
         .select(key, "fen", lines.alias("_lines"))
-        .where(~has_blank_line(F.col("_lines")))
+        .withColumn("_blank", has_blank_line(F.col("_lines")))
+        .withColumn("_fit", F.expr(fenced("NOT _blank")))
+        .where("_fit")
         .select(key, "fen", F.array_distinct(F.transform("_lines", first_word)).alias("_heads"))
-        .where(F.size("_heads") > 0)
+        .withColumn("_some", F.expr(fenced("size(_heads) > 0")))
+        .where("_some")
+        .select(key, "fen", "_heads")
     )
     moves = with_position(heads).withColumn("_h", F.expr("explode(arrays_zip(_heads, sequence(0, size(_heads) - 1)))"))
     moves = moves.withColumns({"head": F.col("_h._heads"), "ord": F.col("_h").getField("1")})

@@ -89,9 +89,9 @@ def model_move_or_baseline(entries: DataFrame, key: str, san: str = "model_move"
 
 
 def piece_destinations(positions: DataFrame, key: str, from_name: Column, fen: str = "fen") -> DataFrame:
-    """Simple-rules destinations of the piece on a chosen square of each position."""
-    moves = pseudo_legal_moves(positions, fen)
-    return moves.where(F.left("uci", F.lit(2)) == from_name).select(
+    """Simple-rules destinations of the piece on a chosen square of each position; the square is worked out once a position."""
+    moves = pseudo_legal_moves(positions.withColumn("_from", from_name), fen)
+    return moves.where(F.left("uci", F.lit(2)) == F.col("_from")).select(
         key, F.left("uci", F.lit(2)).alias("from_name"), F.expr("right(uci, 2)").alias("to_name")
     )
 

@@ -271,6 +271,6 @@ def _put(board: str, at: str, what: str) -> str:
 @query("apply_move", f"""WITH {_PSEUDO} SELECT pid AS pos_id, {_UCI} AS uci,
   {_put(_put('board', 'frm', "'.'"), 'dst', 'substr(board, CAST(frm AS INT) + 1, 1)')} AS after FROM s_pm""")
 def apply_move(spark, sf):
-    moves = mv.pseudo_legal_moves(fx.scatter(spark, sf))
+    moves = mv.pseudo_legal_moves(fx.scatter(spark, sf).withColumn("board", fenf.board_string(F.col("fen"))))
     frm, to = (fenf.square_index(F.substring("uci", i, 2)) for i in (1, 3))
-    return moves.select("pos_id", "uci", fenf.apply_move(fenf.board_string(F.col("fen")), frm, to).alias("after"))
+    return moves.select("pos_id", "uci", fenf.apply_move(F.col("board"), frm, to).alias("after"))
