@@ -198,42 +198,43 @@ def _check() -> str:
     ]) + " <> 0L AND " + present("opp_k")
 
 
-def _struct(fields: dict[str, str]) -> str:
-    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
+def _reply_lines() -> dict[str, str]:
+    """What the mover's sliders and the opponent's king see after the move."""
+    return {f"_y_{k}": v for k, v in king_lines("opp_k", "_m_occ", "_m_straight", "_m_diagonal").items()}
 
 
-def _reply_exists() -> str:
-    """Whether the side in check has any legal move. Evaluated for checking moves only.
+def _with_reply(df: DataFrame) -> DataFrame:
+    """Add `_reply`: whether the side in check has any legal move. Of use for checking moves only. Needs `_reply_lines`.
 
-    Lambdas over one-element arrays name the intermediate sets.
+    The sets are columns, since an expression inside a lambda is not compiled: written in one, they took most of the time.
     """
-    lines = king_lines("opp_k", "_m_occ", "_m_straight", "_m_diagonal")
     facts = king_safety(
-        "y.", "_q", "_m_straight", "_m_diagonal",
+        "_y_", "_q", "_m_straight", "_m_diagonal",
         f"({b.knight_steps('opp_k')} & _m_n)", f"({b.pawn_attacks_down('opp_k')} & _m_p)", "0L",
         [b.knight_steps("_m_n"), b.pawn_attacks_up("_m_p"), b.king_steps("_m_k")],
     )
-    free = "~(z.pin_v | z.pin_h | z.pin_d | z.pin_a)"
-    pushed = "(shiftrightunsigned(_q_p & w.free, 8) & ~_m_occ)"
+    df = select_sql(df, {f"_z_{k}": v for k, v in facts.items()} | {"_king": present("opp_k")})
+    df = select_sql(df, {
+        "_free": "~(_z_pin_v | _z_pin_h | _z_pin_d | _z_pin_a)", "_target": check_mask("_z_checkers", "_z_lines"),
+        "_flight": f"{b.king_steps('opp_k')} & ~_q & ~_z_danger",
+    })
+    pushed = "(shiftrightunsigned(_q_p & _free, 8) & ~_m_occ)"
     pushed2 = f"(shiftrightunsigned({pushed} & {b.const(b.rank(6))}, 8) & ~_m_occ)"
     blocks = b.union([
-        b.rays("((_q_r | _q_q) & w.free)", "(~_m_occ)", b.STRAIGHT),
-        b.rays("((_q_b | _q_q) & w.free)", "(~_m_occ)", b.DIAGONAL),
-        b.knight_steps("(_q_n & w.free)"),
-        f"({b.pawn_attacks_down('(_q_p & w.free)')} & _m_occ & ~_q)",
+        b.rays("((_q_r | _q_q) & _free)", "(~_m_occ)", b.STRAIGHT),
+        b.rays("((_q_b | _q_q) & _free)", "(~_m_occ)", b.DIAGONAL),
+        b.knight_steps("(_q_n & _free)"),
+        f"({b.pawn_attacks_down('(_q_p & _free)')} & _m_occ & ~_q)",
         pushed, pushed2,
     ])
+    df = select_sql(df, {"_blocks": f"{blocks} & _target & ~_q"})
+    # Rare, hence behind a test and inside a lambda.
     lifted = "(~(_m_occ & ~to_bit))"
-    en_passant = f"""(piece = 'P' AND shiftleft(frm_bit, 16) = to_bit AND (to_bit & w.target) <> 0L
-        AND (({b.step('to_bit', 'e')} | {b.step('to_bit', 'w')}) & _q_p & w.free) <> 0L
+    en_passant = f"""(piece = 'P' AND shiftleft(frm_bit, 16) = to_bit AND (to_bit & _target) <> 0L
+        AND (({b.step('to_bit', 'e')} | {b.step('to_bit', 'w')}) & _q_p & free) <> 0L
         AND (({b.rays('opp_k', lifted, b.STRAIGHT)} & _m_straight)
            | ({b.rays('opp_k', lifted, b.DIAGONAL)} & _m_diagonal)) = 0L)"""
-    return f"""exists(
-        transform(
-          transform(array({_struct(lines)}), y -> {_struct(facts)}),
-          z -> named_struct('flight', {b.king_steps('opp_k')} & ~_q & ~z.danger, 'free', {free},
-                            'target', {check_mask('z.checkers', 'z.lines')})),
-        w -> w.flight <> 0L OR ({blocks} & w.target & ~_q) <> 0L OR {en_passant})"""
+    return select_sql(df, {"_reply": f"IF(_check, _flight <> 0L OR _blocks <> 0L OR exists(array(_free), free -> {en_passant}), true)"})
 
 
 def with_san(df: DataFrame, out: str = "san") -> DataFrame:
@@ -255,7 +256,7 @@ def with_san(df: DataFrame, out: str = "san") -> DataFrame:
         "_landed": "IF(promo = '', piece, upper(promo))",
     })
     df = select_sql(df, _after_move())
-    df = select_sql(df, {"_check": _check()})
+    df = select_sql(df, {"_check": _check()} | _reply_lines())
     file_of, rank_of = (f"get({LINE_TABLES[p]}, frm)" for p in ("pin_v", "pin_h"))
     takes = "((to_bit & opp) <> 0L OR _gone <> 0L)"
     df = select_sql(df, {"_san": f"""CASE WHEN NOT {ok} THEN NULL WHEN castle = 'K' THEN 'O-O' WHEN castle = 'Q' THEN 'O-O-O'
@@ -266,6 +267,7 @@ def with_san(df: DataFrame, out: str = "san") -> DataFrame:
                WHEN (_others & {rank_of}) = 0L THEN concat(piece, substr(uci, 2, 1))
                ELSE concat(piece, left(uci, 2)) END,
           IF({takes}, 'x', ''), substr(uci, 3, 2), IF(promo = '', '', concat('=', upper(promo)))) END"""})
-    mark = f"CASE WHEN NOT ({ok}) OR NOT _check THEN '' WHEN {_reply_exists()} THEN '+' ELSE '#' END"
+    df = _with_reply(df)
+    mark = f"CASE WHEN NOT ({ok}) OR NOT _check THEN '' WHEN _reply THEN '+' ELSE '#' END"
     df = select_sql(df, {out: f"IF({fenced(same)}, concat(_san, {mark}), NULL)"})
     return df.select(*keep, out)

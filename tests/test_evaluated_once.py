@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from plyframe.functions import fen as fenf
 from plyframe.operators import samples, viewer
+from plyframe.operators.moves import legal_moves
 from plyframe.operators.position import with_position
+from plyframe.operators.san import with_san
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
 
@@ -34,3 +36,10 @@ def test_the_chosen_square_is_found_once_a_position(spark):
     moves = viewer.piece_destinations(rows, "id", square)
     assert not [line for line in optimized(moves).splitlines() if "Join" in line and "regexp_instr" in line]
     assert sorted(r.to_name for r in moves.collect()) == ["a3", "c3"]
+
+
+def test_replies_to_check_are_sought_in_compiled_columns(spark):
+    rows = spark.createDataFrame([(1, "7k/5Q2/6K1/8/8/8/8/8 w - -")], "id long, fen string")
+    moves = with_san(legal_moves(rows, keep_position=True)).select("uci", "san")
+    assert "named_struct(s_n" not in optimized(moves)
+    assert {"Qg7#", "Qe8#", "Qh5+"} <= {r.san for r in moves.collect()}
