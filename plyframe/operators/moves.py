@@ -46,7 +46,7 @@ def _geometry_rows() -> pa.Table:
     def add(piece, frm, to, free=0, take=False, line="", castle="", promos=("",)):
         for promo in promos:
             rows.append({
-                "key": ord(piece) * 64 + frm, "to": to, "frm_bit": _signed(1 << frm), "to_bit": _signed(1 << to),
+                "key": ord(piece) % 32 * 64 + frm, "to": to, "frm_bit": _signed(1 << frm), "to_bit": _signed(1 << to),
                 "free": _signed(free), "take": take, "line": line, "castle": castle, "promo": promo,
                 "uci_white": b.name(frm) + b.name(to) + promo, "uci_black": b.name(frm ^ 56) + b.name(to ^ 56) + promo,
             })
@@ -86,12 +86,13 @@ def _candidate_moves(positions: DataFrame, target: str) -> DataFrame:
     spark = positions.sparkSession
     pieces = (
         positions.select("*", F.posexplode(F.split("mover_board", "")).alias("_at", "_char"))
+        # by codes: a text is put into upper case for own pieces only, not for each of the 64 squares
+        .where((F.col("_char") != ".") & (F.col("white_to_move") == (F.ascii("_char") < ord("a"))))
         .withColumns({"frm": F.lit(63) - F.col("_at"), "piece": F.upper("_char")})
-        .where((F.col("piece") != ".") & (F.col("white_to_move") == (F.col("piece") == F.col("_char"))))
     )
     geo = F.broadcast(geometry(spark))
     reach = (
-        (F.ascii("piece") * 64 + F.col("frm") == geo["key"])
+        (F.ascii("_char") % 32 * 64 + F.col("frm") == geo["key"])
         & F.expr("(free & occ) = 0L AND (to_bit & own) = 0L")
         & F.expr(f"(NOT take OR (to_bit & {target}) <> 0L)")
     )

@@ -120,7 +120,8 @@ def _kings(spark, sf):
         "concat(translate(left(b, 8), 'KkPp', '..Nn'), translate(substr(b, 9, 48), 'Kk', '..'), translate(substr(b, 57), 'KkPp', '..Nn'))").alias("b"))
     rows = rows.select("pos_id", "side", F.expr(
         "overlay(overlay(b PLACING 'K' FROM CAST(pos_id % 8 + 1 AS INT)) PLACING 'k' FROM CAST(57 + pos_id DIV 8 % 8 AS INT))").alias("b"))
-    ranks = F.array_join(F.transform(F.sequence(F.lit(7), F.lit(0)), lambda r: F.substr("b", r * 8 + 1, F.lit(8))), "/")
+    # `b` is named eight times: named once inside a lambda, it would be replaced by all that makes it, for each rank
+    ranks = F.concat_ws("/", *(F.substring("b", r * 8 + 1, 8) for r in range(7, -1, -1)))
     for n in range(8, 0, -1):
         ranks = F.replace(ranks, F.lit("." * n), F.lit(str(n)))
     return rows.select("pos_id", F.concat(ranks, F.lit(" "), "side", F.lit(" - -")).alias("fen"))

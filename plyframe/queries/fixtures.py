@@ -121,9 +121,12 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("pos_id"), (F.col("l_partkey") % 64).cast("int").alias("sq"),
         F.expr("substr('PNBRQKpnbrqk', CAST(1 + l_suppkey % 12 AS INT), 1)").alias("piece"),
     ).groupBy("pos_id", "sq").agg(F.max("piece").alias("piece"))
-    boards = pieces.groupBy("pos_id").agg(F.map_from_entries(F.collect_list(F.struct("sq", "piece"))).alias("at"))
+    # Four numbers of 16 squares, a hexadecimal digit for each: sums of fixed size, where lists would be sorted by board.
+    code = "coalesce(instr('PNBRQKpnbrqk', piece), 0)"
+    boards = pieces.groupBy("pos_id").agg(*(
+        F.expr(f"bit_or(IF(sq BETWEEN {16 * q} AND {16 * q + 15}, shiftleft(CAST({code} AS BIGINT), sq % 16 * 4), 0L))").alias(f"q{q}") for q in range(4)))
     ranks = ", ".join(
-        f"array_join(transform(sequence({8 * r}, {8 * r + 7}), i -> coalesce(at[i], '1')), '')" for r in range(7, -1, -1)
+        f"translate(reverse(substr(lpad(hex(q{r // 2}), 16, '0'), {9 - r % 2 * 8}, 8)), '0123456789ABC', '1PNBRQKpnbrqk')" for r in range(7, -1, -1)
     )
     return boards.select("pos_id", F.expr(f"concat(concat_ws('/', {ranks}), IF(pos_id % 2 = 0, ' w', ' b'))").alias("fen"))
 

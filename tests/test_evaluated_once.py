@@ -7,6 +7,8 @@ from plyframe.operators import samples, viewer
 from plyframe.operators.moves import legal_moves
 from plyframe.operators.position import with_position
 from plyframe.operators.san import with_san
+from plyframe.queries.chess import _kings
+from plyframe.queries.fixtures import scatter
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
 
@@ -42,4 +44,23 @@ def test_replies_to_check_are_sought_in_compiled_columns(spark):
     rows = spark.createDataFrame([(1, "7k/5Q2/6K1/8/8/8/8/8 w - -")], "id long, fen string")
     moves = with_san(legal_moves(rows, keep_position=True)).select("uci", "san")
     assert "named_struct(s_n" not in optimized(moves)
-    assert {"Qg7#", "Qe8#", "Qh5+"} <= {r.san for r in moves.collect()}
+    assert {"Qg7#", "Qe8#", "Qf6+"} <= {r.san for r in moves.collect()}
+
+
+def test_strewn_boards_are_put_together_once(spark):
+    plan = optimized(_kings(spark, "/root/testdata/sf0.001"))
+    assert not [line for line in plan.splitlines() if "lambdafunction" in line and "overlay" in line]
+    assert "collect_list" not in plan
+
+
+def test_empty_squares_are_left_out_by_code(spark):
+    plan = optimized(legal_moves(spark.createDataFrame([(START,)], "fen string")))
+    assert not [line for line in plan.splitlines() if "Filter" in line and "upper(" in line]
+
+
+def test_strewn_boards(spark, tmp_path):
+    rows = [(2, 0, 0), (2, 64, 7), (2, 63, 11), (2, None, 1), (3, 5, None), (4, None, 2), (5, -3, 2), (None, 9, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {r.pos_id: r.fen.replace("11111111", "8") for r in scatter(spark, str(tmp_path)).collect()}
+    assert got == {2: "1111111k/8/8/8/8/8/8/n1111111 w", 3: "/".join(["8"] * 8) + " b", 4: "/".join(["8"] * 8) + " w",
+                   5: "/".join(["8"] * 8) + " b", None: "8/8/8/8/8/8/1R111111/8" + " b"}
