@@ -2,13 +2,17 @@
 
 Words that are frequent enough get ids by frequency. Adjacent ids are counted batch by batch: the ranks are split into
 tiles, and a tile with many pairs is counted by direct address in a dense array, the rest as sorted coordinates. Batches'
-counts are added by Spark. Frequent pairs are ranked by frequency in their turn, so that two pairs which share a word are
+counts are dealt to shards by a hash of the pair, a packed row for a batch and shard, and added there: a pair takes some three
+bytes of a shuffle, not a row. Frequent pairs are ranked by frequency in their turn, so that two pairs which share a word are
 adjacent ids of the next level and make a phrase of three words, and so on.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,30 @@ TILE, HEAD = 512, 16  # ranks in a tile's side, tiles in a side of the square th
 DENSE = TILE * TILE // 32  # pairs that make a tile worth an array
 MARKS = bytes.maketrans(b"\t,;:!?\x0a\x0b\x0c\x0d", b" " + b"." * 9)  # a tab is a blank; all that ends a piece is a dot
 BUCKETS = 64
+SHARDS = 32  # at least; there are as many as batches, so that a shard's pairs grow with HOLD and not with the input
+
+
+def pack(a: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, compressed: all lowest bytes, then all second bytes, as far as the largest needs them."""
+    width = max(1, (int(a.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + zlib.compress(a.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(memoryview(data)[1:]), np.uint8)
+    out = np.zeros((len(planes) // data[0], 8), np.uint8)
+    out[:, : data[0]] = planes.reshape(data[0], -1).T
+    return out.view("<i8").ravel()
+
+
+def _rows(schema: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values(), strict=True)], list(schema))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, Iterator[dict]]]:
+    """Runs of rows that are equal in `key`."""
+    return groupby((row for batch in batches for row in batch.to_pylist()), key=itemgetter(*key))
 
 
 class Ids(dict):
@@ -47,12 +75,12 @@ class Held:
     def row(self, lang: str) -> tuple:
         seq = np.concatenate(self.seqs)
         words = [w.decode() for w in self.ids][1:]
-        return lang, words, np.bincount(seq, minlength=len(words) + 1)[1:].tolist(), (seq - 1).tobytes()
+        return lang, words, np.bincount(seq, minlength=len(words) + 1)[1:].tolist(), pack(seq)
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of words, each of one language: distinct words, their counts, and the words' numbers in text order, -1
-    between pieces."""
+    """Batches of words, each of one language: distinct words, their counts, and the words' numbers from 1 in text order,
+    packed, 0 between pieces."""
     kinds = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())
     held: dict[str, Held] = {}
     words = 0
@@ -114,24 +142,39 @@ def adjacent(seq: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, *(np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True))
 
 
-COUNTED = "batch long, lang string, at long, left long, right long, times long"
+COUNTED = {"shard": pa.int32(), "lang": pa.string(), "batch": pa.int64(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary()}
+COUNTED_SQL = "shard int, lang string, batch long, a binary, b binary, c binary"
+
+
+def _dealt(left: np.ndarray, right: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' places by shard, in a shard by left id, and the shards' starts."""
+    mixed = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    shard = ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    order = np.argsort(left, kind="stable")
+    order = order[np.argsort(shard[order], kind="stable")]
+    return order, np.searchsorted(shard[order], np.arange(shards + 1))
 
 
-def _counted(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by batch: kind 0 its sequence, kinds 1 to `level` the ids of its numbers there. Out: the pairs of
-    adjacent ids of that level."""
-    now, lang, seq, maps = None, None, None, {}
+def _counted(batches: Iterator[pa.RecordBatch], level: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by batch: kind 0 its sequence, kind 1 the ids of its words, kinds 2 to `level` the ids of its numbers there,
+    by shard and place in the shard. Out: the pairs of adjacent ids of that level, a row for a shard: left ids (as
+    differences), right ids, counts."""
+    now, lang, seq, words, maps = None, None, None, [], {}
 
     def done() -> pa.RecordBatch:
-        own = seq
+        own, order, starts = seq, None, None
         for k in range(1, level + 1):
-            at, id = (np.concatenate([m[i] for m in maps[k]]) if k in maps else np.zeros(0, np.int64) for i in (0, 1))
             ids = np.full(int(own.max(initial=-1)) + 1, -1, np.int64)
-            ids[at] = id
-            own, *pairs = adjacent(own, ids)
-        n = len(pairs[0])
-        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now, pa.int64()), n), pa.repeat(pa.scalar(lang, pa.string()), n),
-                                           pa.array(np.arange(n)), *map(pa.array, pairs)], ["batch", "lang", "at", "left", "right", "times"])
+            for at, id in words if k == 1 else [(order[starts[shard] + at], id) for shard, at, id in maps.get(k, [])]:
+                ids[at] = id
+            own, left, right, times = adjacent(own, ids)
+            order, starts = _dealt(left, right, shards)
+        rows = []
+        for shard in np.flatnonzero(np.diff(starts)):
+            at = order[starts[shard] : starts[shard + 1]]
+            rows.append((int(shard), lang, now, pack(np.diff(left[at], prepend=0)), pack(right[at]), pack(times[at])))
+        return _rows(COUNTED, rows)
 
     for batch in batches:
         name, kind = batch["batch"].to_numpy(), batch["kind"].to_numpy()
@@ -142,16 +185,101 @@ def _counted(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.Recor
             if name[start] != now:
                 if now is not None:
                     yield done()
-                now, maps = int(name[start]), {}
+                now, words, maps = int(name[start]), [], {}
+            part = batch.slice(start, stop - start)
             if kind[start] == 0:
-                lang, seq = batch["lang"][start].as_py(), np.frombuffer(batch["seq"][start].as_py(), "<i4").astype(np.int64)
+                lang, seq = part["lang"][0].as_py(), unpack(part["seq"][0].as_py()) - 1
+            elif kind[start] == 1:
+                words.append((part["at"].to_numpy(), part["id"].to_numpy()))
             else:
-                part = batch.slice(start, stop - start)
-                maps.setdefault(int(kind[start]), []).append((part["at"].to_numpy(), part["id"].to_numpy()))
+                of = zip(part["at"].to_pylist(), part["seq"].to_pylist(), part["ids"].to_pylist(), strict=True)
+                maps.setdefault(int(kind[start]), []).extend((shard, np.cumsum(unpack(at)), unpack(id)) for shard, at, id in of)
     if now is not None:
         yield done()
 
 
+def _added(batches: Iterator[pa.RecordBatch], least: int, back: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of `_counted` sorted by shard and language. Out: a row without batch with the pairs that occur `least` times or more (left
+    ids, right ids, counts) and, with `back`, a row for each batch that has some: their places in its row (as
+    differences) and which of those pairs they are."""
+    for (shard, lang), rows in _groups(batches, ["shard", "lang"]):
+        names, lefts, rights, counts = [], [], [], []
+        for row in rows:
+            names.append(row["batch"])
+            lefts.append(np.cumsum(unpack(row["a"])))
+            rights.append(unpack(row["b"]))
+            counts.append(unpack(row["c"]))
+        ends = np.cumsum([len(x) for x in lefts])
+        first, left = np.unique(np.concatenate(lefts), return_inverse=True)
+        second, right = np.unique(np.concatenate(rights), return_inverse=True)
+        pair, number = np.unique(left * len(second) + right, return_inverse=True)
+        f = np.zeros(len(pair), np.int64)
+        np.add.at(f, number, np.concatenate(counts))
+        often = f >= least
+        if not often.any():
+            continue
+        out = [(shard, lang, None, pack(first[pair[often] // len(second)]), pack(second[pair[often] % len(second)]), pack(f[often]))]
+        rank = np.where(often, np.cumsum(often) - 1, -1)[number]
+        for name, own in zip(names, np.split(rank, ends[:-1]), strict=True) if back else ():
+            at = np.flatnonzero(own >= 0)
+            if len(at):
+                out.append((shard, lang, name, pack(np.diff(at, prepend=0)), pack(own[at]), None))
+        yield _rows(COUNTED, out)
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of `_added` as rows, with their shard and place in its row."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            left, right, f = (unpack(row[c]) for c in "abc")
+            n = len(f)
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(row["lang"], pa.string()), n), pa.array(left), pa.array(right), pa.array(f),
+                                              pa.repeat(pa.scalar(row["shard"], pa.int32()), n), pa.array(np.arange(n))],
+                                             ["lang", "left", "right", "f", "shard", "place"])
+
+
+NUMBERED = {"batch": pa.int64(), "at": pa.int64(), "seq": pa.binary(), "ids": pa.binary()}
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard, language and kind: kind 0 ids of pairs by place, kind 1 the rows of `_added` for a batch. Out: those
+    rows with the ids."""
+    now, ids = None, []
+    for batch in batches:
+        names = zip(*(batch[c].to_pylist() for c in ("shard", "lang", "kind")), strict=True)
+        out, start = [], 0
+        for (shard, lang, kind), run in groupby(names):
+            part = batch.slice(start, len(list(run)))
+            start += len(part)
+            if (shard, lang) != now:
+                now, ids = (shard, lang), []
+            if kind == 0:
+                ids.append((part["place"].to_numpy(), part["id"].to_numpy()))
+                continue
+            table = np.zeros(sum(len(p) for p, _ in ids), np.int64)
+            for place, id in ids:
+                table[place] = id
+            out += [(b, shard, a, pack(table[unpack(n)])) for b, a, n in zip(*(part[c].to_pylist() for c in ("batch", "a", "b")), strict=True)]
+        if out:
+            yield _rows(NUMBERED, out)
+
+
+def _frequent_pairs(pairs: DataFrame, least: int, back: bool) -> tuple[DataFrame, DataFrame | None]:
+    """From the rows of `_counted`: each language's pairs that occur `least` times or more with f and, with `back`, an id by
+    falling f, and the ids of each batch's numbers."""
+    dealt = pairs.repartition("shard").sortWithinPartitions("shard", "lang")
+    held = written(dealt.mapInArrow(lambda b: _added(b, least, back), COUNTED_SQL))
+    keys = held.where("batch IS NULL").mapInArrow(_spread, "lang string, left long, right long, f long, shard int, place long")
+    if not back:
+        return keys.select("lang", "left", "right", "f", F.lit(0).cast("long").alias("id")), None
+    ranked = written(dense_ordinal(keys.withColumn("less", -F.col("f")), ["less", "left", "right"], ["lang"], out="id").drop("less"))
+    none = F.lit(None)
+    rows = ranked.select("shard", "lang", F.lit(0).alias("kind"), "place", "id", none.cast("long").alias("batch"), none.cast("binary").alias("a"), none.cast("binary").alias("b"))
+    rows = rows.union(held.where("batch IS NOT NULL").select("shard", "lang", F.lit(1), none.cast("long"), none.cast("long"), "batch", "a", "b"))
+    ids = rows.repartition("shard").sortWithinPartitions("shard", "lang", "kind").mapInArrow(_numbered, "batch long, at long, seq binary, ids binary")
+    return ranked.drop("shard", "place"), ids
+
+
 def _frequent(rows: DataFrame, key: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """From batches' counts (batch, at, lang, key, times): each language's keys with a sum f of `least` or more and an id by
     falling f, and the ids of each batch's numbers. A key has a row for a batch, so the largest group is the number of
@@ -177,17 +305,17 @@ def phrases(docs: DataFrame, text: str, lang: str, least: int = 10, most: int =
     none = F.lit(None)
     empty = F.array().cast("array<long>")
     level = words.select("lang", "id", "f", F.col("word").alias("phrase"), F.col("word").alias("last"), empty.alias("heads"), empty.alias("tails"))
-    fed = batches.select("batch", F.lit(0).alias("kind"), none.cast("long").alias("at"), none.cast("long").alias("id"), "lang", "seq")
+    fed = batches.select("batch", F.lit(0).alias("kind"), none.cast("long").alias("at"), none.cast("long").alias("id"), "lang", "seq", none.cast("binary").alias("ids"))
+    ids = ids.select("batch", F.lit(1).alias("kind"), "at", "id", none.cast("string").alias("lang"), none.cast("binary").alias("seq"), none.cast("binary").alias("ids"))
+    shards = max(SHARDS, batches.count())
     found = []
     for size in range(2, most + 1):
-        ids = ids.select("batch", F.lit(size - 1).alias("kind"), "at", "id", none.cast("string").alias("lang"), none.cast("binary").alias("seq"))
         fed = fed.union(written(ids) if size < most else ids)
         ordered = fed.repartition("batch").sortWithinPartitions("batch", "kind")
-        pairs = ordered.mapInArrow(lambda b, depth=size - 1: _counted(b, depth), COUNTED)
-        if size < most:
-            keys, ids = _frequent(pairs, ["left", "right"], least)
-        else:
-            keys = written(pairs.groupBy("left", "right", "lang").agg(F.sum("times").alias("f")).where(F.col("f") >= least).withColumn("id", F.lit(0).cast("long")))
+        pairs = ordered.mapInArrow(lambda b, depth=size - 1: _counted(b, depth, shards), COUNTED_SQL)
+        keys, back = _frequent_pairs(pairs, least, size < most)
+        if back is not None:
+            ids = back.select("batch", F.lit(size).alias("kind"), "at", none.cast("long").alias("id"), none.cast("string").alias("lang"), "seq", "ids")
         holds = keys.select("lang", F.explode(F.array("left", "right")).alias("id"), "f").groupBy("lang", "id").agg(F.max("f").alias("within"))
         if size > 2:
             found.append(level.join(holds, ["id", "lang"], "left"))

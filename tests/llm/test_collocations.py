@@ -85,3 +85,19 @@ def test_pairs_are_numbered_in_text_order(monkeypatch):
     want = [(ids[a], ids[b]) if a >= 0 and b >= 0 and ids[a] >= 0 and ids[b] >= 0 else None for a, b in zip(seq[:-1], seq[1:], strict=True)]
     assert [None if i < 0 else (left[i], right[i]) for i in out] == want
     assert Counter(w for w in want if w) == {(a, b): t for a, b, t in zip(left, right, times, strict=True)}
+
+
+def test_pairs_of_a_batch_are_a_packed_row_for_a_shard():
+    rng = np.random.default_rng(3)
+    for top in (0, 1, 255, 256, 1 << 40):
+        a = rng.integers(0, top + 1, 100)
+        assert (collocations.unpack(collocations.pack(a)) == a).all()
+    assert len(collocations.unpack(collocations.pack(np.zeros(0, np.int64)))) == 0
+    left, right = (rng.random((2, 40000)) ** 3 * 5000).astype(np.int64)
+    order, starts = collocations._dealt(left, right, 8)
+    assert sorted(order) == list(range(40000)) and starts[0] == 0 and starts[-1] == 40000
+    at = [order[i:j] for i, j in zip(starts[:-1], starts[1:], strict=True)]
+    pairs = [set(zip(left[i], right[i], strict=True)) for i in at]
+    assert len(set().union(*pairs)) == sum(map(len, pairs))
+    size = sum(len(collocations.pack(np.diff(left[i], prepend=0))) + len(collocations.pack(right[i])) for i in at)
+    assert all((np.diff(left[i]) >= 0).all() for i in at) and size < 4 * 40000
