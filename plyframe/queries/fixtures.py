@@ -123,6 +123,8 @@ def scatter(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).groupBy("pos_id", "sq").agg(F.max("piece").alias("piece"))
     # Four numbers of 16 squares, a hexadecimal digit for each: sums of fixed size, where lists would be sorted by board.
     code = "coalesce(instr('PNBRQKpnbrqk', piece), 0)"
+    # A piece without a square fails, as it would be lost.
+    pieces = pieces.withColumn("sq", F.expr("coalesce(sq, CAST(raise_error('a line item without a square') AS INT))"))
     boards = pieces.groupBy("pos_id").agg(*(
         F.expr(f"bit_or(IF(sq BETWEEN {16 * q} AND {16 * q + 15}, shiftleft(CAST({code} AS BIGINT), sq % 16 * 4), 0L))").alias(f"q{q}") for q in range(4)))
     ranks = ", ".join(

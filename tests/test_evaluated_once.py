@@ -1,5 +1,6 @@
 """Costly columns are worked out once a row: the optimizer must not copy them into filters and lambdas."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from plyframe.functions import fen as fenf
@@ -59,8 +60,11 @@ def test_empty_squares_are_left_out_by_code(spark):
 
 
 def test_strewn_boards(spark, tmp_path):
-    rows = [(2, 0, 0), (2, 64, 7), (2, 63, 11), (2, None, 1), (3, 5, None), (4, None, 2), (5, -3, 2), (None, 9, 3)]
+    rows = [(2, 0, 0), (2, 64, 7), (2, 63, 11), (3, 5, None), (4, 70, None), (5, -3, 2), (None, 9, 3)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {r.pos_id: r.fen.replace("11111111", "8") for r in scatter(spark, str(tmp_path)).collect()}
     assert got == {2: "1111111k/8/8/8/8/8/8/n1111111 w", 3: "/".join(["8"] * 8) + " b", 4: "/".join(["8"] * 8) + " w",
                    5: "/".join(["8"] * 8) + " b", None: "8/8/8/8/8/8/1R111111/8" + " b"}
+    spark.createDataFrame([(2, None, 1)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    with pytest.raises(Exception, match="without a square"):
+        scatter(spark, f"{tmp_path}/none").collect()
