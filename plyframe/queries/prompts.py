@@ -57,11 +57,10 @@ def _answered(spark, sf):
 SELECT pos_id, style, 0 AS pos, 'system' AS role, sys AS content FROM styled
 UNION ALL SELECT pos_id, style, 1, 'user', asks FROM styled UNION ALL SELECT pos_id, style, 2, 'assistant', pre || san FROM styled""")
 def chat_messages(spark, sf):
-    rows = _answered(spark, sf)
-    both = F.array(*[
-        F.struct(F.lit(name).alias("style"), pr.chat_messages(F.col("fen"), F.col("san"), style).alias("messages"))
-        for name, style in (("reasoned", pr.REASONED), ("san_only", pr.SAN_ONLY))
-    ])
+    styles = {"reasoned": pr.REASONED, "san_only": pr.SAN_ONLY}
+    # Columns of one projection, where the board's text is made once; inside explode() each naming would make it again.
+    rows = _answered(spark, sf).select("pos_id", *(pr.chat_messages(F.col("fen"), F.col("san"), s).alias(name) for name, s in styles.items()))
+    both = F.array(*(F.struct(F.lit(name).alias("style"), F.col(name).alias("messages")) for name in styles))
     styled = rows.select("pos_id", F.explode(both).alias("s")).select("pos_id", "s.style", F.posexplode("s.messages").alias("pos", "m"))
     return styled.select("pos_id", "style", "pos", "m.role", "m.content")
 

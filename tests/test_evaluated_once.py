@@ -10,6 +10,7 @@ from plyframe.operators.position import with_position
 from plyframe.operators.san import with_san
 from plyframe.queries.chess import _kings
 from plyframe.queries.fixtures import scatter
+from plyframe.queries.prompts import chat_messages
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
 
@@ -68,3 +69,8 @@ def test_strewn_boards(spark, tmp_path):
     spark.createDataFrame([(2, None, 1)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/none/lineitem.parquet")
     with pytest.raises(Exception, match="without a square"):
         scatter(spark, f"{tmp_path}/none").collect()
+
+
+def test_a_board_is_drawn_outside_of_explode(spark):
+    plan = optimized(chat_messages(spark, "/root/testdata/sf0.001"))
+    assert "regexp_replace" in plan and "regexp_replace" not in plan.split("Generate explode(")[1].split("false, [")[0]
