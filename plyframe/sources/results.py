@@ -105,6 +105,7 @@ def write_evaluations(scored: DataFrame, models: DataFrame, folder: str, rows_pe
     """evaluate_<model>.csv for every model of `models`, in the order of ids, and summary_<model>.json for those with rows; all
     appear together when everything is written. A model none of whose replies was scored has a file with the header only.
     Rows after the first `rows_per_file` of a model go to evaluate_<model>.1.csv, .2.csv and so on, each with a header."""
+    scored = written(scored)  # read by the numbering, which takes it twice, and by the summaries
     name = sanitize_model_id(F.col("model"))
     text = {c: F.col(c).cast("string") for c in _TEXT_COLUMNS} | {c: F.initcap(F.col(c).cast("string")) for c in ("legal", "good")}
     text["top_moves"] = F.array_join("top_moves", ",")

@@ -11,6 +11,7 @@ from plyframe.operators.san import with_san
 from plyframe.queries.chess import _kings
 from plyframe.queries.fixtures import scatter
 from plyframe.queries.prompts import chat_messages
+from plyframe.sources.results import write_evaluations
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
 
@@ -74,3 +75,16 @@ def test_strewn_boards(spark, tmp_path):
 def test_a_board_is_drawn_outside_of_explode(spark):
     plan = optimized(chat_messages(spark, "/root/testdata/sf0.001"))
     assert "regexp_replace" in plan and "regexp_replace" not in plan.split("Generate explode(")[1].split("false, [")[0]
+
+
+def test_scores_are_made_once_for_files_and_summaries(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(move):
+        made.add(1)
+        return move
+
+    rows = spark.range(20).selectExpr("'m' AS model", "id", f"'{START}' AS fen", "'e4' AS move", "'e4' AS full_reply", "true AS legal", "true AS good", "array('e4') AS top_moves")
+    scored = rows.withColumn("model_move", F.udf(counted, "string")("move")).drop("move")
+    write_evaluations(scored, rows.select("model").distinct(), str(tmp_path / "r"))
+    assert made.value == 20
