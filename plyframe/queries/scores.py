@@ -263,14 +263,15 @@ def move_rates(spark, sf):
 
 @query("running_rates", ORACLES["move_rates"])
 def rates_of_stream(spark, sf):
-    """The replies in three files, each followed by some of the last file's again, read as three batches of a stream."""
+    """The replies in three lots of files, each with some of the last lot's again, read as three batches of a stream."""
     valid = written(samples.valid_samples(fx.documents(spark, sf), "pos_id").withColumnRenamed("pos_id", "id"))
     said = fx.replies(spark, sf).select("model", "id", "full_reply", F.expr("timestamp_seconds(1700000000 + 60 * (id % 3))").alias("at"))
     source, out, state = (scratch_folder(spark) for _ in range(3))
     for part in range(3):
         again = (F.col("id") % 3 == part - 1) & (F.col("id") % 5 == 0)
-        said.where((F.col("id") % 3 == part) | again).coalesce(1).write.mode("append").json(source)
-    rates = running_rates(read_timed_replies(spark, source, files_per_batch=1), valid)
+        said.where((F.col("id") % 3 == part) | again).write.mode("append").json(source)
+    # positions are dealt to as many tasks as there are cores, and each writes a file
+    rates = running_rates(read_timed_replies(spark, source, files_per_batch=spark.sparkContext.defaultParallelism), valid)
     keep_rates(rates, out, state).trigger(availableNow=True).start().awaitTermination()
     return _rounded(latest_rates(spark, out), "legal_move_rate", "top_move_rate")
 

@@ -8,6 +8,7 @@ from plyframe.operators import samples, viewer
 from plyframe.operators.moves import legal_moves
 from plyframe.operators.position import with_position
 from plyframe.operators.san import with_san
+from plyframe.queries import scores
 from plyframe.queries.chess import _kings
 from plyframe.queries.fixtures import scatter
 from plyframe.queries.prompts import chat_messages
@@ -88,3 +89,10 @@ def test_scores_are_made_once_for_files_and_summaries(spark, tmp_path):
     scored = rows.withColumn("model_move", F.udf(counted, "string")("move")).drop("move")
     write_evaluations(scored, rows.select("model").distinct(), str(tmp_path / "r"))
     assert made.value == 20
+
+
+def test_a_stream_of_replies_comes_in_files_of_many_tasks(spark, tmp_path, monkeypatch):
+    folders = iter(["source", "out", "state"])
+    monkeypatch.setattr(scores, "scratch_folder", lambda _: str(tmp_path / next(folders)))
+    assert {r.test_samples for r in scores.rates_of_stream(spark, "/root/testdata/sf0.001").collect()} != set()
+    assert len(list((tmp_path / "source").glob("*.json"))) == 3 * spark.sparkContext.defaultParallelism
