@@ -11,6 +11,7 @@ from plyframe.functions.fen import board_text, side_to_move
 from plyframe.functions.text import eval_bucket
 from plyframe.operators.moves import legal_moves
 from plyframe.operators.san import with_san
+from plyframe.plans.scratch import written
 
 # --- fixed values: prompt texts -----------------------------------------------------------
 TWO_LINES = (
@@ -104,10 +105,14 @@ def prompt_or_plain(has_template: Column, fen: Column, best_move: Column | None
 
 
 def legal_san_list(positions: DataFrame, fen: str = "fen") -> DataFrame:
-    """The rows with all legal moves of their position as sorted SAN, bounded by the rules of the game. Rows carry all
-    their columns through move generation; a position without moves gives no row."""
-    moves = with_san(legal_moves(positions, fen, keep_position=True))
-    return moves.groupBy(*positions.columns).agg(F.array_join(F.array_sort(F.collect_list("san")), ", ").alias("legal_san"))
+    """The rows with all legal moves of their position as sorted SAN, bounded by the rules of the game; a position without
+    moves gives no row. Moves carry the number of their row only, as each is sorted with what it carries; rows are written
+    with their numbers and joined with the lists."""
+    rows = written(positions.withColumn("_row", F.monotonically_increasing_id()))
+    dealt = rows.select("_row", fen).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)  # small rows, much work
+    moves = with_san(legal_moves(dealt, fen, keep_position=True)).select("_row", "san")
+    lists = moves.groupBy("_row").agg(F.array_join(F.array_sort(F.collect_list("san")), ", ").alias("legal_san"))
+    return rows.join(lists, "_row").drop("_row")
 
 
 def tagged_prompt(samples: DataFrame, key: str) -> DataFrame:

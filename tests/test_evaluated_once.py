@@ -7,6 +7,7 @@ from plyframe.functions import fen as fenf
 from plyframe.operators import samples, viewer
 from plyframe.operators.moves import legal_moves
 from plyframe.operators.position import with_position
+from plyframe.operators.prompts import legal_san_list
 from plyframe.operators.san import with_san
 from plyframe.queries import scores
 from plyframe.queries.chess import _kings
@@ -96,3 +97,11 @@ def test_a_stream_of_replies_comes_in_files_of_many_tasks(spark, tmp_path, monke
     monkeypatch.setattr(scores, "scratch_folder", lambda _: str(tmp_path / next(folders)))
     assert {r.test_samples for r in scores.rates_of_stream(spark, "/root/testdata/sf0.001").collect()} != set()
     assert len(list((tmp_path / "source").glob("*.json"))) == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_moves_carry_the_number_of_their_row(spark):
+    rows = spark.createDataFrame([(1, "k7/8/8/8/8/8/8/K7 w - -", "x"), (2, "k7/8/8/8/8/8/8/K7 w - -", None), (3, "8/8/8/8/8/8/8/8 w - -", "y")],
+                                 "id long, fen string, said77 string")
+    lists = legal_san_list(rows)
+    assert not [line for line in optimized(lists).splitlines() if "Aggregate" in line and "said77" in line]
+    assert sorted((r.id, r.said77, r.legal_san) for r in lists.collect()) == [(1, "x", "Ka2, Kb1, Kb2"), (2, None, "Ka2, Kb1, Kb2")]
