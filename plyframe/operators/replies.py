@@ -19,7 +19,9 @@ def reply_to_san(replies: DataFrame, use_marker: bool = True, fen: str = "fen",
     """
     keep = [c for c in replies.columns if not (positioned and c in POSITION_COLUMNS)]
     rows = replies.withColumn("_candidate", t.candidate(F.col(reply), use_marker))
-    rows = rows if positioned else with_position(rows, fen, strict=True)
+    if not positioned:
+        # A reply that names no move needs no board: its FEN is not read.
+        rows = with_position(rows.withColumn("_asked", F.when(F.col("_candidate") != "", F.col(fen))), "_asked", strict=True)
     rows = with_san(with_san_move(rows, "_candidate", lenient=True), "_san_out")
     return rows.select(*keep, F.coalesce("_san_out", F.lit("")).alias(out))
 

@@ -8,6 +8,7 @@ from plyframe.operators import samples, viewer
 from plyframe.operators.moves import legal_moves
 from plyframe.operators.position import with_position
 from plyframe.operators.prompts import legal_san_list
+from plyframe.operators.replies import reply_to_san
 from plyframe.operators.san import with_san
 from plyframe.queries import scores
 from plyframe.queries.chess import _kings
@@ -105,3 +106,11 @@ def test_moves_carry_the_number_of_their_row(spark):
     lists = legal_san_list(rows)
     assert not [line for line in optimized(lists).splitlines() if "Aggregate" in line and "said77" in line]
     assert sorted((r.id, r.said77, r.legal_san) for r in lists.collect()) == [(1, "x", "Ka2, Kb1, Kb2"), (2, None, "Ka2, Kb1, Kb2")]
+
+
+def test_a_reply_without_a_move_needs_no_board(spark):
+    rows = spark.createDataFrame([(1, START, "Best Move: e4"), (2, START, "I am not sure."), (3, START, None), (4, None, "Best Move: e4")],
+                                 "id long, fen string, full_reply string")
+    moves = reply_to_san(rows)
+    assert "CASE WHEN NOT (_candidate" in optimized(moves)
+    assert [(r.id, r.fen, r.model_move) for r in moves.orderBy("id").collect()] == [(1, START, "e4"), (2, START, ""), (3, START, ""), (4, None, "")]
