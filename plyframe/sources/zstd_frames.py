@@ -22,6 +22,7 @@ LONGEST_HEADER = 18
 # ------------------------------------------------------------------------------------------
 _CHUNK = 1 << 20
 _BATCH = 1 << 22
+PER_TASK = 1 << 22  # compressed bytes; the text, and what is made of it, is many times that
 _PLACES = "file string, frame long, offset long, size long"
 _PIECES = "file string, line long, part long, value binary, ended boolean"
 
@@ -82,11 +83,18 @@ def _decoded(uri: str, offset: int, size: int, max_window: int) -> Iterator[byte
             yield decoder.decompress(chunk)
 
 
+def _tasks(places: DataFrame, per_task: int) -> int:
+    """How many tasks take `per_task` compressed bytes each, but no fewer than there are cores, while frames suffice. Frames
+    are few rows that stand for much work, so the number is not left to the size of the rows."""
+    frames, total = places.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return max(1, -(-total // per_task), min(frames, places.sparkSession.sparkContext.defaultParallelism))
+
+
 def frame_index(spark: SparkSession, path: str, max_window: int = MAX_WINDOW) -> DataFrame:
     """file, frame, offset, size, feeds (line feeds in the frame), first (those in the frames before it) of the *.zst files
     of a folder, or of one file. Write it beside the corpus: the files are decoded once for it, each frame by itself."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path).select(F.col("path").alias("file"))
-    places = written(files.repartition("file").mapInArrow(_placed, _PLACES))
+    places = written(files.repartition(spark.sparkContext.defaultParallelism, "file").mapInArrow(_placed, _PLACES))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +102,17 @@ def frame_index(spark: SparkSession, path: str, max_window: int = MAX_WINDOW) ->
                      for row in zip(*(batch[c].to_pylist() for c in ("file", "offset", "size")), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(feeds, pa.int64())], [*batch.schema.names, "feeds"])
 
-    counts = places.repartitionByRange("file", "frame").mapInArrow(counted, f"{_PLACES}, feeds long")
+    counts = places.repartitionByRange(_tasks(places, PER_TASK), "file", "frame").mapInArrow(counted, f"{_PLACES}, feeds long")
     before = Window.partitionBy("file").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)  # a row for each frame
     return counts.withColumn("first", F.coalesce(F.sum("feeds").over(before), F.lit(0)))
 
 
-def read_frames(spark: SparkSession, index: DataFrame, per_task: int = 1 << 27, max_window: int = MAX_WINDOW) -> DataFrame:
+def read_frames(spark: SparkSession, index: DataFrame, per_task: int = PER_TASK, max_window: int = MAX_WINDOW) -> DataFrame:
     """file, line_no, value as `read_zstd_lines` gives them, from the frames of an index: a last line counts only if it is
     ended, and the value of a line that is not UTF-8 is null.
 
-    `per_task` is how many compressed bytes a task takes, whole frames; a line is one value, whatever frames it spans.
+    `per_task` is how many compressed bytes a task takes at most, about, in whole frames; a line is one value, whatever frames it spans.
     """
-    total = index.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(file, frame, found):
@@ -129,8 +136,7 @@ def read_frames(spark: SparkSession, index: DataFrame, per_task: int = 1 << 27,
                 found.append((line, b"".join(rest), False))
                 yield rows(file, frame, found)
 
-    tasks = max(1, -(-total // per_task))
-    dealt = index.select("file", "frame", "offset", "size", "first").repartitionByRange(tasks, "file", "frame")
+    dealt = index.select("file", "frame", "offset", "size", "first").repartitionByRange(_tasks(index, per_task), "file", "frame")
     begins = index.select("file", F.col("frame").alias("part"), F.col("first").alias("begins"))
     cut = dealt.mapInArrow(pieces, _PIECES).join(begins, ["file", "part"])
     cut = written(cut.withColumn("whole", F.col("ended") & (F.col("line") > F.col("begins"))))
