@@ -13,6 +13,7 @@ from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import ORACLES, query
 from plyframe.sources import csv_ranges, results
 from plyframe.streaming.rates import keep_rates, latest_rates, read_timed_replies, running_rates
+from plyframe.streaming.state import state_in_files
 from plyframe.streaming.stops import read_pieces, stop_stream
 
 # The move token as RE2 can say it: with a check mark before a word character, else without.
@@ -103,15 +104,17 @@ def stop_rule_san(spark, sf):
 
 def _stopped_stream(spark, sf, after_marker):
     """Pieces of all replies in three lots of files, a reply's pieces shuffled over them, read as three batches of a stream."""
-    pieces = fx.replies(spark, sf).select("model", "id", F.posexplode(F.regexp_extract_all("full_reply", F.lit(r"(\s*\S+)"), F.lit(1))).alias("idx", "piece"),
-                                          F.regexp_count("full_reply", F.lit(r"\s*\S+")).alias("of"))
+    pieces = fx.replies(spark, sf).select("model", "id", F.regexp_extract_all("full_reply", F.lit(r"(\s*\S+)"), F.lit(1)).alias("all"))
+    # outer, as before an inner one the optimizer puts a filter that finds all pieces twice more
+    pieces = pieces.select("model", "id", F.posexplode_outer("all").alias("idx", "piece"), F.size("all").alias("of")).where("idx IS NOT NULL")
     pieces = pieces.select("model", "id", "idx", "piece", (F.col("idx") == F.col("of") - 1).alias("last"))
     source, out, state = (scratch_folder(spark) for _ in range(3))
     for part in range(3):
         pieces.where(F.pmod(F.xxhash64("id", "idx"), F.lit(3)) == part).write.mode("append").json(source)
     # positions are dealt to as many tasks as there are cores, and each writes a file
     stops = stop_stream(read_pieces(spark, source, files_per_batch=spark.sparkContext.defaultParallelism), after_marker, silence=None)
-    run = stops.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    with state_in_files(spark):
+        run = stops.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stops.schema).parquet(out).select("id", "model", "stop")
 

@@ -2,13 +2,15 @@
 
 The state of a reply is what the rule still needs: the last characters, whether the marker was seen, the number of the piece
 that comes next, and pieces that came before their turn. It does not grow with the reply. Replies are dealt to buckets by a
-hash of model and id, and the states of a bucket are kept and called up together: a call costs far more than a piece.
+hash of model and id, and the states of a bucket are called up together, as a call costs far more than a piece, and kept as
+compressed columns.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,7 +21,7 @@ from plyframe.functions.text import LONGEST_SAN, MARKER, SAN_CORE
 
 PIECE_SCHEMA = "model STRING, id BIGINT, idx INT, piece STRING, last BOOLEAN"
 STOP_SCHEMA = "model STRING, id BIGINT, stop INT, ended STRING"
-_STATE = "replies STRING"  # JSON: model, id, time, and of an undecided reply tail, cut, seen, n, waiting pieces
+_STATE = "replies BINARY"  # see `packed`
 BUCKETS = 4096
 _MARK = re.compile(re.escape(MARKER), re.IGNORECASE | re.ASCII)
 _SAN = re.compile(rf"\b({SAN_CORE})\b")
@@ -47,6 +49,19 @@ def grown(tail: str, cut: bool, seen: bool, piece: str) -> tuple[str, bool, bool
     return text[-_REACH:], cut or len(text) > _REACH, True, found
 
 
+def packed(decided: dict[tuple, int], open: dict[tuple, tuple]) -> bytes:
+    """Columns of the replies by (model, id) as compressed JSON: of decided ones the time, of others time, tail, cut, seen, n and
+    the waiting pieces."""
+    columns = [[*zip(*((*reply, at) for reply, at in decided.items()))], [*zip(*((*reply, *v) for reply, v in open.items()))]]
+    return zlib.compress(json.dumps(columns, separators=(",", ":")).encode(), 1)
+
+
+def unpacked(state: bytes) -> tuple[dict[tuple, int], dict[tuple, tuple]]:
+    ends, others = json.loads(zlib.decompress(state))
+    decided = dict(zip(zip(*ends[:2]), ends[2])) if ends else {}
+    return decided, dict(zip(zip(*others[:2]), zip(*others[2:]))) if others else {}
+
+
 def stop_stream(pieces: DataFrame, after_marker: bool, silence: str | None = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """model, id, stop (how many pieces the reply has when it stops), ended, one row for each reply as soon as it is decided:
     at a `move`, at its `last` piece without one, or after `silence` (stop is null in both).
@@ -62,43 +77,48 @@ def stop_stream(pieces: DataFrame, after_marker: bool, silence: str | None = "10
 
     def work(key: tuple, tables: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         now = state.getCurrentProcessingTimeMs() if wait else 0
-        known = {(m, i): (at, *rest) for m, i, at, *rest in json.loads(state.get[0])} if state.exists else {}
-        fresh: dict[tuple, dict] = {}
+        decided, open = unpacked(bytes(state.get[0])) if state.exists else ({}, {})
+        fresh: dict[tuple, list] = {}
         if not state.hasTimedOut:
             for table in tables:
-                for model, id, idx, piece, last in zip(*(table[c] for c in ("model", "id", "idx", "piece", "last")), strict=True):
-                    fresh.setdefault((model, id), {}).setdefault(idx, (piece or "", bool(last)))
+                columns = (table[c].tolist() for c in ("model", "id", "idx", "piece", "last"))
+                for model, id, *said in zip(*columns, strict=True):
+                    reply = model, id
+                    if reply in decided:
+                        decided[reply] = now  # a decided reply is forgotten after the same silence
+                    elif reply in fresh:
+                        fresh[reply].append(said)
+                    else:
+                        fresh[reply] = [said]
         rows = []
         for reply, came in fresh.items():
-            was = known.get(reply)
-            if was is not None and len(was) == 1:
-                known[reply] = (now,)  # a decided reply is forgotten after the same silence
-                continue
-            _, tail, cut, seen, n, waiting = was or (now, "", False, not after_marker, 0, [])
+            _, tail, cut, seen, n, waiting = open.pop(reply, None) or (now, "", False, not after_marker, 0, ())
             held = {i: (piece, last) for i, piece, last in waiting}
-            for idx, said in came.items():
-                if idx >= n:
-                    held.setdefault(int(idx), said)
+            for idx, piece, last in came:
+                if idx >= n and idx not in held:
+                    held[int(idx)] = piece or "", bool(last)
             done = False
             while not done and n in held:
                 piece, last = held.pop(n)
                 tail, cut, seen, found = grown(tail, cut, seen, piece)
                 n += 1
                 done = found or last
-                if done:
-                    rows.append((*reply, n if found else None, "move" if found else "last"))
-            known[reply] = (now,) if done else (now, tail, cut, seen, n, [(i, *v) for i, v in held.items()])
+            if done:
+                rows.append((*reply, n if found else None, "move" if found else "last"))
+                decided[reply] = now
+            else:
+                open[reply] = now, tail, cut, seen, n, [(i, *v) for i, v in held.items()]
         if wait:
-            for reply, (at, *rest) in [x for x in known.items() if x[1][0] + wait <= now]:
-                if rest:
-                    rows.append((*reply, None, "silence"))
-                    known[reply] = (now,)
-                else:
-                    del known[reply]
-        if known:
-            state.update((json.dumps([(*reply, *v) for reply, v in known.items()]),))
+            for reply in [x for x, at in decided.items() if at + wait <= now]:
+                del decided[reply]
+            for reply in [x for x, v in open.items() if v[0] + wait <= now]:
+                rows.append((*reply, None, "silence"))
+                del open[reply]
+                decided[reply] = now
+        if decided or open:
+            state.update((packed(decided, open),))
             if wait:
-                state.setTimeoutDuration(max(1, min(v[0] for v in known.values()) + wait - now))
+                state.setTimeoutDuration(max(1, min([*decided.values(), *(v[0] for v in open.values())]) + wait - now))
         elif state.exists:
             state.remove()
         if rows:

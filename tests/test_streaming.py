@@ -3,12 +3,16 @@
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from plyframe.functions.text import stop_index
 from plyframe.operators.scoring import evaluate_replies
+from plyframe.queries import scores
+from plyframe.queries.fixtures import replies as fixture_replies
 from plyframe.streaming.replies import REPLY_SCHEMA, read_replies, score_stream
-from plyframe.streaming.stops import PIECE_SCHEMA, read_pieces, stop_stream
+from plyframe.streaming.stops import PIECE_SCHEMA, packed, read_pieces, stop_stream, unpacked
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
 
@@ -73,3 +77,29 @@ def test_replies_share_calls(spark, tmp_path):
     run.awaitTermination(120)
     assert sorted(((r.id, r.stop, r.ended) for r in spark.read.parquet(out).collect()), key=str) == sorted(((i, 2, "move") for i in ids), key=str)
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress) <= 4
+
+
+def test_states_of_a_bucket_are_kept_small():
+    decided = {("org/model-a:1", str(4096 * k)): 0 for k in range(10_000)} | {(None, None): 5}
+    waiting = {("m", "7"): (9, "Best ", False, True, 2, [(4, " e4\x00\u00e9", True)]), ("m", None): (0, "", True, False, 0, [])}
+    state = packed(decided, waiting)
+    assert len(state) < 10 * len(decided)
+    ends, others = unpacked(state)
+    assert ends == decided and {k: (*v[:5], [tuple(w) for w in v[5]]) for k, v in others.items()} == waiting
+    assert unpacked(packed({}, {})) == ({}, {})
+
+
+@pytest.mark.parametrize("name", ["stop_rule_stream", "stop_rule_san_stream"])
+def test_executors_hold_no_state_between_batches(spark, tmp_path, monkeypatch, name):
+    """Their memory was that of several versions of all replies so far."""
+    spark.range(1, 1201).selectExpr("id AS o_orderkey", "id % 90 AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    runs, start = [], DataStreamWriter.start
+    monkeypatch.setattr(DataStreamWriter, "start", lambda self, *a, **k: runs.append(start(self, *a, **k)) or runs[-1])
+    before = spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory")
+    got = getattr(scores, name)(spark, str(tmp_path))
+    states = [s for p in runs[0].recentProgress for s in p["stateOperators"]]
+    assert len(states) >= 3 and max(s["memoryUsedBytes"] / s["numShufflePartitions"] for s in states) < 1000
+    assert len(runs[0].recentProgress) == 3 and spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == before
+    said = fixture_replies(spark, str(tmp_path)).where("full_reply <> ''").count()
+    want = scores.stop_rule_marker if name == "stop_rule_stream" else scores.stop_rule_san
+    assert got.count() == said and not got.exceptAll(want(spark, str(tmp_path))).count()
