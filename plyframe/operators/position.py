@@ -22,6 +22,7 @@ POSITION_COLUMNS = [
     "danger", "check_mask", "pin_v", "pin_h", "pin_d", "pin_a",
     "castle_k", "castle_q", "ep_bit", "ep_from",
 ]
+MAY_BE_NULL = ["mover_board", "ep_from"]
 
 # Piece codes in hexadecimal; 8 marks the black pieces.
 _CODES = {"p": 1, "n": 2, "b": 3, "r": 4, "q": 5, "k": 6}
@@ -192,6 +193,13 @@ def with_position(df: DataFrame, fen: str = "fen", strict: bool = False) -> Data
     return df.select(*keep, *POSITION_COLUMNS)
 
 
+def never_null(positions: DataFrame) -> DataFrame:
+    """Positions read from files, which forget what columns are never null: null checks on all of them would make the
+    generated methods of what follows too large for the JVM to compile."""
+    fixed = {c: kind for c, kind in positions.dtypes if c in POSITION_COLUMNS and c not in MAY_BE_NULL}
+    return positions.withColumns({c: F.coalesce(c, F.lit(0).cast(kind)) for c, kind in fixed.items()})
+
+
 # Line masks by square number, as constant arrays: file, rank and the two diagonals.
 def _line_table(directions: tuple[str, str]) -> str:
     masks = []

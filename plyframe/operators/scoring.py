@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plyframe.functions.fen import fen_valid_strict, side_to_move
 from plyframe.functions.text import eval_bucket
-from plyframe.operators.position import with_position
+from plyframe.operators.position import never_null, with_position
 from plyframe.operators.replies import reply_to_san
 from plyframe.operators.san import with_san_move
 
@@ -22,16 +22,21 @@ def score_moves(rows: DataFrame, san: str = "model_move", top: str = "top_moves"
     return moves.select(*keep, F.col("ok").alias("legal"), good.alias("good"))
 
 
-def evaluate_replies(samples: DataFrame, replies: DataFrame, use_marker: bool = True) -> DataFrame:
+def positioned_samples(samples: DataFrame) -> DataFrame:
+    """id, fen, top_moves of the samples with a well-formed FEN, and the columns of its position."""
+    return with_position(samples.where(fen_valid_strict(F.col("fen"))).select("id", "fen", "top_moves"), strict=True)
+
+
+def evaluate_replies(samples: DataFrame, replies: DataFrame, use_marker: bool = True, positioned: bool = False) -> DataFrame:
     """Pair samples with replies by `id`, parse, score: model and RESULT_COLUMNS.
 
     `samples` has id (unique), fen, top_moves; `replies` has model, id, full_reply. A parsed move is
     canonical and legal by construction, so legality needs no second look. Replies to a sample with a malformed FEN give no
     row and count in no rate; ids keep their gaps. The position is read once
     for each sample, before the join with its replies; the side with many replies to one sample is
-    split at run time by the adaptive join.
+    split at run time by the adaptive join. With `positioned` the samples are those of `positioned_samples`.
     """
-    positions = with_position(samples.where(fen_valid_strict(F.col("fen"))).select("id", "fen", "top_moves"), strict=True)
+    positions = never_null(samples) if positioned else positioned_samples(samples)
     pairs = replies.select("model", "id", "full_reply").join(positions, "id")
     parsed = reply_to_san(pairs, use_marker, positioned=True)
     return parsed.select(

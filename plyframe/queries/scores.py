@@ -13,7 +13,7 @@ from plyframe.queries import fixtures as fx
 from plyframe.queries.registry import ORACLES, query
 from plyframe.sources import csv_ranges, results
 from plyframe.streaming.rates import keep_rates, latest_rates, read_timed_replies, running_rates
-from plyframe.streaming.state import state_in_files
+from plyframe.streaming.state import partitions_of, state_in_files
 from plyframe.streaming.stops import read_pieces, stop_stream
 
 # The move token as RE2 can say it: with a check mark before a word character, else without.
@@ -267,15 +267,18 @@ def move_rates(spark, sf):
 @query("running_rates", ORACLES["move_rates"])
 def rates_of_stream(spark, sf):
     """The replies in three lots of files, each with some of the last lot's again, read as three batches of a stream."""
-    valid = written(samples.valid_samples(fx.documents(spark, sf), "pos_id").withColumnRenamed("pos_id", "id"))
+    valid = samples.valid_samples(fx.documents(spark, sf), "pos_id").withColumnRenamed("pos_id", "id")
+    valid = written(scoring.positioned_samples(valid))
     said = fx.replies(spark, sf).select("model", "id", "full_reply", F.expr("timestamp_seconds(1700000000 + 60 * (id % 3))").alias("at"))
     source, out, state = (scratch_folder(spark) for _ in range(3))
     for part in range(3):
         again = (F.col("id") % 3 == part - 1) & (F.col("id") % 5 == 0)
         said.where((F.col("id") % 3 == part) | again).write.mode("append").json(source)
     # positions are dealt to as many tasks as there are cores, and each writes a file
-    rates = running_rates(read_timed_replies(spark, source, files_per_batch=spark.sparkContext.defaultParallelism), valid)
-    keep_rates(rates, out, state).trigger(availableNow=True).start().awaitTermination()
+    rates = running_rates(read_timed_replies(spark, source, files_per_batch=spark.sparkContext.defaultParallelism), valid, positioned=True)
+    with state_in_files(spark, partitions_of(spark, source)):
+        run = keep_rates(rates, out, state).trigger(availableNow=True).start()
+    run.awaitTermination()
     return _rounded(latest_rates(spark, out), "legal_move_rate", "top_move_rate")
 
 

@@ -17,11 +17,12 @@ def read_timed_replies(spark: SparkSession, folder: str, files_per_batch: int |
     return reader.json(folder)
 
 
-def running_rates(replies: DataFrame, samples: DataFrame, delay: str = "1 hour", use_marker: bool = True) -> DataFrame:
+def running_rates(replies: DataFrame, samples: DataFrame, delay: str = "1 hour", use_marker: bool = True,
+                  positioned: bool = False) -> DataFrame:
     """Rates by model of all replies so far, in update mode. A reply is known by model and id, and one that comes again up
     to `delay` after the latest is not counted again; the state is the replies of that time and a row for each model."""
     once = replies.withWatermark("at", delay).dropDuplicatesWithinWatermark(["model", "id"])
-    return move_rates(score_stream(once, samples, use_marker), "model")
+    return move_rates(score_stream(once, samples, use_marker, positioned), "model")
 
 
 def keep_rates(rates: DataFrame, folder: str, checkpoint: str):

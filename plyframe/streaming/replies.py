@@ -15,6 +15,7 @@ def read_replies(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(REPLY_SCHEMA).json(folder)
 
 
-def score_stream(replies: DataFrame, samples: DataFrame, use_marker: bool = True) -> DataFrame:
-    """Scored replies of a stream; same columns as the batch result."""
-    return evaluate_replies(samples, replies, use_marker)
+def score_stream(replies: DataFrame, samples: DataFrame, use_marker: bool = True, positioned: bool = False) -> DataFrame:
+    """Scored replies of a stream; same columns as the batch result. Each batch reads the samples again; `positioned` as in
+    `evaluate_replies` saves it reading their FENs."""
+    return evaluate_replies(samples, replies, use_marker, positioned)

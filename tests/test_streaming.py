@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from plyframe.functions.text import stop_index
-from plyframe.operators.scoring import evaluate_replies
+from plyframe.operators.position import never_null
+from plyframe.operators.scoring import evaluate_replies, positioned_samples
 from plyframe.queries import scores
 from plyframe.queries.fixtures import replies as fixture_replies
 from plyframe.streaming.replies import REPLY_SCHEMA, read_replies, score_stream
+from plyframe.streaming.state import PARTITIONS, partitions_of, state_in_files
 from plyframe.streaming.stops import PIECE_SCHEMA, packed, read_pieces, stop_stream, unpacked
 
 START = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq -"
@@ -89,7 +91,7 @@ def test_states_of_a_bucket_are_kept_small():
     assert unpacked(packed({}, {})) == ({}, {})
 
 
-@pytest.mark.parametrize("name", ["stop_rule_stream", "stop_rule_san_stream"])
+@pytest.mark.parametrize("name", ["stop_rule_stream", "stop_rule_san_stream", "rates_of_stream"])
 def test_executors_hold_no_state_between_batches(spark, tmp_path, monkeypatch, name):
     """Their memory was that of several versions of all replies so far."""
     spark.range(1, 1201).selectExpr("id AS o_orderkey", "id % 90 AS o_custkey").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
@@ -100,6 +102,34 @@ def test_executors_hold_no_state_between_batches(spark, tmp_path, monkeypatch, n
     states = [s for p in runs[0].recentProgress for s in p["stateOperators"]]
     assert len(states) >= 3 and max(s["memoryUsedBytes"] / s["numShufflePartitions"] for s in states) < 1000
     assert len(runs[0].recentProgress) == 3 and spark.conf.get("spark.sql.streaming.maxBatchesToRetainInMemory") == before
-    said = fixture_replies(spark, str(tmp_path)).where("full_reply <> ''").count()
-    want = scores.stop_rule_marker if name == "stop_rule_stream" else scores.stop_rule_san
-    assert got.count() == said and not got.exceptAll(want(spark, str(tmp_path))).count()
+    if name == "rates_of_stream":
+        key = lambda r: r.model
+        assert sorted(got.collect(), key=key) == sorted(scores.move_rates(spark, str(tmp_path)).collect(), key=key)
+    else:
+        said = fixture_replies(spark, str(tmp_path)).where("full_reply <> ''").count()
+        want = scores.stop_rule_marker if name == "stop_rule_stream" else scores.stop_rule_san
+        assert got.count() == said and not got.exceptAll(want(spark, str(tmp_path))).count()
+
+
+def test_states_are_dealt_by_the_size_of_the_files(spark, tmp_path):
+    for k in range(3):
+        with open(tmp_path / f"{k}.json", "wb") as f:
+            f.truncate(50 << 20)
+    had = spark.conf.get(PARTITIONS)
+    assert partitions_of(spark, str(tmp_path)) == 3
+    with state_in_files(spark, 211):
+        assert spark.conf.get(PARTITIONS) == "211"
+    with state_in_files(spark, 2):
+        assert spark.conf.get(PARTITIONS) == had
+    assert spark.conf.get(PARTITIONS) == had
+
+
+def test_positions_read_once_give_the_same_scores(spark, tmp_path):
+    samples = spark.createDataFrame([(1, START, ["e4", "d4"]), (2, "9" + START, ["e4"]), (3, None, ["e4"])], "id long, fen string, top_moves array<string>")
+    said = spark.createDataFrame([("m", i, f"Best Move: {move}") for i in (1, 2, 3) for move in ("e4", "Ke2", "Nf3")], REPLY_SCHEMA)
+    want = evaluate_replies(samples, said).collect()
+    positions = positioned_samples(samples)
+    positions.write.parquet(str(tmp_path / "positions"))
+    read = spark.read.parquet(str(tmp_path / "positions"))
+    assert len(want) == 3 and sorted(evaluate_replies(read, said, positioned=True).collect()) == sorted(want)
+    assert [f.nullable for f in never_null(read).schema] == [f.nullable for f in positions.schema]
